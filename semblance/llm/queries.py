@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from semblance.llm import mixing, quality, urls
+from semblance.llm import mixing, packing, quality, sharding, toxicity, urls
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_packing": packing.op4_packing,
     "op6_mixing": mixing.op6_mixing,
     "op8_url_filters": urls.op8_url_filters,
+    "op9_sharding": sharding.op9_sharding,
 }
 
 ORACLE_SQL = {
