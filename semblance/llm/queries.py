@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from semblance.llm import mixing, packing, quality, sharding, toxicity, urls
+from semblance.llm import media, mixing, packing, quality, sharding, toxicity, urls
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_packing": packing.op4_packing,
+    "op5_media_columns": media.op5_media_columns,
     "op6_mixing": mixing.op6_mixing,
     "op8_url_filters": urls.op8_url_filters,
     "op9_sharding": sharding.op9_sharding,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_quality_rules": quality.OP2_SQL,
+    "op5_media_columns": media.op5_media_columns,
     "op6_mixing": mixing.OP6_SQL,
     "op8_url_filters": urls.OP8_SQL,
 }
