@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from semblance.llm import media, mixing, packing, quality, sharding, toxicity, urls
+from semblance.llm import html, media, mixing, neardup, packing, quality, sharding, toxicity, urls
 
 QUERIES = {
+    "op1_html_extraction": html.op1_html_extraction,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_packing": packing.op4_packing,
     "op5_media_columns": media.op5_media_columns,
     "op6_mixing": mixing.op6_mixing,
+    "op7_near_dedup": neardup.op7_near_dedup,
     "op8_url_filters": urls.op8_url_filters,
     "op9_sharding": sharding.op9_sharding,
 }
