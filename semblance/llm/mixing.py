@@ -91,6 +91,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: floa
     return out.select("doc_id", "size", "source", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
 
 
+def repeated(docs: DataFrame) -> DataFrame:
+    """docs with each row as often as the mix takes it, with the columns of docs. Rows are found by doc_id."""
+    times = mix(docs.select("doc_id", "text", "source")).where("repeats > 0").groupBy("doc_id").agg(F.max("repeats").cast("int").alias("_times"))
+    again = docs.join(times, "doc_id").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return again.select(*docs.columns)
+
+
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from semblance.llm import html, media, mixing, neardup, packing, quality, sharding, toxicity, urls
+from semblance.llm import html, katz, media, mixing, neardup, packing, quality, sharding, toxicity, urls
 
 QUERIES = {
     "op1_html_extraction": html.op1_html_extraction,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_near_dedup": neardup.op7_near_dedup,
     "op8_url_filters": urls.op8_url_filters,
     "op9_sharding": sharding.op9_sharding,
+    "op10_lm_scoring": katz.op10_lm_scoring,
 }
 
 ORACLE_SQL = {

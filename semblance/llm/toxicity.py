@@ -180,8 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_PER_CLASS) -> Model
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column `score` (0 to 1) of its text; all columns of docs are kept."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column (0 to 1) of its text; a column of that name is replaced, the others are kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = id(model)
 
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             out = [scorer.score(list(texts[at : at + 512])) for at in range(0, len(texts), 512)]
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.drop("score").withColumn("score", of(F.col("text")))
+    return docs.withColumn(name, of(F.col("text")))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -200,3 +200,10 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     model = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     scored = score(docs, model)
     return scored.select("doc_id", (bucket3() == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold, with the columns of docs."""
+    model = fit(docs, labels)
+    shown = "score" if "score" not in docs.columns else "_toxicity"
+    return score(docs, model, shown).where(F.col(shown) < threshold).select(*docs.columns)
