@@ -61,7 +61,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
 
     Windows of three words are compared by their 64-bit hash within one text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    kept = [c for c in df.columns if c not in MEASUREMENTS]
+    kept = [c for c in df.columns if c == text or c not in MEASUREMENTS]
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     df = df.select(*kept, words(t).alias("_w"), lines.alias("_lines"))
     n = F.size("_w")
@@ -120,8 +120,12 @@ def ablations(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def keep(df: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
-    """The rows of df that the policy accepts, with the columns of df."""
-    return ledger(measure(df, text)).where(passes(policy)).select(*df.columns)
+    """The rows of df that the policy accepts, with the columns of df.
+
+    The row number is a fence: the optimiser must not move the filter below the measurements, or it would put their
+    whole expressions into it, to be evaluated again for every use."""
+    fence = ledger(measure(df, text)).withColumn("_row", F.monotonically_increasing_id())
+    return fence.where(passes(policy) & (F.col("_row") >= 0)).select(*df.columns)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
