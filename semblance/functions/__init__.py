@@ -1 +1 @@
-""""""
+"""Column expressions: vectors, scalars and predicates."""

@@ -1 +1 @@
-""""""
+"""Operators over (item, group, vector, time) tables."""

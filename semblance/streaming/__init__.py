@@ -1 +1 @@
-""""""
+"""Micro-batch runs of the entry points."""
