@@ -31,7 +31,7 @@ from semblance.llm.common import table
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5)
-MAX_PER_CLASS = 3000
+MAX_PER_CLASS = 2000
 EPOCHS = 40
 THRESHOLD = 0.7
 SEED = 7
@@ -172,11 +172,14 @@ def bucket3(doc_id="doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_PER_CLASS) -> Model:
-    """The model of the labelled training rows; at most `bound` of each class reach the driver."""
-    marked = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    pool = docs.select("doc_id", "text").where(F.coalesce(bucket3() != 1, F.lit(False))).join(marked, "doc_id")
-    found = [pool.where(F.col("toxic") == k).select("text", "toxic", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(bound) for k in (1, 0)]
-    rows = found[0].select("text", "toxic").unionByName(found[1].select("text", "toxic")).collect()
+    """The model of the labelled training rows; at most `bound` of each class reach the driver. They are chosen from
+    the labels alone, so the documents are only scanned against a list of that many ids."""
+    marked = labels.where(F.col("toxic").isNotNull() & F.coalesce(bucket3() != 1, F.lit(False)))
+    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
+    chosen = [r for k in (1, 0) for r in marked.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(bound).collect()]
+    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "doc_id long, toxic int")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
