@@ -7,8 +7,8 @@ underfull bins whenever this raises the sum of squared fills, until bins empty o
 what the driver holds thus depend on the capacity and not on the number of documents.
 
 Pieces of one length are interchangeable: the n-th piece of a length goes to the n-th place of that length. The
-number n is a rank inside (length, slot of a hash) plus the counts of earlier slots, so a length that holds a
-third of all rows is still dealt over SLOTS tasks.
+number n is a rank inside (length, slot of a hash) plus the counts of earlier slots; slots grow with the pieces, so
+a length that holds a third of all rows is still dealt evenly.
 
 Defined cases: a null text is empty and has the closing id alone; repeated rows are separate documents; an empty
 table gives an empty result; only documents over the capacity are cut, and their last piece may be shorter.
@@ -32,7 +32,8 @@ from semblance.llm.common import table, written
 CAPACITY = 2048
 CLOSING_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-SLOTS = 64
+#: Slots of a hash that pieces are ranked in: one for so many pieces, and at least this many.
+SLOT_ROWS, MIN_SLOTS = 50_000, 64
 #: Words whose ids a worker keeps.
 CACHE = 1_000_000
 #: Texts that are encoded together.
@@ -245,27 +246,29 @@ def pack_lengths(lengths: dict[int, int], capacity: int = CAPACITY) -> Counter:
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of docs with their sequence_id and offset."""
     spark = docs.sparkSession
-    found = written(pieces(docs, path, capacity).withColumn("slot", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLOTS)).cast("int")), "pack-pieces")
-    counts = found.groupBy("length", "slot").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["length", "slot"])
-    plan = places(pack_lengths(counts.groupby("length")["n"].sum().to_dict(), capacity))
-    before = np.zeros((capacity + 1, SLOTS), dtype=np.int64)
-    before[counts["length"].to_numpy(), counts["slot"].to_numpy()] = counts["n"].to_numpy()
-    plan["before"] = np.cumsum(before, axis=1) - before
+    found = written(pieces(docs, path, capacity), "pack-pieces")
+    slots = max(MIN_SLOTS, found.count() // SLOT_ROWS)
+    found = found.withColumn("slot", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slots)))
+    counts = written(found.groupBy("length", "slot").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
+    lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    plan = places(pack_lengths(lengths, capacity))
     #: One number orders (length, place); places of one length are fewer than 2^48.
     plan["order"] = plan["length"] * (1 << 48) + plan["first"]
     shared = spark.sparkContext.broadcast(plan)
-    rank = F.row_number().over(Window.partitionBy("length", "slot").orderBy("doc_id", "piece"))
+    earlier = Window.partitionBy("length").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("length", "slot", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("length", "slot").orderBy("doc_id", "piece")) - 1
+    ranked = found.withColumn("_rank", rank).join(before, ["length", "slot"])
 
     @F.pandas_udf("sequence_id long, offset long")
-    def placed(length: pd.Series, slot: pd.Series, rank: pd.Series) -> pd.DataFrame:
+    def placed(length: pd.Series, place: pd.Series) -> pd.DataFrame:
         p = shared.value
-        n = length.to_numpy(np.int64)
-        place = p["before"][n, slot.to_numpy()] + rank.to_numpy(np.int64) - 1
+        n, place = length.to_numpy(np.int64), place.to_numpy(np.int64)
         at = np.searchsorted(p["order"], n * (1 << 48) + place, side="right") - 1
         bin_, nth = np.divmod(place - p["first"][at], p["times"][at])
         return pd.DataFrame({"sequence_id": p["sequence"][at] + bin_, "offset": p["offset"][at] + nth * n})
 
-    return found.withColumn("_p", placed("length", "slot", rank)).select("doc_id", "piece", "start", "length", "ids_crc32", "_p.sequence_id", "_p.offset")
+    return ranked.withColumn("_p", placed("length", F.col("before") + F.col("_rank"))).select("doc_id", "piece", "start", "length", "ids_crc32", "_p.sequence_id", "_p.offset")
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
