@@ -8,11 +8,15 @@ empty) and of each coordinate the earliest: k values, equal at a coordinate with
 Jaccard similarity, from one pass over the sparse elements instead of k.
 
 Documents are sets of their five-word shingles (one shingle for shorter texts), weight 1. Equal word sequences are
-one node. Nodes that share a band (4 of 80 values) are candidates: at first each with the least node of its
-bucket, then, in buckets where unlinked classes still meet, all pairs across those classes, in blocks of BLOCK
-members, inside the worker; only pairs whose signatures agree in EST_MIN of the values leave it. Both kinds are checked by the
-exact Jaccard similarity of the shingle sets (64-bit hashes). Classes are connected components, by least labels and
-pointer jumping over written tables. Buckets, partners and classes have no cap.
+one node. Nodes that share a band (4 of 80 values) are candidates. First each meets one leader of its bucket: the least
+node or, in buckets over SMALL, the node closest to the bucket's consensus signature, which in a group of copies is the
+text that they were made from. Then, in buckets where unlinked classes still meet, all pairs across those classes are looked at,
+in blocks of BLOCK members, inside the worker. Two bounds that never lose a link sort most pairs out there: the shingles
+that each side shares with any other candidate at all, and the symmetric difference of the sets, which is no less than that of
+their bitmaps. A first round sends on only pairs that would join classes not yet joined in their block, best first; a second
+one, after these are merged, all pairs that are left. All pairs are checked by the exact Jaccard similarity of the shingle sets
+(64-bit hashes). Classes are connected components, by least labels and pointer jumping over written tables.
+Buckets, partners and classes have no cap.
 
 A pair of similarity 0.8 shares no band with probability 3e-5.
 
@@ -28,17 +32,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BinaryType, DoubleType
 
 from semblance.llm.common import table, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
 K, ROWS = 80, 4
-EST_MIN = 0.55
+EST_MIN = 0.6
 BLOCK = 512
+#: Buckets up to this size are led by their least node; members of a larger one that vote on its consensus.
+SMALL, VOTERS = 16, 64
+#: Bits of the sieve that spares most texts the exchange by doc_id: a fixed size, whatever the corpus.
+SIEVE_BITS = 1 << 22
 #: Words of a batch that are hashed together.
 CHUNK = 500_000
 
@@ -169,32 +177,72 @@ def estimate(a: pd.Series, b: pd.Series) -> pd.Series:
 def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a, b, strict=True):
-        x, y = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
         both = len(np.intersect1d(x, y, assume_unique=True))
         out.append(both / (len(x) + len(y) - both))
     return pd.Series(out, dtype=float)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """node, grams: the sorted distinct shingle hashes of each text."""
+def sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without most rows whose doc_id is not in ids: a one-hash filter of SIEVE_BITS bits, joined as a table of words.
+    It never loses a row of ids; past its capacity it only lets more through."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
+    bit = lambda h: F.expr(f"shiftleft(1L, cast({h} % 32 as int))")
+    held = ids.select(at(F.col("doc_id")).alias("_h")).select(F.floor(F.col("_h") / 32).alias("_word"), bit("_h").alias("_bit"))
+    table_ = held.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    rows = docs.withColumn("_h", at(F.col("doc_id"))).withColumn("_word", F.floor(F.col("_h") / 32))
+    return rows.join(F.broadcast(table_), "_word").where(F.col("_bits").bitwiseAND(bit("_h")) != 0).select(*docs.columns)
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, grams: the sorted distinct shingle hashes of the text of each node."""
 
     def grams(batches):
         for b in batches:
-            yield pd.DataFrame({"node": b["doc_id"], "grams": [np.unique(shingles(_words(t))).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"node": b["doc_id"], "grams": [np.unique(shingles(_words(t))).view(np.int64) for t in b["text"]]})
 
-    return docs.mapInPandas(grams, "node long, grams binary")
+    ids = nodes.select(F.col("node").alias("doc_id"))
+    # an inner join: a semi join would be moved below the sieve
+    texts = sieved(docs, ids).join(ids.distinct(), "doc_id").dropDuplicates(["doc_id"])
+    return texts.mapInPandas(grams, "node long, grams array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have the similarity, by their exact sets."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(shingle_sets(texts), "near-sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     return written(both.where(jaccard("ga", "gb") >= SIMILARITY).select("a", "b"), "near-links")
 
 
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """node, size, shared: its shingles, and those of them that any other node of the table has."""
+    each = sets.select("node", F.explode("grams").alias("g"))
+    alone = each.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    own = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    size = F.size("grams").cast("long")
+    return sets.join(own, "node", "left").select("node", size.alias("size"), (size - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
+def central_nodes(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """key, central: of each large bucket the node whose signature is closest to the bucket's most frequent values.
+    VOTERS members set the consensus; every member is compared with it."""
+    rows = members.where(F.col("n") > SMALL).select("key", "node").join(sigs, "node")
+    rows = written(rows, "near-large")
+    vote = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
+    voters = rows.withColumn("_v", vote).where(F.col("_v") <= VOTERS)
+
+    def consensus(p: pd.DataFrame) -> pd.DataFrame:
+        m = np.sort(np.frombuffer(b"".join(p["sig"]), dtype=np.uint32).reshape(len(p), -1), axis=0)
+        run = np.ones(m.shape, dtype=np.int64)  # length of the run of equal values that ends here
+        for i in range(1, len(m)):
+            run[i] = np.where(m[i] == m[i - 1], run[i - 1] + 1, 1)
+        best = m[run.argmax(axis=0), np.arange(m.shape[1])]
+        return pd.DataFrame({"key": [p["key"].iloc[0]], "consensus": [best.tobytes()]})
+
+    agreed = voters.groupBy("key").applyInPandas(consensus, "key long, consensus binary")
+    scored = rows.join(agreed, "key").select("key", "node", estimate("sig", "consensus").alias("agree"))
+    return scored.groupBy("key").agg(F.max_by("node", F.struct("agree", -F.col("node"))).alias("central"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node of the connected component, for every node of a link (a, b)."""
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-edges")
@@ -209,37 +257,114 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs across classes that look similar, in runs of rows with equal (key, cell), sorted by these."""
-    held = None
-    for b in batches:
-        b = b if held is None else pd.concat([held, b], ignore_index=True)
-        code = (b["key"].ne(b["key"].shift()) | b["cell"].ne(b["cell"].shift())).cumsum().to_numpy()
-        cut = int(np.searchsorted(code, code[-1]))  # the last run may go on
-        held = b.iloc[cut:].reset_index(drop=True)
-        if cut:
-            yield _pairs(b.iloc[:cut], code[:cut])
-    if held is not None and len(held):
-        yield _pairs(held, np.zeros(len(held), dtype=int))
-
-
-def _pairs(b: pd.DataFrame, code: np.ndarray) -> pd.DataFrame:
-    node, label, block, n_blocks, cell = (b[c].to_numpy(np.int64) for c in ("node", "label", "block", "blocks", "cell"))
-    sig = np.frombuffer(b"".join(b["sig"]), dtype=np.uint32).reshape(len(b), -1)
-    found = []
+@F.pandas_udf(BinaryType())
+def bitmap(grams: pd.Series) -> pd.Series:
+    """A bit for each shingle hash, modulo the bits of a power of two of 64 to 8192 bytes, no fewer than there are shingles."""
+    out = []
+    for g in grams:
+        n = 64
+        while n < min(len(g), 8192):
+            n *= 2
+        bits = np.zeros(8 * n, dtype=np.uint8)
+        bits[g.view(U) % U(8 * n)] = 1
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return pd.Series(out)
+
+
+def _across(forest: bool):
+    """Pairs across classes that may be similar, in runs of rows with equal (key, cell), sorted by these."""
+
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            code = (b["key"].ne(b["key"].shift()) | b["cell"].ne(b["cell"].shift())).cumsum().to_numpy()
+            cut = int(np.searchsorted(code, code[-1]))  # the last run may go on
+            held = b.iloc[cut:].reset_index(drop=True)
+            if cut:
+                yield _pairs(b.iloc[:cut], code[:cut], forest)
+        if held is not None and len(held):
+            yield _pairs(held, np.zeros(len(held), dtype=int), forest)
+
+    return across
+
+
+def _folded(maps: list[bytes], n: int) -> np.ndarray:
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(m, dtype=np.uint8).reshape(-1, n), axis=0) for m in maps])
+
+
+def _run_pairs(own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the pairs of one run that may be similar, and the bound of their similarity."""
+    label, block, size, shared = (own[c].to_numpy(np.int64) for c in ("label", "block", "size", "shared"))
+    i, j = divmod(int(own["cell"].iloc[0]), int(own["blocks"].iloc[0]))
+    first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    length = own["map"].map(len).to_numpy()
+    maps = {n: _folded([m if len(m) >= n else m * (n // len(m)) for m in own["map"]], n) for n in np.unique(length).tolist()}
+    out = []
+    for at in range(0, len(first), 64):
+        f = first[at : at + 64]
+        most = np.minimum(shared[f][:, None], shared[second][None, :])
+        may = (label[f][:, None] != label[second][None, :]) & (most >= SIMILARITY * (size[f][:, None] + size[second][None, :] - most))
+        x, y = np.nonzero(may)
+        x, y = f[x], second[y]
+        width = np.minimum(length[x], length[y])
+        for n in np.unique(width).tolist():
+            p, q, m = x[width == n], y[width == n], maps[n]
+            step = max(1, (16 << 20) // n)
+            for k in range(0, len(p), step):
+                a, b = p[k : k + step], q[k : k + step]
+                differ = np.bitwise_count(m[a] ^ m[b]).sum(axis=1, dtype=np.int64)
+                both = size[a] + size[b]
+                bound = (both - differ) / (both + differ)
+                near = bound >= SIMILARITY
+                out.append((a[near], b[near], bound[near]))
+    return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, dtype=float if k == 2 else int) for k in range(3))
+
+
+def _pairs(b: pd.DataFrame, code: np.ndarray, forest: bool) -> pd.DataFrame:
+    found = [np.zeros((0, 2), dtype=np.int64)]
     ends = np.flatnonzero(np.diff(code, append=code[-1] + 1)) + 1
     for s, e in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
-        own = np.arange(s, e)
-        i, j = divmod(int(cell[s]), int(n_blocks[s]))
-        first, second = own[block[own] == i], own[block[own] == j]
-        for at in range(0, len(first), 64):
-            f = first[at : at + 64]
-            share = np.zeros((len(f), len(second)), dtype=np.int32)
-            for c in range(sig.shape[1]):
-                share += sig[f, c][:, None] == sig[second, c][None, :]
-            x, y = np.nonzero((share >= EST_MIN * sig.shape[1]) & (label[f][:, None] != label[second][None, :]))
-            found += zip(np.minimum(node[f[x]], node[second[y]]).tolist(), np.maximum(node[f[x]], node[second[y]]).tolist(), strict=True)
-    return pd.DataFrame(sorted(set(found)), columns=["b", "a"])[["a", "b"]]
+        own = b.iloc[s:e]
+        x, y, bound = _run_pairs(own)
+        node, label = own["node"].to_numpy(np.int64), own["label"].to_numpy(np.int64)
+        if forest and len(x):
+            root = {v: v for v in label.tolist()}
+
+            def top(v: int, root=root) -> int:
+                while root[v] != v:
+                    root[v] = root[root[v]]
+                    v = root[v]
+                return v
+
+            kept = []
+            for k in np.argsort(-bound, kind="stable").tolist():
+                p, q = top(int(label[x[k]])), top(int(label[y[k]]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    kept.append(k)
+            x, y = x[kept], y[kept]
+        found.append(np.stack([np.maximum(node[x], node[y]), np.minimum(node[x], node[y])], axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def across_classes(members: DataFrame, labels: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of one bucket in different classes that the bounds let through."""
+    now = members.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    now = written(now, "near-meeting")
+    meeting = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    rows = written(now.join(meeting, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")), "near-mixed")
+    inside = sets.join(rows.select("node").distinct(), "node", "left_semi")
+    about = inside.select("node", bitmap("grams").alias("map")).join(shared_sizes(inside), "node")
+    # a node that shares too little with all others has no link
+    about = written(about.where(F.col("shared") >= SIMILARITY * F.col("size")), "near-open")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
+    # cell i * blocks + j holds the blocks i <= j
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least("block", o) * F.col("blocks") + F.greatest("block", o))
+    celled = rows.join(about, "node").withColumn("cell", F.explode(cells)).select("key", "cell", "node", "label", "block", "blocks", "size", "shared", "map")
+    celled = celled.repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
+    return written(celled.mapInPandas(_across(forest), "a long, b long").distinct(), "near-pairs")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -253,28 +378,20 @@ def classes(docs: DataFrame) -> DataFrame:
     full = written(full, "near-buckets")
     members = written(banded.join(full, "key").select("key", "node", "leader", "n"), "near-members")
     sigs = known.select("node", "sig")
-
-    def estimated(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
-        both = left.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-        return written(both.where(estimate("sa", "sb") >= EST_MIN).select("a", "b"), "near-pairs")
-
-    stars = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    links = verified(docs, estimated(stars))
+    sets = written(shingle_sets(docs, members.select("node").distinct()), "near-sets")
+    led = members.join(central_nodes(members, sigs), "key", "left").select("node", F.coalesce("central", "leader").alias("leader"))
+    stars = led.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    left = stars.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
+    both = left.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    likely = written(both.where(estimate("sa", "sb") >= EST_MIN).select("a", "b"), "near-pairs")
+    links = verified(sets, likely)
     labels = components(links)
-    # buckets where classes meet that no link joins yet
-    now = members.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    now = written(now, "near-meeting")
-    meeting = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    mixed_rows = now.join(meeting, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
-    mixed_rows = mixed_rows.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
-    # cell i * blocks + j holds the blocks i <= j
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least("block", o) * F.col("blocks") + F.greatest("block", o))
-    celled = mixed_rows.withColumn("cell", F.explode(cells)).join(sigs, "node").select("key", "cell", "node", "label", "block", "blocks", "sig")
-    celled = celled.repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
-    pairs = written(celled.mapInPandas(_across, "a long, b long").distinct(), "near-pairs")
-    if not pairs.isEmpty():
-        labels = components(links.union(verified(docs, pairs)))
+    for forest in (True, False):
+        pairs = across_classes(members, labels, sets, forest)
+        if pairs.isEmpty():
+            break
+        links = written(links.union(verified(sets, pairs)), "near-links")
+        labels = components(links)
     of_text = nodes.select("k1", "k2", "node").join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"))
     of_row = rows.select("doc_id", "k1", "k2").join(of_text, ["k1", "k2"]).select("doc_id", "class_id")
     # rows without words, and every row once
