@@ -38,7 +38,9 @@ SHIFT = 256
 MAX_TILES = 65535 // 24
 MAX_PAYLOAD = MAX_TILES * MAX_TILES * UNIT
 #: Payload bytes that are decoded together.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
+#: Texts that are written together.
+TEXTS = 512
 
 #: Zigzag: the place (row * 8 + column) of the n-th coefficient of a block, along the anti-diagonals by turns.
 ZIGZAG = np.array([r * 8 + c for r, c in sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (x[0] + x[1], x[0] if (x[0] + x[1]) % 2 else x[1]))])
@@ -330,8 +332,10 @@ def store(docs: DataFrame) -> DataFrame:
 
     def write(batches):
         for b in batches:
-            texts = b["text"]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in texts], "media": [encode(payload(t)) for t in texts]})
+            for at in range(0, len(b), TEXTS):
+                part = b.iloc[at : at + TEXTS]
+                texts = part["text"]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in texts], "media": [encode(payload(t)) for t in texts]})
 
     return docs.select("doc_id", "text").mapInPandas(write, "doc_id long, n_bytes long, media binary")
 
