@@ -15,6 +15,8 @@ their order-1 probabilities leave, so each distribution sums to 1. d is Katz's G
 a history whose continuations were all seen over K times would leave no mass. A text starts from a start mark and
 ends with an end token.
 
+A partition's sums for a document travel in single precision, which leaves its score right to about 1e-7 of itself.
+
 Tokens so frequent that one would fill a partition are dealt by (history, token) over all of them, and their counts are summed
 across partitions. Which ones is read from a sample of documents; that list decides where tokens are counted,
 not what is counted.
@@ -26,6 +28,7 @@ doc_id counts as the text of a null, in training; only doc_id and text are read,
 
 from __future__ import annotations
 
+import ctypes
 import math
 import zlib
 from collections import defaultdict
@@ -46,8 +49,8 @@ from semblance.llm.neardup import GOLD, U, mixed
 #: Counts up to this one are discounted.
 K = 5
 #: Text bytes of a partition and tokens of a chunk, about.
-PARTITION_BYTES = 32 << 20
-CHUNK_TOKENS = 1_500_000
+PARTITION_BYTES = 20 << 20
+CHUNK_TOKENS = 600_000
 MIN_PARTITIONS = 12
 #: One in so many documents is looked at for frequent tokens.
 SAMPLE = 32
@@ -114,14 +117,24 @@ def discounts(coc: list[int]) -> np.ndarray:
     return d
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system where the C library can, so that workers that live on do not keep their peak."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _pack(**arrays: np.ndarray) -> bytes:
-    """Arrays, whole numbers in as few bytes as they need, compressed."""
+    """Arrays, whole numbers in as few bytes as they need, byte plane by byte plane, compressed. `names` are sorted and
+    stored as differences."""
     parts = []
     for name, a in arrays.items():
+        if name == "names" and len(a):
+            a = np.diff(a, prepend=U(0))
         if a.dtype == np.int64:
             most = int(a.max()) if len(a) else 0
             a = a.astype(np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32 if most < 1 << 32 else np.int64)
-        data = a.tobytes()
+        data = a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b""
         parts.append(f"{name} {a.dtype.str} {len(data)}\n".encode() + data)
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
@@ -131,7 +144,10 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
     while at < len(data):
         end = data.index(b"\n", at)
         name, kind, size = data[at:end].decode().split()
-        a = np.frombuffer(data, dtype=kind, count=int(size) // np.dtype(kind).itemsize, offset=end + 1)
+        planes = np.frombuffer(data, dtype=np.uint8, count=int(size), offset=end + 1).reshape(np.dtype(kind).itemsize, -1)
+        a = np.ascontiguousarray(planes.T).view(kind).ravel()
+        if name == "names":
+            a = np.cumsum(a, dtype=U)
         out[name] = a.astype(np.int64) if a.dtype.kind == "u" and a.dtype.itemsize < 8 else a
         at = end + 1 + int(size)
     return out
@@ -175,6 +191,8 @@ def _chunks(batches: Iterator[pd.DataFrame], route: Route) -> Iterator[pd.DataFr
             own = doc[a:b]
             rows.append((int(part[a]), chunk, b"t" + _pack(names=names, v=at[: b - a], w=at[b - a :], doc=own, out=out[own].astype(np.int64))))
         number, ids, texts, size = number + 1, [], [], 0
+        del v, w, doc, part, order
+        _give_back()
         return pd.DataFrame(rows, columns=["part", "chunk", "blob"])
 
     for b in batches:
@@ -200,31 +218,37 @@ def frequent(docs: DataFrame, parts: int) -> np.ndarray:
 
 
 class Tokens:
-    """All occurrences of a partition's tokens, grouped by token and then history."""
+    """All occurrences of a partition's tokens, grouped by token and then history.
+
+    An occurrence is kept as four small numbers: its place among the tokens and among the pairs, its document (counted
+    over all chunks) and whether that is for training."""
 
     def __init__(self, blobs: list[tuple[int, bytes]]):
         self.headers = [(c, b) for c, b in blobs if b[:1] == b"h"]
         parts = [(c, _unpack(b[1:])) for c, b in blobs if b[:1] == b"t"]
-        self.chunks = sorted({c for c, _ in parts})
-        rank = {c: i for i, c in enumerate(self.chunks)}
+        self.chunks = [c for c, _ in parts]
+        # documents of chunk i count from base[i] on
+        self.base = np.cumsum([0, *(int(p["doc"].max()) + 1 for _, p in parts)])
         join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, dtype=kind)
-        self.v = join([p["names"][p["v"]] for _, p in parts], U)
-        self.w = join([p["names"][p["w"]] for _, p in parts], U)
-        self.doc = join([p["doc"].astype(np.int32) for _, p in parts], np.int32)
+        names = np.unique(join([p["names"] for _, p in parts], U))
+        codes = [np.searchsorted(names, p["names"]).astype(np.int32) for _, p in parts]
+        v = join([c[p["v"]] for c, (_, p) in zip(codes, parts, strict=True)], np.int32)
+        w = join([c[p["w"]] for c, (_, p) in zip(codes, parts, strict=True)], np.int32)
+        self.doc = join([(p["doc"] + b).astype(np.int32) for b, (_, p) in zip(self.base, parts, strict=False)], np.int32)
         self.train = join([p["out"] == 0 for _, p in parts], bool)
-        self.chunk = join([np.full(len(p["v"]), rank[c], dtype=np.int32) for c, p in parts], np.int32)
-        del parts
-        order = np.lexsort((self.v, self.w))
-        for name in ("v", "w", "doc", "train", "chunk"):
-            setattr(self, name, getattr(self, name)[order])
-        new_w = np.diff(self.w, prepend=~self.w[:1]) != 0
-        new_pair = new_w | (np.diff(self.v, prepend=~self.v[:1]) != 0)
-        self.of_w, self.of_pair = np.cumsum(new_w) - 1, np.cumsum(new_pair) - 1
-        self.words = self.w[new_w]
-        self.pair_v, self.pair_w = self.v[new_pair], self.of_w[new_pair]
-        # sums of booleans over sorted groups
-        self.word_counts = np.bincount(self.of_w, weights=self.train, minlength=len(self.words)).astype(np.int64)
-        self.pair_counts = np.bincount(self.of_pair, weights=self.train, minlength=len(self.pair_v)).astype(np.int64)
+        del parts, codes
+        order = np.lexsort((v, w)).astype(np.int32)
+        v, w, self.doc, self.train = v[order], w[order], self.doc[order], self.train[order]
+        del order
+        new_w = np.diff(w, prepend=np.int32(-1)) != 0
+        new_pair = new_w | (np.diff(v, prepend=np.int32(-1)) != 0)
+        self.of_w, self.of_pair = (np.cumsum(x, dtype=np.int32) - np.int32(1) for x in (new_w, new_pair))
+        self.words = names[w[new_w]]
+        self.pair_v, self.pair_w = names[v[new_pair]], self.of_w[new_pair]
+        del v, w, names
+        _give_back()
+        self.word_counts = np.bincount(self.of_w[self.train], minlength=len(self.words))
+        self.pair_counts = np.bincount(self.of_pair[self.train], minlength=len(self.pair_v))
 
 
 def _coc(c: np.ndarray) -> np.ndarray:
@@ -264,20 +288,13 @@ def fit(exchanged: RDD, route: Route) -> Model:
     return Model(tokens, distinct, documents, d, discounts(sums[K + 2 : 2 * (K + 2)]), hot, counts, lost / tokens if tokens else 1.0)
 
 
-def _by_chunk(chunks: list[int], chunk: np.ndarray, doc: np.ndarray, **values: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(chunk, blob) of the sums of the values for each document."""
-    order = np.argsort(chunk, kind="stable")
-    cuts = np.searchsorted(chunk[order], np.arange(len(chunks) + 1))
+def _by_chunk(chunks: list[int], base: np.ndarray, doc: np.ndarray, values: dict[str, np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """(chunk, blob) of the sums for each document that has any; doc: which documents the values are of, counted over all chunks."""
+    cuts = np.searchsorted(doc, base)
     for i, c in enumerate(chunks):
-        own = order[cuts[i] : cuts[i + 1]]
-        if not len(own):
-            continue
-        docs = doc[own]
-        seen = np.flatnonzero(np.bincount(docs))
-        sums = {n: np.bincount(docs, weights=x[own])[seen] for n, x in values.items()}
-        if "known" in sums:
-            sums["known"] = sums["known"].astype(np.int64)
-        yield c, b"s" + _pack(doc=seen, **sums)
+        own = slice(cuts[i], cuts[i + 1])
+        if cuts[i] < cuts[i + 1]:
+            yield c, b"s" + _pack(doc=(doc[own] - base[i]).astype(np.int64), **{n: x[own] for n, x in values.items()})
 
 
 def _worth(blobs: Iterator[tuple[int, tuple[int, bytes]]], route: Route, model: Model) -> Iterator[tuple[int, tuple[int, bytes]]]:
@@ -297,8 +314,11 @@ def _worth(blobs: Iterator[tuple[int, tuple[int, bytes]]], route: Route, model:
     inside = np.where(seen, np.log10(np.maximum(_discounted(model.bi, t.pair_counts), 1e-300)), np.log10(p_uni)[t.pair_w])
     # as the history of the next token, where there is one
     as_history = np.where((counts > 0) & (t.words != END), -np.log10(np.maximum(denominator(counts), 1)), 0.0)
-    score = inside[t.of_pair] + as_history[t.of_w]
-    for c, b in _by_chunk(t.chunks, t.chunk, t.doc, base=model.base(counts)[t.of_w], known=(counts > 0)[t.of_w].astype(np.float64), score=score):
+    n_docs = int(t.base[-1])
+    sums = lambda x: np.bincount(t.doc, weights=x, minlength=n_docs)
+    has = np.flatnonzero(np.bincount(t.doc, minlength=n_docs))
+    values = {"base": sums(model.base(counts)[t.of_w])[has].astype(np.float32), "known": sums((counts > 0)[t.of_w])[has].astype(np.int64), "score": (sums(inside[t.of_pair]) + sums(as_history[t.of_w]))[has].astype(np.float32)}
+    for c, b in _by_chunk(t.chunks, t.base, has, values):
         yield c % route.parts, (c, b)
     # counts of own tokens for their own partition
     own = ~hot & (counts > 0)
@@ -316,7 +336,9 @@ def _worth(blobs: Iterator[tuple[int, tuple[int, bytes]]], route: Route, model:
         yield from _routed(route, v[first], b"m", taken=taken, lower=lower)
     unseen = np.flatnonzero(~seen[t.of_pair])
     if len(unseen):
-        yield from _routed(route, t.v[unseen], b"r", chunk=np.array(t.chunks, dtype=np.int64)[t.chunk[unseen]].view(U), doc=t.doc[unseen].astype(np.int64))
+        doc = t.doc[unseen].astype(np.int64)
+        at = np.searchsorted(t.base, doc, side="right") - 1
+        yield from _routed(route, t.pair_v[t.of_pair[unseen]], b"r", chunk=np.array(t.chunks, dtype=np.int64)[at].view(U), doc=doc - t.base[at])
 
 
 def _routed(route: Route, w: np.ndarray, kind: bytes, **arrays: np.ndarray) -> Iterator[tuple[int, tuple[int, bytes]]]:
@@ -368,7 +390,9 @@ def _back_off(blobs: Iterator[tuple[int, tuple[int, bytes]]], model: Model) -> I
     # the denominator was taken off for every history
     value = _lookup(w, np.log10(np.maximum(alpha, 1e-300)) + np.log10(den), v, 0.0)
     chunks, rank = np.unique(chunk, return_inverse=True)
-    yield from _by_chunk(chunks.tolist(), rank, doc, score=value)
+    wide = int(doc.max()) + 1
+    has, at = np.unique(rank * wide + doc, return_inverse=True)
+    yield from _by_chunk(chunks.tolist(), np.arange(len(chunks) + 1) * wide, has, {"score": np.bincount(at, weights=value).astype(np.float32)})
 
 
 def _finish(blobs: Iterator[tuple[int, bytes]], model: Model) -> Iterator[tuple]:
