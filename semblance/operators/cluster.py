@@ -16,6 +16,8 @@ from semblance.sources.tables import written
 
 #: Rows of a block of the all-pairs join: its matrices take a few megabytes.
 BLOCK = 1024
+#: Rows of a tile of the sums over all pairs: a row is sent once to each tile of the others.
+TILE = 4096
 
 
 def _matrix(v: pd.Series) -> np.ndarray:
@@ -206,6 +208,38 @@ def coherence(items: DataFrame, person: str, item: str, vector: str) -> DataFram
     return rows.groupBy(person).applyInPandas(mean, f"{person} {kind}, n long, coherence double")
 
 
+def sums_to_others(items: DataFrame, item: str, person: str, vector: str, tile: int = TILE) -> DataFrame:
+    """item, person, t: the sum of distances from every item to all items of each person but its own.
+
+    Rows are dealt into tiles by hash, a worker sees two tiles, and what leaves it is one sum an item and person. As
+    with pairs_within, the work is quadratic. Items without a person have no sums."""
+    kind, who = dict(items.dtypes)[item], dict(items.dtypes)[person]
+    n = max(1, -(-items.count() // tile))
+    rows = items.where(F.col(person).isNotNull()).select(F.col(item).alias("item"), F.col(person).alias("person"), V.doubles(vector).alias("v")).withColumn("b", F.pmod(F.xxhash64("item"), F.lit(n)))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"), lambda o: F.least("b", o) * n + F.greatest("b", o))
+
+    def sums(x: pd.DataFrame, y: pd.DataFrame) -> list[pd.DataFrame]:
+        y = y.sort_values("person", kind="stable")
+        mx, my, own = _matrix(x["v"]), _matrix(y["v"]), y["person"].to_numpy()
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        people, out = own[first], []
+        for at in range(0, len(x), 512):
+            t = np.add.reduceat(kernels.pair_distances(mx[at : at + 512], my), first, axis=1)
+            i, j = np.nonzero(x["person"].to_numpy()[at : at + 512, None] != people[None, :])
+            out.append(pd.DataFrame({"item": x["item"].to_numpy()[at + i], "person": people[j], "t": t[i, j]}))
+        return out
+
+    def cell(p: pd.DataFrame) -> pd.DataFrame:
+        i, j = divmod(int(p["cell"].iloc[0]), n)
+        x, y = p[p["b"] == i], p[p["b"] == j]
+        if x.empty or y.empty:
+            return pd.DataFrame({"item": [], "person": [], "t": []})
+        return pd.concat(sums(x, y) + (sums(y, x) if i != j else []), ignore_index=True)
+
+    parts = rows.withColumn("cell", F.explode(cells)).groupBy("cell").applyInPandas(cell, f"item {kind}, person {who}, t double")
+    return parts.groupBy("item", "person").agg(F.sum("t").alias("t"))
+
+
 def linkage(items: DataFrame, person: str, vector: str) -> DataFrame:
     """person_a < person_b and the mean of all cross distances (average linkage)."""
     x = items.select(F.col(person).alias("person_a"), V.doubles(vector).alias("x"))

@@ -157,6 +157,15 @@ def coherence_after_adding(spark, d):
     return t.join(c, "label").select("item", "label", F.round(V.coherence_with_one_more(F.col("s"), F.col("n"), F.col("t")), 6).alias("coherence"))
 
 
+@query()
+def coherence_after_adding_all(spark, d):
+    """Every item against every other person. coherence_after_adding has the first 20 items alone, as its SQL does."""
+    f = _faces(spark, d)
+    c = cluster.coherence(f, "label", "item", "v").withColumn("s", F.col("coherence") * F.col("n") * (F.col("n") - 1) / 2)
+    t = cluster.sums_to_others(f, "item", "label", "v").withColumnRenamed("person", "label")
+    return t.join(c, "label").select("item", "label", F.round(V.coherence_with_one_more(F.col("s"), F.col("n"), F.col("t")), 6).alias("coherence"))
+
+
 # --- filters and scalar functions
 
 
