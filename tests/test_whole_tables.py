@@ -31,3 +31,22 @@ def test_tiles_give_the_same_sums(spark):
     f = Q._faces(spark, SF)
     one, many = ({(r["item"], r["person"]): r["t"] for r in cluster.sums_to_others(f, "item", "label", "v", tile).collect()} for tile in (4096, 64))
     assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k]) for k in one)
+
+
+def test_exclusion_counts_every_line(spark):
+    gone = {r["o_orderkey"] for r in spark.read.parquet(f"{SF}/orders.parquet").where("o_custkey % 2 = 0").collect()}
+    want = {}
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_suppkey").collect():
+        if r["l_orderkey"] not in gone:
+            want[r["l_suppkey"]] = want.get(r["l_suppkey"], 0) + 1
+    assert {r["person_id"]: r["n_faces"] for r in Q.exclude_group_all(spark, SF).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["incremental", "reclustered", "stream_sweep"])
+def test_resolution_takes_every_face(spark, name):
+    items = embeddings(spark)[0]
+    sizes = {r["count"] for r in Q._detections(spark, SF).groupBy("photo_id").count().collect()}
+    assert 2 in sizes and max(sizes) > 2
+    want = {f"ph{i // 4}{'b' if i // 4 % 5 == 0 and i % 4 >= 2 else ''}:{i % 4}" for i in items}
+    got = [r["face_id"] for r in Q.QUERIES[name](spark, SF).collect()]
+    assert len(want) == len(items) == len(got) and set(got) == want
