@@ -61,10 +61,10 @@ def _order(doc_id: Column) -> Column:
     return F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """docs (doc_id, text, source): doc_id, size, source, source_size, target, repeats, taken."""
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text, source): doc_id, size, source, source_size, target, repeats, taken, and the columns to carry."""
     sized = written(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"),
-                                _order(F.col("doc_id")).alias("ord")), "mix-sizes")
+                                _order(F.col("doc_id")).alias("ord"), *carry), "mix-sizes")
     slice_ = F.substring("ord", 1, DIGITS)
     sums = sized.groupBy("source", slice_.alias("slice")).agg(F.sum("size").alias("bytes"))
     sums = written(sums, "mix-slices")
@@ -88,14 +88,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: floa
     edge = edge.withColumn("more", (F.col("cut_before") + F.col("_run") <= F.col("rest")).cast("long")).drop("_run")
     out = clear.unionByName(edge)
     repeats = F.least(F.col("whole") + F.col("more"), F.lit(int(max_epochs)).cast("long"))
-    return out.select("doc_id", "size", "source", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", "source", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"), *carry)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it, with the columns of docs. Rows are found by doc_id."""
-    times = mix(docs.select("doc_id", "text", "source")).where("repeats > 0").groupBy("doc_id").agg(F.max("repeats").cast("int").alias("_times"))
-    again = docs.join(times, "doc_id").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return again.select(*docs.columns)
+    """docs with each row as often as the mix takes it, with the columns of docs. Rows travel with their own count: ids
+    may be null or repeated."""
+    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    taken = mix(rows, carry=("_row",)).where("repeats > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("_row.*")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -20,9 +20,13 @@ Buckets, partners and classes have no cap.
 
 A pair of similarity 0.8 shares no band with probability 3e-5.
 
+Rows and nodes are known by a 64-bit hash of doc_id and text, not by doc_id, which may be null or repeated; a node has
+the least of its rows.
+
 Defined cases: null, empty and wordless texts are classes of their own; ties take the least doc_id; repeated rows
-share a class; a null doc_id keeps its row, with the class of its text if that has another id; an empty table
-gives an empty result; only doc_id and text are read, so other columns cannot clash.
+share a class; rows with one doc_id and different texts are matched apart; rows without a doc_id are matched like others,
+and a class without any doc_id has a null class_id and still keeps one row; an empty table gives an empty result; only
+doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
@@ -45,7 +49,7 @@ EST_MIN = 0.6
 BLOCK = 512
 #: Buckets up to this size are led by their least node; members of a larger one that vote on its consensus.
 SMALL, VOTERS = 16, 64
-#: Bits of the sieve that spares most texts the exchange by doc_id: a fixed size, whatever the corpus.
+#: Bits of the sieve that spares most texts the exchange by row: a fixed size, whatever the corpus.
 SIEVE_BITS = 1 << 22
 #: Words of a batch that are hashed together.
 CHUNK = 500_000
@@ -130,7 +134,17 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-SIGNED = "doc_id long, k1 long, k2 long, sig binary, bands array<long>"
+def bare() -> Column:
+    """Whether a row has no word."""
+    return ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with `row`, the key of a row: null ids are passed over by the hash, so such rows are known by their text."""
+    return docs.withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+SIGNED = "row long, doc_id long, known boolean, k1 long, k2 long, sig binary, bands array<long>"
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -139,11 +153,11 @@ def signed(docs: DataFrame) -> DataFrame:
     def sign(batches):
         for b in batches:
             ids, keys, parts, size = [], [], [], 0
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+            for text, *own in zip(b["text"], b["row"], b["doc_id"], b["known"], strict=True):
                 words = _words(text)
                 if not words:
                     continue
-                ids.append(doc_id)
+                ids.append(own)
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 parts.append(shingles(words))
                 size += len(words)
@@ -153,13 +167,17 @@ def signed(docs: DataFrame) -> DataFrame:
             if ids:
                 yield _signed(ids, keys, parts)
 
-    return docs.select("doc_id", "text").mapInPandas(sign, SIGNED)
+    # a column with nulls would reach pandas as floats, which round large ids
+    rows = keyed(docs).select("row", F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text")
+    signs = rows.mapInPandas(sign, SIGNED)
+    return signs.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known")
 
 
 def _signed(ids: list, keys: list[bytes], parts: list[np.ndarray]) -> pd.DataFrame:
     sig = dart_signatures(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), len(parts))
     both = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
-    return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64") if any(i is None or i != i for i in ids) else ids, "k1": both[:, 0], "k2": both[:, 1], "sig": [s.tobytes() for s in sig], "bands": list(band_keys(sig))})
+    own = dict(zip(("row", "doc_id", "known"), zip(*ids, strict=True), strict=True))
+    return pd.DataFrame(own | {"k1": both[:, 0], "k2": both[:, 1], "sig": [s.tobytes() for s in sig], "bands": list(band_keys(sig))})
 
 
 def _similar(a: pd.Series, b: pd.Series) -> np.ndarray:
@@ -183,13 +201,13 @@ def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without most rows whose doc_id is not in ids: a one-hash filter of SIEVE_BITS bits, joined as a table of words.
+    """docs without most rows whose `row` is not in ids: a one-hash filter of SIEVE_BITS bits, joined as a table of words.
     It never loses a row of ids; past its capacity it only lets more through."""
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
     bit = lambda h: F.expr(f"shiftleft(1L, cast({h} % 32 as int))")
-    held = ids.select(at(F.col("doc_id")).alias("_h")).select(F.floor(F.col("_h") / 32).alias("_word"), bit("_h").alias("_bit"))
+    held = ids.select(at(F.col("row")).alias("_h")).select(F.floor(F.col("_h") / 32).alias("_word"), bit("_h").alias("_bit"))
     table_ = held.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    rows = docs.withColumn("_h", at(F.col("doc_id"))).withColumn("_word", F.floor(F.col("_h") / 32))
+    rows = docs.withColumn("_h", at(F.col("row"))).withColumn("_word", F.floor(F.col("_h") / 32))
     return rows.join(F.broadcast(table_), "_word").where(F.col("_bits").bitwiseAND(bit("_h")) != 0).select(*docs.columns)
 
 
@@ -198,11 +216,11 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def grams(batches):
         for b in batches:
-            yield pd.DataFrame({"node": b["doc_id"], "grams": [np.unique(shingles(_words(t))).view(np.int64) for t in b["text"]]})
+            yield pd.DataFrame({"node": b["row"], "grams": [np.unique(shingles(_words(t))).view(np.int64) for t in b["text"]]})
 
-    ids = nodes.select(F.col("node").alias("doc_id"))
+    ids = nodes.select(F.col("node").alias("row"))
     # an inner join: a semi join would be moved below the sieve
-    texts = sieved(docs, ids).join(ids.distinct(), "doc_id").dropDuplicates(["doc_id"])
+    texts = sieved(keyed(docs), ids).join(ids.distinct(), "row").dropDuplicates(["row"])
     return texts.mapInPandas(grams, "node long, grams array<long>")
 
 
@@ -367,17 +385,16 @@ def across_classes(members: DataFrame, labels: DataFrame, sets: DataFrame, fores
     return written(celled.mapInPandas(_across(forest), "a long, b long").distinct(), "near-pairs")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class) of every row of docs (doc_id, text)."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """row, doc_id, label (the class) of every row with words, for docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     rows = written(signed(docs), "near-signed")
-    nodes = written(rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-nodes")
-    known = nodes.where(F.col("node").isNotNull())
-    banded = known.select("node", F.explode("bands").alias("key"))
+    nodes = written(rows.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-nodes")
+    banded = nodes.select("node", F.explode("bands").alias("key"))
     full = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     full = written(full, "near-buckets")
     members = written(banded.join(full, "key").select("key", "node", "leader", "n"), "near-members")
-    sigs = known.select("node", "sig")
+    sigs = nodes.select("node", "sig")
     sets = written(shingle_sets(docs, members.select("node").distinct()), "near-sets")
     led = members.join(central_nodes(members, sigs), "key", "left").select("node", F.coalesce("central", "leader").alias("leader"))
     stars = led.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
@@ -392,17 +409,35 @@ def classes(docs: DataFrame) -> DataFrame:
             break
         links = written(links.union(verified(sets, pairs)), "near-links")
         labels = components(links)
-    of_text = nodes.select("k1", "k2", "node").join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"))
-    of_row = rows.select("doc_id", "k1", "k2").join(of_text, ["k1", "k2"]).select("doc_id", "class_id")
+    of_text = nodes.select("k1", "k2", "node").join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("label"))
+    return written(rows.select("row", "doc_id", "k1", "k2").join(of_text, ["k1", "k2"]).select("row", "doc_id", "label"), "near-labelled")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class) of every row of docs (doc_id, text)."""
+    docs = docs.select("doc_id", "text")
+    rows = _labelled(docs)
+    least = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("_n"))
+    # a class of one row needs no join
+    many = least.where("_n > 1").select("label", "class_id", F.lit(True).alias("_many"))
+    of_row = rows.join(many, "label", "left").select("doc_id", F.when(F.col("_many"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
     # rows without words, and every row once
-    bare = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"))
-    return of_row.unionByName(bare)
+    return of_row.unionByName(docs.where(bare()).select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """One row of docs for each class, that of the least doc_id, with the columns of docs."""
-    kept = classes(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of docs for each class, that of the least doc_id, with the columns of docs. Rows without words are classes
+    of their own; of those that repeat a doc_id and text, one stays."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    own = docs.withColumn(name, F.xxhash64("doc_id", "text"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    kept = _labelled(docs.select("doc_id", "text")).groupBy("label").agg(F.min(rank).alias("m")).select(F.col("m.row").alias(name)).distinct()
+    worded = own.where(~bare()).join(kept, name, "left_semi").dropDuplicates([name])
+    wordless = own.where(bare())
+    named = wordless.where(F.col("doc_id").isNotNull()).dropDuplicates([name])
+    return worded.unionByName(named).unionByName(wordless.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -40,3 +40,13 @@ def test_odd_rows(spark, docs, odd):
     assert M.mix(odd.limit(0)).count() == 0
     assert M.repeated(docs((1, "a b c", "x"), (2, "d e f", "y"))).columns == odd.columns
     assert {r["target"] for r in M.mix(docs((1, "", "x"))).collect()} == {0.0}
+
+
+def test_repeated_takes_rows_without_an_id_and_with_equal_ids(spark, docs):
+    rows = [(None, f"n{i} w w", "x") for i in range(30)] + [(5, f"r{i} " + "w " * i, "x") for i in range(30)] + [(i + 10, "v w", "y") for i in range(20)]
+    df = docs(*rows)
+    plan, out = M.mix(df).collect(), M.repeated(df).collect()
+    count = lambda keep, rows_: sum(r.asDict().get("repeats", 1) for r in rows_ if keep(r["doc_id"]))
+    for keep in (lambda i: i is None, lambda i: i == 5, lambda i: i is not None and i >= 10):
+        assert count(keep, plan) == count(keep, out) > 0
+    assert sum(len(r["text"].split()) for r in out) == sum(r["taken"] for r in plan)

@@ -76,3 +76,18 @@ def test_blocks_find_all_pairs(monkeypatch, spark, docs):
     rows = [(i, " ".join(edited(rng, base, 3))) for i in range(40)]
     got = {r["doc_id"]: r["class_id"] for r in N.classes(docs(*rows)).collect()}
     assert got == slow_classes(rows)
+
+
+def test_rows_without_an_id_or_with_a_repeated_one(spark, docs):
+    rng = random.Random(8)
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    big = 2**60 + 1  # more than a float holds
+    rows = [(None, " ".join(a)), (None, " ".join(b)), (big, " ".join(edited(rng, b, 1))), (7, " ".join(c)), (7, " ".join(d)), (7, " ".join(d)), (None, " ".join(e)), (None, " ".join(edited(rng, e, 1)))]
+    rows += [(None, None), (None, ""), (9, " "), (9, " ")]
+    got = [(r["doc_id"], r["class_id"]) for r in N.classes(docs(*rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(None, None), (None, big), (big, big), *[(7, 7)] * 3, *[(None, None)] * 4, *[(9, 9)] * 2], key=repr)
+    kept = [(r["doc_id"], r["text"]) for r in N.first_of_each(docs(*rows)).collect()]
+    one_of_e = [k for k in kept if k in rows[6:8]]
+    assert len(one_of_e) == 1
+    want = [rows[0], rows[2], rows[3], rows[4], *one_of_e, (None, None), (None, ""), (9, " ")]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
