@@ -4,8 +4,10 @@ Each host has one reference page, the page of the smallest hash. Runs of like si
 node, so trees stay small, and every page of the host is aligned with the reference by simple tree matching (the
 largest order- and parent-preserving match). Over all pages of a host, exact counts tell for each reference node how many pages have it
 and how many repeat its very text. Nodes that nearly all of them repeat are template; matched nodes with other texts are
-slots. A slot is a content slot unless its place says that it is a menu, form, notice and so on, or links take
-most of its text over all pages; nodes that match nothing are judged by their place alone.
+slots. What the reference lacks (another layout, an error page) is counted by its path, the signs from the root down: a
+text that nearly all pages with the path repeat is template as well, and a path that the reference has not can be a menu.
+Copies of a page count as one page there. A slot is a content slot unless its place says that it is a menu, form, notice and so on, or links take
+most of its text over all pages; nodes that match nothing on a path of too few pages are judged by their place alone.
 
 A page's text is its varying blocks under its article (the deepest element that holds what the content slots of
 its own page hold: `article`, `main` or its role, else the body).
@@ -39,6 +41,8 @@ from semblance.llm.urls import with_host_path
 MIN_PAGES = 8
 #: Share of the pages with a node that must repeat its text for it to be template.
 CONSTANT = 0.95
+#: What sums of shares of pages may miss.
+NEAR = 1e-6
 #: Share of link text above which a slot is a menu.
 LINKED = 0.6
 
@@ -269,32 +273,67 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
+@lru_cache(maxsize=100_000)
+def _below(path: int, sign: str) -> int:
+    return -2 - (_hash(f"{path} {sign}") >> 1)
+
+
+def _paths(f: Fold, above: int = 0) -> Iterator[tuple[int, Fold]]:
+    """Each node with the key of its path, which is negative, unlike the number of a reference node."""
+    own = _below(above, f.sign)
+    yield own, f
+    for c in f.children:
+        yield from _paths(c, own)
+
+
 @lru_cache(maxsize=64)
-def _reference(html: str) -> tuple[Fold, dict[int, frozenset[int]]]:
+def _reference(html: str) -> tuple[Fold, dict[int, frozenset[int]], frozenset[int]]:
     f = fold(parse(html))
-    return f, {x.index: frozenset(_hash(b.text) for b in x.blocks) for x in _each(f)}
+    return f, {x.index: frozenset(_hash(b.text) for b in x.blocks) for x in _each(f)}, frozenset(p for p, _ in _paths(f))
 
 
-def votes(html: str | None, reference: str) -> list[tuple[int, int, int, int, int]]:
-    """(reference node, text hash or -1 for the node, pages, characters, characters in links) of a page."""
-    if not html or html == reference:
+def votes(html: str | None, reference: str, share: float = 1.0) -> list[tuple[int, int, float, int, int]]:
+    """(reference node or path, text hash or -1 for the node, pages, characters, characters in links) of a page.
+    share: 1 over the copies of the page, its weight in the counts of paths."""
+    if not html:
         return []
-    ref, texts = _reference(reference)
+    f = fold(parse(html))
+    by_path: dict[int, tuple[set[int], list[int]]] = {}
+    for path, x in _paths(f):
+        hashes, sums = by_path.setdefault(path, (set(), [0, 0]))
+        for b in x.blocks:
+            hashes.add(_hash(b.text))
+            sums[0] += len(b.text)
+            sums[1] += b.linked
     out = []
-    for own, r in simple_tree_matching(fold(parse(html)), ref)[1]:
-        out.append((r.index, -1, 1, sum(len(b.text) for b in own.blocks), sum(b.linked for b in own.blocks)))
-        out += [(r.index, h, 1, 0, 0) for h in {_hash(b.text) for b in own.blocks} & texts[r.index]]
+    for path, (hashes, (chars, linked)) in by_path.items():
+        if hashes:
+            out.append((path, -1, share, chars, linked))
+            out += [(path, h, share, 0, 0) for h in hashes]
+    if html != reference:
+        ref, texts, _ = _reference(reference)
+        for own, r in simple_tree_matching(f, ref)[1]:
+            out.append((r.index, -1, 1.0, sum(len(b.text) for b in own.blocks), sum(b.linked for b in own.blocks)))
+            out += [(r.index, h, 1.0, 0, 0) for h in {_hash(b.text) for b in own.blocks} & texts[r.index]]
     return out
 
 
 def extract(html: str | None, reference: str | None = None, template: frozenset[tuple[int, int]] = frozenset(), menus: frozenset[int] = frozenset()) -> str:
-    """The main text of a page; template: (reference node, text hash) pairs, menus: reference nodes of links."""
+    """The main text of a page; template: (reference node, text hash) pairs, menus: reference nodes of links;
+    either may have paths in place of reference nodes."""
     if not html:
         return ""
     root = parse(html)
     dropped: dict[int, set[int]] = {}
     if reference and (template or menus):
-        for own, r in simple_tree_matching(fold(root), _reference(reference)[0])[1]:
+        f = fold(root)
+        ref, _, known = _reference(reference)
+        for path, own in _paths(f):
+            for b in own.blocks:
+                h = _hash(b.text)
+                if (path, h) in template or (path in menus and path not in known):
+                    dropped.setdefault(id(b.node), set()).add(h)
+        for own, r in simple_tree_matching(f, ref)[1]:
             for b in own.blocks:
                 h = _hash(b.text)
                 if r.index in menus or (r.index, h) in template:
@@ -321,23 +360,26 @@ def induce(pages: DataFrame) -> DataFrame:
 
     def count(batches):
         for b in batches:
-            sums: dict[tuple, list[int]] = {}
-            for host, html, reference in zip(b["host"], b["html"], b["reference"], strict=True):
-                for index, h, *add in votes(html, reference):
-                    old = sums.setdefault((host, index, h), [0, 0, 0])
+            sums: dict[tuple, list] = {}
+            for host, html, reference, copies in zip(b["host"], b["html"], b["reference"], b["copies"], strict=True):
+                for index, h, *add in votes(html, reference, 1 / copies):
+                    old = sums.setdefault((host, index, h), [0.0, 0, 0])
                     old[:] = [x + y for x, y in zip(old, add, strict=True)]
             yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "node", "hash", "pages", "chars", "linked"])
 
-    counts = pages.select("host", "html").join(refs, "host").mapInPandas(count, "host string, node int, hash long, pages long, chars long, linked long")
+    rows = pages.where(F.length("html") > 0).select("host", "html", F.xxhash64("html").alias("key"))
+    copied = written(rows.groupBy("host", "key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "html-copies")
+    rows = rows.join(copied, ["host", "key"], "left").join(refs, "host").select("host", "html", "reference", F.coalesce("copies", F.lit(1)).alias("copies"))
+    counts = rows.mapInPandas(count, "host string, node long, hash long, pages double, chars long, linked long")
+    least = F.when(F.col("node") < 0, MIN_PAGES + 1).otherwise(MIN_PAGES)  # the reference has its own part in paths
     items = counts.groupBy("host", "node", "hash").agg(*(F.sum(c).alias(c) for c in ("pages", "chars", "linked")))
-    # one row for each node, with the texts of the reference that it repeats
-    nodes = items.groupBy("host", "node").agg(
-        F.max(F.when(F.col("hash") == -1, F.col("pages"))).alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
-        F.collect_list(F.when(F.col("hash") != -1, F.struct("hash", "pages"))).alias("texts")).where(F.col("n") >= MIN_PAGES)
-    fixed = F.transform(F.filter("texts", lambda x: x["pages"] >= F.lit(CONSTANT) * F.col("n")), lambda x: F.struct(F.col("node"), x["hash"].alias("hash")))
-    wrappers = nodes.groupBy("host").agg(
-        F.flatten(F.collect_list(fixed)).alias("template"),
-        F.collect_list(F.when(F.col("linked") > LINKED * F.col("chars"), F.col("node"))).alias("menus"))
+    items = written(items.where((F.col("pages") > CONSTANT * least - NEAR) | ((F.col("hash") == -1) & (F.col("pages") > least - NEAR))), "html-counts")
+    nodes = items.where((F.col("hash") == -1) & (F.col("pages") > least - NEAR)).select("host", "node", F.col("pages").alias("n"), "chars", "linked")
+    texts = items.where("hash <> -1").select("host", "node", "hash", "pages")
+    fixed = texts.join(nodes.select("host", "node", "n"), ["host", "node"]).where(F.col("pages") > CONSTANT * F.col("n") - NEAR)
+    template = fixed.groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("template"))
+    menus = nodes.groupBy("host").agg(F.collect_list(F.when(F.col("linked") > LINKED * F.col("chars"), F.col("node"))).alias("menus"))
+    wrappers = menus.join(template, "host", "left")
     return written(refs.join(wrappers, "host", "left"), "html-wrappers")
 
 

@@ -33,3 +33,19 @@ def test_matching_against_all_matches():
     a, b = (H.fold(H.parse(x)) for x in ("<div><p>1<ul><li>2</ul><p>3</div>", "<div><ul><li>x</ul><h2>y</h2><p>z</div>"))
     size, pairs = H.simple_tree_matching(a, b)
     assert size == len(pairs) == 5  # root, div, ul, li, and the last p
+
+
+def test_layouts_that_the_reference_lacks(spark):
+    def other(i):
+        return f"<html><body><section><p>Subscribe today</p><h2>note {i}</h2></section><section class=x><p><a href=/{i}>go {i} on</a></p></section></body></html>"
+
+    rows = [(i, f"http://h.org/{i}", page(i, f"<p>story {i}</p><p>and {i * i} end</p>")) for i in range(12)]
+    rows += [(100 + i, f"http://h.org/o{i}", other(i)) for i in range(12)]
+    rows += [(200 + i, "http://copies.org/", "<body><p>one story</p>") for i in range(40)] + [(300, "http://copies.org/b", "<body><p>two</p>")]
+    rows += [(400, "http://h.org/err", "<html><body><pre>gone</pre></body></html>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.main_text(df).collect()}
+    for i in range(12):
+        assert got[i] == f"story {i} and {i * i} end" and got[100 + i] == f"note {i}"
+    # copies of one page show no template
+    assert got[200] == "one story" and got[300] == "two" and got[400] == "gone"
