@@ -141,6 +141,15 @@ def cascade(universe: DataFrame, rules: list[str]) -> Cascade:
     return build(listed, false_positives, max(0, n - len(rules)))
 
 
+def joined(rows: DataFrame, verdicts: dict[str, str], default: str) -> DataFrame:
+    """The same by a join of the keys of each distinct (host, path) with the rules, for lists of any length."""
+    listed = rows.sparkSession.createDataFrame(list(verdicts.items()), "_rule string, _verdict string")
+    each = rows.select("host", "path", "_keys").dropDuplicates(["host", "path"]).select("host", "path", F.explode("_keys").alias("_rule")).join(listed, "_rule")
+    best = each.groupBy("host", "path").agg(F.max(F.struct(F.length("_rule").alias("n"), "_rule", "_verdict")).alias("_best"))
+    out = rows.join(best, ["host", "path"], "left").select(*rows.columns, "_best").drop("_keys")
+    return out.withColumns({"rule": F.col("_best._rule"), "verdict": F.coalesce("_best._verdict", F.lit(default))}).drop("_best")
+
+
 def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT, max_bytes: int = MAX_BYTES) -> DataFrame:
     """pages with a url column: adds host, path, rule (the longest that fits) and verdict."""
     spark = pages.sparkSession
@@ -153,7 +162,7 @@ def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT, max_bytes: int
     universe = written(distinct.select(*(_hashes(F.col("k"))[i].alias(f"h{i + 1}") for i in range(2))), "url-keys")
     built = cascade(universe, list(verdicts))
     if built.size() > max_bytes:
-        raise ValueError(f"the cascade takes {built.size()} bytes, over {max_bytes}")
+        return joined(rows, verdicts, default)
     shared = spark.sparkContext.broadcast(built)
 
     @F.pandas_udf("array<boolean>")

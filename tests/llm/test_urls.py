@@ -36,3 +36,9 @@ def test_cascade_is_exact_over_its_universe():
     c = U.build(listed, lambda level: others[level.has(others, 0)], len(others))
     assert c.listed(listed).all() and not c.listed(others).any()
     assert len(c.levels) > 1 and c.size() < 8 * len(listed)
+
+
+def test_lists_past_the_cascade_are_joined(spark):
+    df = spark.createDataFrame(list(enumerate(URLS)) + [(0, URLS[0])], "page_id long, url string")
+    one, two = U.judge(df), U.judge(df, max_bytes=0)
+    assert one.columns == two.columns and sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
