@@ -19,7 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_quality_rules": quality.OP2_SQL,
-    "op5_media_columns": media.op5_media_columns,
     "op6_mixing": mixing.OP6_SQL,
     "op8_url_filters": urls.OP8_SQL,
 }
