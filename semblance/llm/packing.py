@@ -20,10 +20,13 @@ import os
 import string
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +37,12 @@ CLOSING_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Slots of a hash that pieces are ranked in: one for so many pieces, and at least this many.
 SLOT_ROWS, MIN_SLOTS = 50_000, 64
-#: Words whose ids a worker keeps.
-CACHE = 1_000_000
-#: Texts that are encoded together.
-TEXTS = 256
+#: Bytes, about, of words and their ids that a task keeps, what one takes besides its letters, and text encoded together.
+CACHE_BYTES, HELD, SLICE_BYTES = 64 << 20, 200, 4 << 20
 #: Marks behind a word that the tokenizer cuts off as one token run.
 MARKS = string.punctuation.replace("'", "")
+#: Words of ASCII and Latin-1 letters: they are single code points in composed form, and so are their lower-case ones.
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -58,13 +61,17 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes. The tokenizer never joins across white space, nor letters with the
-    marks behind them, so the ids of a text are those of its words in turn. Ids of words are kept until there are CACHE."""
+    """Ids of texts as arrays. The tokenizer never joins across white space, so the ids of a text are those of its words
+    in turn, and each distinct word is encoded once for a slice of texts.
+
+    Nor does it join a run of letters with the ASCII marks behind it, where lower case and composition leave letters
+    letters: LETTERS is the set for which that holds. Such a word is a stem, whose case does not matter, and marks; every other
+    word is encoded whole. Ids of stems, marks and other words are kept from slice to slice, up to CACHE_BYTES."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.known: dict[str, bytes] = {"": b""}
-
+        self.held = 0
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -73,58 +80,93 @@ class Encoder:
         for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        split = {w: (s, w[len(s) :]) if (s := w.rstrip(MARKS)).isalpha() else (w, "") for w in new}
-        known = self.known
-        stems = list({s for s, _ in split.values() if s not in known and s.isalpha()})
+    def _learn(self, stems: list[str], others: list[str]) -> None:
         for at in range(0, len(stems), 1024):  # letters alone are one token run, which an id with a word end closes
             part = stems[at : at + 1024]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) == len(part):
                 data = ids.tobytes()
-                known.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+                self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
             else:
                 self._one_by_one(part)
-        self._one_by_one(list({x for pair in split.values() for x in pair} - known.keys()))
-        for w, (stem, marks) in split.items():
-            known[w] = known[stem] + known[marks]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        found = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set().union(*found) - self.known.keys()
-        if len(self.known) + len(new) > CACHE:
-            self.known = {"": b""}
-            new = set().union(*found)
-        self._learn(new)
-        return [b"".join(map(self.known.__getitem__, w)) for w in found]
-
-
-@lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """One for each worker process, so that its words are kept from task to task."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path)
+        for at in range(0, len(others), 1024):
+            self._one_by_one(others[at : at + 1024])
+        self.held += sum(HELD + 2 * len(w) for w in stems) + sum(HELD + 2 * len(w) for w in others)
+
+    def _ids(self, parts: list[str], letters: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the parts, one after another, and how many each has."""
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {"": b""}, 0
+        known = self.known
+        self._learn([w for w, x in zip(parts, letters, strict=True) if x and w not in known], [w for w, x in zip(parts, letters, strict=True) if not x and w not in known])
+        found = list(map(known.__getitem__, parts))
+        return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, one after another, and how many each has."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        words, word_of = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        stems = pc.utf8_rtrim(words, MARKS)
+        plain = pc.match_substring_regex(stems, LETTERS)
+        # a stem of letters in lower case, or the whole word; and the marks behind a stem
+        first = pc.if_else(plain, pc.utf8_lower(stems), words).dictionary_encode()
+        sizes = [pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (words, stems)]
+        behind = np.where(plain.to_numpy(zero_copy_only=False), sizes[0] - sizes[1], 0)
+        marked = np.flatnonzero(behind)
+        tails, tail_of = np.unique([w[-n:] for w, n in zip(words.take(pa.array(marked)).to_pylist(), behind[marked].tolist(), strict=True)] or [""], return_inverse=True)
+        own = first.indices.to_numpy(zero_copy_only=False)
+        is_plain = np.zeros(len(first.dictionary), dtype=bool)
+        is_plain[own[plain.to_numpy(zero_copy_only=False)]] = True
+        parts = [*first.dictionary.to_pylist(), *tails.tolist(), ""]
+        ids, n = self._ids(parts, [*is_plain.tolist(), *[False] * (len(tails) + 1)])
+        # each word is a part and a tail, which may be the empty one at the end
+        tail = np.full(len(words), len(parts) - 1)
+        tail[marked] = len(is_plain) + tail_of[: len(marked)]
+        of_token = np.stack([own[word_of], tail[word_of]], axis=1).ravel() if len(word_of) else np.zeros(0, dtype=np.int64)
+        length = n[of_token]
+        ends = np.cumsum(length)
+        start = np.cumsum(n) - n
+        at = np.repeat(start[of_token] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+        upto = np.append(0, ends)[2 * split.offsets.to_numpy().astype(np.int64)] if len(ends) else np.zeros(len(texts) + 1, dtype=np.int64)
+        return ids[at], np.diff(upto)
+
+
+def _slices(texts: pa.Array, size: int) -> Iterator[slice]:
+    """Runs of texts of about `size` bytes; a longer text is a run of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right")))
+        yield slice(at, end)
+        at = end
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece of every document (doc_id, text)."""
-    closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
+    """One row for each piece of every document (doc_id, text). What a task keeps of the tokenizer's work ends with it."""
 
-    def cut(batches):
-        ids_of = encoder(path).encode
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder = Encoder(path)
         for b in batches:
-            for at in range(0, len(b), TEXTS):
-                part = b.iloc[at : at + TEXTS]
-                rows = []
-                for doc_id, ids in zip(part["doc_id"], ids_of([t or "" for t in part["text"]]), strict=True):
-                    ids += closing
-                    for k, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        piece = ids[start : start + 4 * capacity]
-                        rows.append((doc_id, k, start // 4, len(piece) // 4, zlib.crc32(piece)))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
+            for s in _slices(b["text"], SLICE_BYTES):
+                texts = b["text"].slice(s.start, s.stop - s.start)
+                ids, n = encoder.encode(texts)
+                ids = np.insert(ids, np.cumsum(n), CLOSING_ID).astype("<u4", copy=False)
+                n += 1
+                cuts = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), cuts)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                start = piece * capacity
+                length = np.minimum(capacity, n[row] - start)
+                at = (4 * ((np.cumsum(n) - n)[row] + start)).tolist()
+                data = memoryview(ids.view(np.uint8))
+                crc = [zlib.crc32(data[a : a + 4 * k]) for a, k in zip(at, length.tolist(), strict=True)]
+                doc_id = b["doc_id"].slice(s.start, s.stop - s.start).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 
 # A pattern is a sorted tuple of (length, times); bins are a Counter of patterns.
@@ -192,15 +234,15 @@ def _step(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
     return best
 
 
-def improve(bins: Counter, capacity: int, rounds: int = 4000) -> Counter:
-    """Local search over underfull bins. Each step takes from the emptiest bins and fills the fullest ones that
-    gain, which raises the sum of squared fills, so the search ends; rounds bounds it."""
+def improve(bins: Counter, capacity: int) -> Counter:
+    """Local search over underfull bins. Each step takes from the emptiest bins that have something to give and fills the
+    fullest ones that gain. It raises the sum of squared fills, so the search ends, where no pair of bins gains."""
     done = Counter({p: c for p, c in bins.items() if _total(p) == capacity})
     open_ = Counter({p: c for p, c in bins.items() if _total(p) < capacity})
-    for _ in range(rounds):
+    while True:
         moved = False
         order = sorted(open_, key=lambda p: (_total(p), p))
-        for b in order[:8]:
+        for b in order:
             for a in reversed(order):
                 times = open_[b] // 2 if a == b else min(open_[a], open_[b])
                 if not times or _total(a) < _total(b):
