@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semblance.llm.common import table, written
+from semblance.llm.common import runs, table, written
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -133,16 +133,6 @@ class Encoder:
         return ids[at], np.diff(upto)
 
 
-def _slices(texts: pa.Array, size: int) -> Iterator[slice]:
-    """Runs of texts of about `size` bytes; a longer text is a run of its own."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right")))
-        yield slice(at, end)
-        at = end
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece of every document (doc_id, text). What a task keeps of the tokenizer's work ends with it."""
 
@@ -150,7 +140,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = Encoder(path)
         for b in batches:
-            for s in _slices(b["text"], SLICE_BYTES):
+            for s in runs(b["text"], SLICE_BYTES):
                 texts = b["text"].slice(s.start, s.stop - s.start)
                 ids, n = encoder.encode(texts)
                 ids = np.insert(ids, np.cumsum(n), CLOSING_ID).astype("<u4", copy=False)

@@ -1,17 +1,20 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A bag is one word between boundary marks; its character n-grams (and the word) are hashed to rows of an embedding
-table, averaged, and go through a two-class softmax. Misspellings that training never saw share n-grams, so their
-averages stay close. A document is as toxic as its most toxic bag, so a long text does not dilute a few words;
-the gradient of a document's loss goes to that bag, through the softmax weights and the embeddings together.
+A word's bag is its character n-grams (and the word) between boundary marks, hashed to rows of an embedding table; the bag's
+embedding is their mean. Misspellings that training never saw share n-grams, so their means stay close. A document is
+the average of the bags of its distinct words and goes through a two-class softmax. The average is weighted: a word's
+weight is exp(attention . embedding), normalised over the document. With equal weights a single insult in a text of a thousand
+words moves the average by a thousandth; the attention vector learns which words a text is judged by. Table, attention
+vector, softmax and bias start at random and are trained together by the gradient of the documents' loss.
 
 Training takes the labelled rows whose crc32(doc_id) mod 3 is not 1, at most MAX_PER_CLASS of each class (those
-of the smallest hash of the id): this bound is the only sample, and every document is scored over its whole text.
-The trained model is folded into one number for each table row, a broadcast of fixed size.
+of the smallest hash of the id, one text for each): this bound is the only sample, and every document is scored over its
+whole text. The trained model is folded into two numbers for each table row, a broadcast of fixed size.
 
 Defined cases: null, empty and wordless texts have no bag and get the softmax of the bias alone; null labels are
-left out; repeated rows are scored one by one; without labels of both classes every score is 0; only doc_id and
-text of the documents are read, so other columns cannot clash.
+left out; repeated rows are scored one by one; a doc_id that is null is not held out and never trained on, one with several texts
+trains on the least; without labels of both classes every score is 0; only doc_id and text of the documents are read, so
+other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -19,37 +22,46 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semblance.llm.common import table
+from semblance.llm.common import runs, table
 
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5)
 MAX_PER_CLASS = 2000
-EPOCHS = 40
+EPOCHS, RATE = 60, 0.05
 THRESHOLD = 0.7
 SEED = 7
-#: Distinct words whose scores a worker keeps.
-CACHE = 500_000
+#: Bytes of text, about, that are scored together, and words that are hashed together.
+SLICE_BYTES, CHUNK = 4 << 20, 20_000
 MARKS = " .,;:!?\"'()[]{}#*$%&|<>+=_~/\\-"
 
 
 @dataclass(frozen=True)
 class Model:
-    """logit: what each bucket adds to the toxic class over the other; bias: the same of the softmax."""
+    """What each bucket adds to the toxic class over the other and to the attention; bias: the softmax's own difference."""
 
     logit: np.ndarray
+    attention: np.ndarray
     bias: float
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(text.lower().split()) if text else set()
+def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of the texts, and (text, word) of each of them that a text has, in order."""
+    split = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    of = np.repeat(np.arange(len(split)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    pairs = np.unique(of * max(1, len(words)) + coded.indices.to_numpy(zero_copy_only=False))
+    text, word = np.divmod(pairs, max(1, len(words)))
+    full = np.array([len(w) > 0 for w in words], dtype=bool)[word]  # white space at an end leaves an empty word
+    return words, text[full], word[full]
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,92 +91,79 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found)[order], np.concatenate([[0], np.cumsum(np.bincount(of_all, minlength=len(words)))[:-1]])
 
 
-def bag_means(logit: np.ndarray, buckets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _means(rows: np.ndarray, buckets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The mean of the rows (one for each bucket) over each bag."""
     if not len(starts):
-        return np.zeros(0)
-    sizes = np.diff(np.append(starts, len(buckets)))
-    return np.add.reduceat(logit[buckets], starts) / sizes
+        return np.zeros((0, *rows.shape[1:]), dtype=rows.dtype)
+    return np.add.reduceat(rows[buckets], starts, axis=0) / np.diff(np.append(starts, len(buckets)))[:, None].astype(rows.dtype)
+
+
+def _pooled(attention: np.ndarray, values: np.ndarray, first: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of the words of each document, and the weighted averages of their values."""
+    weight = np.exp(attention - np.maximum.reduceat(attention, first)[of])
+    weight /= np.add.reduceat(weight, first)[of]
+    return weight, np.add.reduceat(weight * values, first)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    y = np.array(toxic, dtype=float)
+    y = np.array(toxic, dtype=np.float32)
+    zero = np.zeros(BUCKETS, dtype=np.float32)
+    if not 0 < y.sum() < len(y):
+        return Model(zero, zero, -1e9)
+    words, text, flat = distinct_words(pa.array(texts, pa.string()))
+    kept, of = np.unique(text, return_inverse=True)  # texts without words teach nothing
+    y = y[kept]
     if not 0 < y.sum() < len(y):
-        return Model(np.zeros(BUCKETS, dtype=np.float32), -1e9)
-    ids: dict[str, int] = {}
-    docs = [np.array(sorted(ids.setdefault(w, len(ids)) for w in sorted(words_of(t))), dtype=np.int64) for t in texts]
-    full = np.array([len(d) > 0 for d in docs])
-    docs, y = [d for d in docs if len(d)], y[full]
-    flat, first = np.concatenate(docs), np.cumsum([0, *map(len, docs[:-1])])
-    ends = np.append(first[1:], len(flat))
-    buckets, starts = subwords(list(ids))
-    sizes = np.diff(np.append(starts, len(buckets)))
-    rng = np.random.default_rng(seed)
-    table_ = rng.normal(0, 0.1, (BUCKETS, DIM))
-    softmax = rng.normal(0, 0.1, (DIM, 2))
-    bias = np.zeros(2)
-    # start where words separate the classes: the share of toxic documents among those that hold a word
-    hold = np.bincount(flat, minlength=len(ids))
-    bad = np.bincount(flat, weights=np.repeat(y, ends - first), minlength=len(ids))
-    lean = np.log((bad + 0.5 * y.mean()) / (hold - bad + 0.5 * (1 - y.mean())) * (1 - y.mean()) / y.mean())
-    weight = np.log1p(hold)
-    direction = np.array([-1.0, 1.0])
-    pull = np.bincount(buckets, weights=np.repeat(lean * weight, sizes), minlength=BUCKETS)
-    mass = np.bincount(buckets, weights=np.repeat(weight, sizes), minlength=BUCKETS)
-    softmax[0] = direction
-    table_[:, 0] = pull / (mass + 1)
-    class_weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (table_, softmax, bias)]
+        return Model(zero, zero, -1e9)
+    first = np.searchsorted(of, np.arange(len(kept)))
+    buckets, starts = subwords(words)
+    used, own = np.unique(buckets, return_inverse=True)
+    sizes = np.diff(np.append(starts, len(own)))
+    # the words that a bucket is in, bucket by bucket
+    order = np.argsort(own, kind="stable")
+    holders, at = np.repeat(np.arange(len(words)), sizes)[order], np.searchsorted(own[order], np.arange(len(used)))
+    rng, single = np.random.default_rng(seed), np.float32
+    rows, softmax, attention, bias = (rng.normal(0, 0.1, shape).astype(single) for shape in ((len(used), DIM), (DIM, 2), DIM, 2))
+    bias[:] = 0
+    balance = (np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)).astype(single)
+    params, sides = (rows, softmax, attention, bias), np.array([-1, 1], dtype=single)
+    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for epoch in range(1, epochs + 1):
-        both = table_ @ softmax
-        mean = bag_means(both[:, 1] - both[:, 0], buckets, starts)
-        of_doc = mean[flat]
-        top = np.maximum.reduceat(of_doc, first)
-        # the first bag that reaches the maximum
-        hit = np.flatnonzero(of_doc == np.repeat(top, ends - first))
-        at = hit[np.searchsorted(hit, first)]
-        p = 1 / (1 + np.exp(-np.clip(top + bias[1] - bias[0], -50, 50)))
-        error = (p - y) * class_weight
-        g_word = np.bincount(flat[at], weights=error, minlength=len(ids)) / sizes
-        touched = np.flatnonzero(g_word)
-        take = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in touched])
-        g_bucket = np.bincount(buckets[take], weights=np.repeat(g_word[touched], sizes[touched]), minlength=BUCKETS)
-        rows = np.flatnonzero(g_bucket)
-        g_table = np.zeros_like(table_)
         step = softmax[:, 1] - softmax[:, 0]
-        g_table[rows] = g_bucket[rows, None] * step
-        g_soft = np.outer(g_bucket[rows] @ table_[rows], direction) + 1e-6 * softmax
-        for param, grad, m in zip((table_, softmax, bias), (g_table, g_soft, error.sum() * direction), moments, strict=True):
-            m[0][:] = 0.9 * m[0] + 0.1 * grad
-            m[1][:] = 0.99 * m[1] + 0.01 * grad * grad
-            param -= 0.05 * (m[0] / (1 - 0.9**epoch)) / (np.sqrt(m[1] / (1 - 0.99**epoch)) + 1e-8)
-    both = table_ @ softmax
-    return Model((both[:, 1] - both[:, 0]).astype(np.float32), float(bias[1] - bias[0]))
-
-
-class Scorer:
-    def __init__(self, model: Model):
-        self.model = model
-        self.known: dict[str, float] = {}
-
-    def learn(self, words: set[str]) -> None:
-        new = list(words - self.known.keys())
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            buckets, starts = subwords(part)
-            self.known.update(zip(part, bag_means(self.model.logit, buckets, starts).tolist(), strict=True))
-
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        found = [words_of(t) for t in texts]
-        self.learn(set().union(*found))
-        top = np.array([max(map(self.known.__getitem__, w)) if w else 0.0 for w in found])
-        return 1 / (1 + np.exp(-np.clip(top + self.model.bias, -50, 50)))
-
-
-@lru_cache(maxsize=1)
-def _scorer(shared_id: int, shared) -> Scorer:
-    return Scorer(shared.value)
+        seen = np.stack([step, attention])
+        both = _means(rows @ seen.T, own, starts)
+        value = both[flat, 0]
+        weight, z = _pooled(both[flat, 1], value, first, of)
+        error = (_softmax(z + bias[1] - bias[0]) - y) * balance
+        part = error[of] * weight
+        g_word = np.stack([np.bincount(flat, weights=g, minlength=len(words)) for g in (part, part * (value - z[of]))], axis=1) / sizes[:, None]
+        g_bucket = np.add.reduceat(g_word.astype(single)[holders], at, axis=0)
+        g_seen = rows.T @ g_bucket
+        grads = (g_bucket @ seen, np.outer(g_seen[:, 0], sides) + 1e-6 * softmax, g_seen[:, 1], error.sum() * sides)
+        for p, g, (m, v) in zip(params, grads, moments, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= (RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-8)).astype(single)
+    folded = np.zeros((2, BUCKETS), dtype=single)
+    folded[:, used] = (rows @ np.stack([softmax[:, 1] - softmax[:, 0], attention]).T).T
+    return Model(folded[0], folded[1], float(bias[1] - bias[0]))
+
+
+def scores(model: Model, texts: pa.Array) -> np.ndarray:
+    words, text, flat = distinct_words(texts)
+    out = np.full(len(texts), float(_softmax(np.array(model.bias))))
+    if not len(flat):
+        return out
+    rows = np.stack([model.logit, model.attention], axis=1).astype(float)
+    both = np.concatenate([_means(rows, *subwords(words[at : at + CHUNK])) for at in range(0, len(words), CHUNK)])
+    kept, of = np.unique(text, return_inverse=True)
+    _, z = _pooled(both[flat, 1], both[flat, 0], np.searchsorted(of, np.arange(len(kept))), of)
+    out[kept] = _softmax(z + model.bias)
+    return out
 
 
 def bucket3(doc_id="doc_id"):
@@ -178,31 +177,29 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_PER_CLASS) -> Model
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     chosen = [r for k in (1, 0) for r in marked.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(bound).collect()]
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with a column (0 to 1) of its text; a column of that name is replaced, the others are kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = id(model)
 
-    @F.pandas_udf("double")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = _scorer(key, shared)
+    @F.arrow_udf("double")
+    def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            out = [scorer.score(list(texts[at : at + 512])) for at in range(0, len(texts), 512)]
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+            found = [scores(shared.value, texts.slice(s.start, s.stop - s.start)) for s in runs(texts, SLICE_BYTES)]
+            yield pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
 
-    return docs.withColumn(name, of(F.col("text")))
+    return docs.withColumn(name, of(F.col("text").cast("string")))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     scored = score(docs, model)
-    return scored.select("doc_id", (bucket3() == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(bucket3() == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,6 +1,11 @@
+import math
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from semblance.llm import toxicity as T
 
 WORDS = [a + b for a in ("ba", "ko", "mi", "tu", "se", "ra", "lo", "ni") for b in ("den", "lam", "rot", "sil", "ver", "pon")]
@@ -29,7 +34,7 @@ def test_held_out_accuracy_with_unseen_spellings():
     model = T.train([t for _, t, _ in train], [y for _, _, y in train])
     for spell, least in ((lambda w, r: w, 0.99), (doubled, 0.9)):
         test = corpus(400, 2, spell)
-        got = T.Scorer(model).score([t for _, t, _ in test]) >= T.THRESHOLD
+        got = T.scores(model, pa.array([t for _, t, _ in test])) >= T.THRESHOLD
         assert sum(g == bool(y) for g, (_, _, y) in zip(got, test, strict=True)) / len(test) >= least
 
 
@@ -56,3 +61,22 @@ def test_labels_of_held_out_rows_are_not_learnt(spark, docs):
     df = docs(*((i, "idiot" if k % 2 else "kind") for k, i in enumerate(ids)))
     labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
     assert not T.fit(df, labels).logit.any()
+
+
+def test_scores_are_the_softmax_of_the_weighted_average():
+    rng = np.random.default_rng(5)
+    model = T.Model(rng.normal(0, 3, T.BUCKETS).astype(np.float32), rng.normal(0, 1, T.BUCKETS).astype(np.float32), 0.3)
+    texts = ["One two two THREE, na\u00efve", None, "", "idiot", " a\u2003b\n", "x" * 5000]
+
+    def one(text):
+        words = sorted(set((text or "").lower().split()))
+        if not words:
+            return 1 / (1 + math.exp(-0.3))
+        bags = [T.subwords([w])[0] for w in words]
+        pull = [math.exp(np.mean([float(model.attention[b]) for b in bag])) for bag in bags]
+        z = sum(a * np.mean([float(model.logit[b]) for b in bag]) for a, bag in zip(pull, bags)) / sum(pull)
+        return 1 / (1 + math.exp(-z - 0.3))
+
+    got = T.scores(model, pa.array(texts, pa.string()))
+    assert got.tolist() == pytest.approx([one(t) for t in texts], rel=1e-6)
+    assert len(T.scores(model, pa.array([], pa.string()))) == 0
