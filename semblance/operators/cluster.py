@@ -96,7 +96,7 @@ def constrained_clusters(items: DataFrame, item: str, vector: str, group: str |
 
 def level1(items: DataFrame, item: str, vector: str, group: str, time: str, block: int, threshold: float) -> DataFrame:
     """item, representative, pos: average linkage inside of chronological blocks."""
-    placed = written(chronological_blocks(items.select(item, vector, group, time), time, item, block), "blocks")
+    placed = chronological_blocks(items.select(item, vector, group, time), time, item, block)
     found = _clustered(placed, "block", item, vector, group, threshold, max(block, 2))
     return found.join(placed.select(F.col(item).alias("item"), "pos"), "item")
 
@@ -137,75 +137,134 @@ def level2(items: DataFrame, clusters: DataFrame, item: str, vector: str, group:
     return clusters.join(merged, "representative").select("item", "identity")
 
 
+def quorum_candidates(items: DataFrame, banks: DataFrame, quorum: int, tile: int = TILE) -> DataFrame:
+    """item, person, score, of the `keep` nearest persons of every item at least: the mean of the quorum nearest distances
+    to the person's rows.
+
+    items: item, v, photo, keep; banks: item, person, v, photo. A bank row never counts against its own item, and a person
+    who has the photo of an item (null: none) is no candidate of it. Items and bank rows meet in tiles. A person of up to
+    `tile` rows is whole in one part, so a worker keeps the `keep` best of its part for each item; the rows of a larger one
+    are dealt over several parts, whose nearest distances are merged. The work is quadratic, as the question is; what
+    leaves the workers is `keep` rows for each item and part."""
+    kind, who, group = (dict(d.dtypes)[c] for d, c in ((items, "item"), (banks, "person"), (items, "photo")))
+    n, m = (max(1, -(-d.count() // tile)) for d in (items, banks))
+    sizes = banks.groupBy("person").agg(F.ceil(F.count(F.lit(1)) / tile).alias("pieces"))
+    piece = F.pmod(F.xxhash64("item", "person"), F.col("pieces"))
+    cut = banks.join(sizes, "person").withColumn("k", F.pmod(F.pmod(F.xxhash64("person"), F.lit(m)) + piece, F.lit(m)))
+    spread = lambda c, of: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long"))).alias(c)
+    left = items.select(F.pmod(F.xxhash64("item"), F.lit(n)).alias("t"), spread("k", m), "item", F.lit(None).cast(who).alias("person"), F.col("photo").cast(group), "v", F.lit(0).cast("long").alias("pieces"), F.col("keep").cast("long").alias("keep"))
+    right = cut.select(spread("t", n), "k", F.col("item").cast(kind), "person", F.col("photo").cast(group), "v", "pieces", F.lit(0).cast("long").alias("keep"))
+
+    def nearest(p: pd.DataFrame) -> pd.DataFrame:
+        x, y = p[p["pieces"] == 0], p[p["pieces"] > 0].sort_values("person", kind="stable")
+        out = {"item": [], "person": [], "near": []}
+        if x.empty or y.empty:
+            return pd.DataFrame(out)
+        my, own, codes = _matrix(y["v"]), y["item"].to_numpy(), pd.factorize(y["person"], sort=True)
+        first = np.flatnonzero(np.r_[True, codes[0][1:] != codes[0][:-1]])
+        ends, people, whole = np.append(first[1:], len(y)), codes[1], y["pieces"].to_numpy()[first] == 1
+        photos = [set(y["photo"].iloc[a:b].dropna()) for a, b in zip(first, ends, strict=True)]
+        for at in range(0, len(x), 512):
+            part = x.iloc[at : at + 512]
+            d = kernels.pair_distances(_matrix(part["v"]), my)
+            d[part["item"].to_numpy()[:, None] == own[None, :]] = np.inf
+            near = np.full((len(part), len(first), quorum), np.inf)
+            for j, (a, b) in enumerate(zip(first, ends, strict=True)):
+                k = min(quorum, b - a)
+                near[:, j, :k] = np.sort(np.partition(d[:, a:b], k - 1, axis=1)[:, :k], axis=1)
+            some = np.isfinite(near)
+            score = np.where(some, near, 0).sum(axis=2) / np.maximum(some.sum(axis=2), 1)
+            score[~some.any(axis=2)] = np.inf
+            for i, photo in enumerate(part["photo"]):
+                if photo is not None and photo == photo:
+                    score[i, [j for j, has in enumerate(photos) if photo in has]] = np.inf
+            for i, (item, keep) in enumerate(zip(part["item"], part["keep"], strict=True)):
+                # people are in order, so a stable sort lets the least one win a tie
+                best = np.argsort(np.where(whole, score[i], np.inf), kind="stable")[:keep]
+                for j in [*best[np.isfinite(score[i, best])].tolist(), *np.flatnonzero(~whole & np.isfinite(score[i])).tolist()]:
+                    out["item"].append(item)
+                    out["person"].append(people[j])
+                    out["near"].append(near[i, j][some[i, j]].tolist())
+        return pd.DataFrame(out)
+
+    found = left.unionByName(right).groupBy("t", "k").applyInPandas(nearest, f"item {kind}, person {who}, near array<double>")
+    near = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, quorum).alias("near")
+    score = F.aggregate("near", F.lit(0.0), lambda s, x: s + x) / F.size("near")
+    return found.groupBy("item", "person").agg(near).select("item", "person", score.alias("score"))
+
+
 def level3(items: DataFrame, members: DataFrame, item: str, vector: str, group: str, threshold: float, quorum: int) -> DataFrame:
     """item, identity: members, and the loose items that each found room in the nearest identity without their photo.
 
-    Banks are frozen: distances come from the members alone. Loose items meet the banks in blocks; an assignment of a
-    photo concerns that photo only, so photos are resolved side by side, each in the order of its items."""
+    Banks are frozen: distances come from the members alone. An assignment of a photo concerns that photo only, so photos are
+    resolved side by side, each in the order of its items. An item needs as many candidates as can be refused: its
+    photo's other loose items."""
     kind = dict(items.dtypes)[item]
-    known = written(items.join(members.withColumnRenamed("item", item), item).select("identity", V.doubles(vector).alias("v"), F.col(group).alias("photo")), "banks")
-    loose = items.join(members.select(F.col("item").alias(item)), item, "left_anti").select(F.col(item).alias("item"), V.doubles(vector).alias("v"), F.col(group).alias("photo"))
-    n = max(1, -(-items.count() // BLOCK))
-    tiles = loose.withColumn("t", F.pmod(F.xxhash64("item"), F.lit(n))).withColumn("loose", F.lit(True)).withColumn("identity", F.lit(None).cast(kind))
-    # a bank stays whole: identities are dealt over m parts, and every tile of loose items meets every part
-    m = max(1, -(-known.count() // BLOCK))
-    parts = known.withColumn("k", F.pmod(F.xxhash64("identity"), F.lit(m)))
-    left = tiles.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>"))).select("t", "k", "loose", "item", "identity", "v")
-    right = parts.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))).select("t", "k", F.lit(False).alias("loose"), F.lit(None).cast(kind).alias("item"), "identity", "v")
-
-    def score(p: pd.DataFrame) -> pd.DataFrame:
-        x, banks = p[p["loose"]], p[~p["loose"]]
-        out = []
-        if len(x):
-            mx, ids = _matrix(x["v"]), x["item"].to_numpy()
-            for identity, bank in banks.groupby("identity"):
-                out.append(pd.DataFrame({"item": ids, "identity": identity, "score": kernels.quorum_distances(mx, _matrix(bank["v"]), quorum)}))
-        return pd.concat(out) if out else pd.DataFrame({"item": [], "identity": [], "score": []})
-
-    scores = left.unionByName(right).groupBy("t", "k").applyInPandas(score, f"item {kind}, identity {kind}, score double")
-    photos = known.select("photo", "identity").distinct()
-    # an item needs as many candidates as can be refused: identities of its photo and other loose items of it
-    ranked = scores.join(loose.select("item", "photo"), "item").join(photos.withColumn("has", F.lit(True)), ["photo", "identity"], "left").where("has IS NULL")
-    crowd = loose.groupBy("photo").agg(F.count(F.lit(1)).alias("crowd"))
-    place = F.row_number().over(Window.partitionBy("item").orderBy("score", "identity"))
-    near = ranked.join(crowd, "photo").withColumn("r", place).where(F.col("r") <= F.col("crowd"))
+    columns = [F.col(item).alias("item"), V.doubles(vector).alias("v"), F.col(group).alias("photo")]
+    known = written(items.join(members.withColumnRenamed("item", item), item).select(*columns, F.col("identity").alias("person")), "banks")
+    loose = items.join(members.select(F.col("item").alias(item)), item, "left_anti").select(*columns)
+    crowd = loose.groupBy("photo").agg(F.count(F.lit(1)).alias("keep"))
+    loose = written(loose.join(crowd, "photo", "left").select("item", "v", "photo", F.coalesce("keep", F.lit(1)).alias("keep")), "loose")
+    found = quorum_candidates(loose, known, quorum).join(loose.select("item", "photo", "keep"), "item")
+    has = known.select("photo", "person").distinct()
+    # the pieces of a large identity do not know all its photos
+    open_ = found.join(has, ["photo", "person"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("item").orderBy("score", "person"))
+    near = written(open_.withColumn("r", place).where(F.col("r") <= F.col("keep")), "near")
+    buckets = max(1, near.count() // 10_000)
 
     def assign(p: pd.DataFrame) -> pd.DataFrame:
-        rows = [(i, i, list(zip(g["identity"], g["score"], strict=True))) for i, g in p.groupby("item")]
-        return pd.DataFrame(kernels.resolve_quorum(rows, {}, threshold), columns=["item", "identity", "score"])[["item", "identity"]]
-
-    taken = near.select("photo", "item", "identity", "score").groupBy("photo").applyInPandas(assign, f"item {kind}, identity {kind}")
+        out = []
+        # an item without a photo shares it with no other
+        alone = p["photo"].isna()
+        for own in [g for _, g in p[~alone].groupby("photo")] + [g for _, g in p[alone].groupby("item")]:
+            rows = [(i, i, list(zip(g["person"], g["score"], strict=True))) for i, g in own.groupby("item")]
+            out += kernels.resolve_quorum(rows, {}, threshold)
+        return pd.DataFrame(out, columns=["item", "identity", "score"])[["item", "identity"]]
+
+    taken = near.select("photo", "item", "person", "score").groupBy(F.pmod(F.xxhash64("photo"), F.lit(buckets))).applyInPandas(assign, f"item {kind}, identity {kind}")
     return members.select("item", "identity").unionByName(taken)
 
 
 def quorum_best(items: DataFrame, banks: DataFrame, quorum: int) -> DataFrame:
     """item, person, score: the person with the least mean of the quorum nearest distances; items (item, v), banks
-    (item, person, v). A bank row never counts against its own item. Ties take the least person.
-
-    The side of banks is sent to every partition of items only if Spark's size limit for that lets it."""
-    d = V.distance("x.v", "y.v")
-    pairs = items.alias("x").join(banks.alias("y"), F.col("x.item") != F.col("y.item")).select(F.col("x.item").alias("item"), F.col("y.person").alias("person"), d.alias("d"))
-    # the k least of each group as a sorted array, which partial aggregation keeps short
-    near = pairs.groupBy("item", "person").agg(F.slice(F.sort_array(F.collect_list("d")), 1, quorum).alias("near"))
-    scored = near.select("item", "person", (F.aggregate("near", F.lit(0.0), lambda s, x: s + x) / F.size("near")).alias("score"))
-    return scored.groupBy("item").agg(F.min(F.struct("score", "person")).alias("m")).select("item", "m.person", "m.score")
+    (item, person, v). A bank row never counts against its own item. Ties take the least person."""
+    none = F.lit(None).cast("long").alias("photo")
+    near = quorum_candidates(items.select("item", "v", none, F.lit(1).alias("keep")), banks.select("item", "person", "v", none), quorum)
+    return near.groupBy("item").agg(F.min(F.struct("score", "person")).alias("m")).select("item", "m.person", "m.score")
 
 
-def coherence(items: DataFrame, person: str, item: str, vector: str) -> DataFrame:
+def coherence(items: DataFrame, person: str, item: str, vector: str, tile: int = TILE) -> DataFrame:
     """person, n, coherence: the mean pairwise distance of each person's items; 0 for one item.
 
-    Each person's pairs are summed in one kernel from blocks of its own matrix."""
+    People of up to `tile` items are summed side by side in buckets; the items of a larger one are dealt into blocks, and
+    each pair of blocks is summed by itself."""
     kind = dict(items.dtypes)[person]
-
-    def mean(p: pd.DataFrame) -> pd.DataFrame:
-        m, total = _matrix(p["v"]), 0.0
-        for at in range(0, len(m), BLOCK):
-            total += float(np.sqrt(((m[at : at + BLOCK, None, :] - m[None, :, :]) ** 2).sum(2)).sum()) if len(m) <= BLOCK else float(kernels.pair_distances(m[at : at + BLOCK], m).sum())
-        n = len(m)
-        return pd.DataFrame({person: [p[person].iloc[0]], "n": [n], "coherence": [total / (n * (n - 1)) if n > 1 else 0.0]})
-
-    rows = items.where(F.col(person).isNotNull()).select(person, V.doubles(vector).alias("v"))
-    return rows.groupBy(person).applyInPandas(mean, f"{person} {kind}, n long, coherence double")
+    rows = items.where(F.col(person).isNotNull()).select(F.col(person).alias("person"), F.col(item).alias("item"), V.doubles(vector).alias("v"))
+    sizes = written(rows.groupBy("person").agg(F.count(F.lit(1)).alias("n")).withColumn("pieces", F.ceil(F.col("n") / tile)), "sizes")
+    total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    buckets = max(1, -(-total // tile))
+    dealt = rows.join(sizes, "person").withColumn("b", F.pmod(F.xxhash64("item"), F.col("pieces")))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda o: F.least("b", o) * F.col("pieces") + F.greatest("b", o))
+    bucket = F.when(F.col("pieces") > 1, F.xxhash64("person")).otherwise(F.pmod(F.xxhash64("person"), F.lit(buckets)))
+    celled = dealt.select(bucket.alias("bucket"), F.explode(cells).alias("cell"), "person", "pieces", "b", "v")
+
+    def sums(p: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, own in p.groupby("person"):
+            i, j = divmod(int(own["cell"].iloc[0]), int(own["pieces"].iloc[0]))
+            x, y = (_matrix(own["v"][own["b"] == k]) for k in (i, j))
+            total = 0.0
+            for at in range(0, len(x), 512) if len(y) else ():
+                d = kernels.pair_distances(x[at : at + 512], y)
+                if i == j:  # a pair stands once, and an item has no distance to itself
+                    d = np.triu(d, at + 1)
+                total += float(d.sum())
+            out.append((name, total))
+        return pd.DataFrame(out, columns=["person", "total"])
+
+    found = celled.groupBy("bucket", "cell").applyInPandas(sums, f"person {kind}, total double").groupBy("person").agg(F.sum("total").alias("total"))
+    return found.join(sizes, "person").select(F.col("person").alias(person), "n", V.coherence_from_sums(F.col("total"), F.col("n")).alias("coherence"))
 
 
 def sums_to_others(items: DataFrame, item: str, person: str, vector: str, tile: int = TILE) -> DataFrame:
@@ -240,12 +299,39 @@ def sums_to_others(items: DataFrame, item: str, person: str, vector: str, tile:
     return parts.groupBy("item", "person").agg(F.sum("t").alias("t"))
 
 
-def linkage(items: DataFrame, person: str, vector: str) -> DataFrame:
-    """person_a < person_b and the mean of all cross distances (average linkage)."""
-    x = items.select(F.col(person).alias("person_a"), V.doubles(vector).alias("x"))
-    y = items.select(F.col(person).alias("person_b"), V.doubles(vector).alias("y"))
-    pairs = x.join(y, F.col("person_a") < F.col("person_b"))
-    return pairs.groupBy("person_a", "person_b").agg(F.avg(V.distance("x", "y")).alias("distance"))
+def linkage(items: DataFrame, person: str, vector: str, tile: int = TILE) -> DataFrame:
+    """person_a < person_b and the mean of all cross distances (average linkage).
+
+    Rows are dealt into tiles by hash, a worker sees two tiles, and what leaves it is one sum for each pair of people."""
+    who = dict(items.dtypes)[person]
+    rows = items.where(F.col(person).isNotNull()).select(F.col(person).alias("person"), V.doubles(vector).alias("v"))
+    n = max(1, -(-rows.count() // tile))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("person", "v"), F.lit(n)))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"), lambda o: F.least("b", o) * n + F.greatest("b", o))
+
+    def grouped(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        x = x.sort_values("person", kind="stable")
+        own = x["person"].to_numpy()
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        return _matrix(x["v"]), own[first], first, np.diff(np.append(first, len(own)))
+
+    def cell(p: pd.DataFrame) -> pd.DataFrame:
+        i, j = divmod(int(p["cell"].iloc[0]), n)
+        x, y = p[p["b"] == i], p[p["b"] == j]
+        if x.empty or y.empty:
+            return pd.DataFrame({"person_a": [], "person_b": [], "total": [], "n": []})
+        mx, px, fx, nx = grouped(x)
+        my, py, fy, ny = grouped(y)
+        sums = np.zeros((len(px), len(py)))
+        of = np.repeat(np.arange(len(px)), nx)
+        for at in range(0, len(mx), 512):
+            np.add.at(sums, of[at : at + 512], np.add.reduceat(kernels.pair_distances(mx[at : at + 512], my), fy, axis=1))
+        a, b = np.nonzero(px[:, None] < py[None, :] if i == j else px[:, None] != py[None, :])
+        low, high = np.where(px[a] < py[b], px[a], py[b]), np.where(px[a] < py[b], py[b], px[a])
+        return pd.DataFrame({"person_a": low, "person_b": high, "total": sums[a, b], "n": nx[a] * ny[b]})
+
+    parts = rows.withColumn("cell", F.explode(cells)).groupBy("cell").applyInPandas(cell, f"person_a {who}, person_b {who}, total double, n long")
+    return parts.groupBy("person_a", "person_b").agg((F.sum("total") / F.sum("n")).alias("distance"))
 
 
 def rms_between(items: DataFrame, person: str, vector: str, dim: int) -> DataFrame:

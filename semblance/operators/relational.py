@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semblance.functions import scalars as S
+from semblance.sources.tables import written
 
 
 def keep_first(df: DataFrame, key: str, order: list) -> DataFrame:
@@ -27,19 +28,23 @@ def duplicates(df: DataFrame, content: Column, size: Column, name: Column) -> Da
     return groups.where("n > 1").withColumn("wasted_bytes", F.col("size_bytes") * (F.col("n") - 1))
 
 
-def chronological_blocks(df: DataFrame, time: str, tie: str, block: int) -> DataFrame:
-    """Adds `pos` (place by time, null first) and `block`.
-
-    Rows are range-partitioned by time once; places are ranks inside of a partition plus the counts of earlier ones,
-    so no task sees the whole table."""
-    order = [F.col(time).asc_nulls_first(), F.col(tie)]
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+def placed(df: DataFrame, order: list) -> DataFrame:
+    """Adds `pos`, the place of each row in the whole order, counted from 0.
+
+    Rows are range-partitioned, sorted and numbered in one stage and written once; a place is the number inside of the
+    partition plus the rows of earlier ones. No task sees the whole table, and the numbers are read from what was written, so
+    they do not depend on how a later query would cut the ranges. What is broadcast has one row for each partition."""
+    local = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = written(local, "placed").withColumn("_part", F.shiftright("_at", 33)).withColumn("_rank", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # one row for each partition
-    placed = local.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")
-    return placed.withColumn("pos", F.col("_before") + F.col("_rank") - 1).withColumn("block", F.floor(F.col("pos") / block)).drop("_part", "_rank", "_before")
+    joined = rows.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")
+    return joined.withColumn("pos", F.col("_before") + F.col("_rank")).select(*df.columns, "pos")
+
+
+def chronological_blocks(df: DataFrame, time: str, tie: str, block: int) -> DataFrame:
+    """Adds `pos` (place by time, null first, then by tie) and `block`."""
+    return placed(df, [F.col(time).asc_nulls_first(), F.col(tie)]).withColumn("block", F.floor(F.col("pos") / block))
 
 
 def evenly_spaced(df: DataFrame, key: str, order: list, n: int = 48) -> DataFrame:
@@ -113,8 +118,8 @@ def within_budget(batches: DataFrame, order: str, size: str, count: str, max_byt
 
 
 def fixed_chunks(df: DataFrame, order: list, n: int) -> DataFrame:
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    return df.withColumn("chunk", F.floor(place / n))
+    """Adds `chunk`, which n rows in order share."""
+    return placed(df, order).withColumn("chunk", F.floor(F.col("pos") / n)).drop("pos")
 
 
 def minus(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -171,7 +176,7 @@ def merge_persons(faces: DataFrame, edges: DataFrame, mapping: DataFrame) -> tup
 
 def next_ids(groups: DataFrame, order: list, start: int) -> DataFrame:
     """New person ids in order after the sequence number start."""
-    return groups.withColumn("person_id", S.person_id(F.row_number().over(Window.orderBy(*order)) + start))
+    return placed(groups, order).withColumn("person_id", S.person_id(F.col("pos") + 1 + start)).drop("pos")
 
 
 def replace_images(index: DataFrame, scanned: DataFrame, found: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
