@@ -1,18 +1,19 @@
 """Sharding by histogram sort: exact byte counts below candidate keys, refined until splitters meet a tolerance.
 
 A row's 64-bit key has a hash of its text above SPLIT_BITS bits of a hash of its id, so equal texts stand side
-by side and only a group too large for one shard is cut, inside the low bits. Each round counts, exactly and over
-all rows, the bytes below evenly spaced probes inside every interval that still holds a splitter, and keeps the
-interval around each target. Rounds end when every splitter is within the tolerance (or the interval is one key);
-a splitter that can stand at the edge of a group within the tolerance does. Then rows are exchanged once, by
-cells: the shards cut again at row-count splitters found in the same way, so that no task holds a whole shard.
-The slot of a row is its rank inside its cell plus the rows of the shard's earlier cells.
+by side. Each round counts, exactly and over all rows, the bytes below evenly spaced probes inside every interval that still
+holds a splitter, and keeps the interval around each target. Probes stand at edges of groups, until an interval is one
+group: then the splitter is the nearer of its edges, unless the group is larger than a shard. Only such a group is cut, by
+probes inside its low bits. Rounds end when every splitter is within the tolerance or at the edge next to its target. Then
+rows are exchanged once, by cells: the shards cut again at row-count splitters found in the same way (these may cut groups,
+since they only say which task ranks a row), so that no task holds a whole shard. The slot of a row is its rank inside its
+cell plus the rows of the shard's earlier cells.
 
 What reaches the driver each round is one sum for each probe interval, a number set by the parameters alone.
 
 Defined cases: a null text has no bytes and size 1; an empty table gives an empty result; rows with equal keys
-(repeated rows) stay in one shard; a row larger than a shard makes that shard as large as it must be; clashing
-column names are replaced.
+(repeated rows) stay in one shard; a null doc_id is hashed like a value; a row larger than a shard makes that shard as
+large as it must be; only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ TOLERANCE = 0.01
 PROBES = 64
 #: Low bits of the key that split a group of equal texts.
 SPLIT_BITS = 20
-#: Rows of a cell, about, and bounds of the number of cells.
-CELL_ROWS, MIN_CELLS, MAX_CELLS = 20_000, 64, 8192
+#: Rows of a cell, about, and least number of cells. From SMALL_CELLS on, cells grow up to LARGE_CELL_ROWS, which Spark
+#: sorts with spilling, before there are more of them.
+CELL_ROWS, MIN_CELLS, SMALL_CELLS, LARGE_CELL_ROWS = 20_000, 64, 8192, 1_000_000
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -65,17 +67,18 @@ def _counts(rows: DataFrame, weight: str, probes: list[int]) -> list[int]:
     return np.cumsum(sums)[:-1].tolist()
 
 
-def _grid(low: int, high: int, n: int) -> set[int]:
-    """About n probes inside (low, high), at group edges where the interval spans more than one group."""
+def _grid(low: int, high: int, n: int, inside: bool) -> set[int]:
+    """About n probes inside (low, high); at edges of groups, unless they may stand inside."""
     step = (high - low) / (n + 1)
-    if step > 1 << SPLIT_BITS:
-        return {p for i in range(1, n + 1) if low < (p := (low + round(i * step)) >> SPLIT_BITS << SPLIT_BITS) < high}
-    edges = {p for p in (low >> SPLIT_BITS << SPLIT_BITS, ((low >> SPLIT_BITS) + 1) << SPLIT_BITS) if low < p < high}
-    return edges | {low + round(i * step) for i in range(1, n + 1) if low < low + round(i * step) < high}
+    found = {low + round(i * step) for i in range(1, n + 1)}
+    if not inside:
+        found = {p >> SPLIT_BITS << SPLIT_BITS for p in found} | {p << SPLIT_BITS for p in ((low >> SPLIT_BITS) + 1, (high - 1) >> SPLIT_BITS)}
+    return {p for p in found if low < p < high}
 
 
-def splitters(rows: DataFrame, weight: str, parts: int, tolerance: float = TOLERANCE, probes: int = PROBES) -> list[int]:
-    """parts - 1 sorted keys; part i holds the keys from splitter i - 1 up to, without, splitter i."""
+def splitters(rows: DataFrame, weight: str, parts: int, tolerance: float = TOLERANCE, probes: int = PROBES, whole: bool = True) -> list[int]:
+    """parts - 1 sorted keys; part i holds the keys from splitter i - 1 up to, without, splitter i. whole: groups that are
+    not heavier than a part are not cut."""
     total = rows.agg(F.sum(F.expr(weight)).alias("w")).first()["w"] or 0
     goals = [total * i / parts for i in range(1, parts)]
     known = {LOW: 0, HIGH: total}  # weight below a key; no key is above HIGH, and one equal to it belongs to the last part
@@ -86,19 +89,24 @@ def splitters(rows: DataFrame, weight: str, parts: int, tolerance: float = TOLER
         i = bisect.bisect_right(below, goal) - 1
         return order[i], order[min(i + 1, len(order) - 1)]
 
+    def asked(goal: float) -> set[int]:
+        a, b = around(goal)
+        one = (b - 1) >> SPLIT_BITS == a >> SPLIT_BITS  # an interval inside of one group
+        if b - a <= 1 or min(abs(known[a] - goal), abs(known[b] - goal)) <= slack:
+            return set()
+        edges = all(x == HIGH or x % (1 << SPLIT_BITS) == 0 for x in (a, b))
+        if whole and one and edges and known[b] - known[a] <= total / parts:
+            return set()
+        return _grid(a, b, probes, not whole or one)
+
     while True:
         order = sorted(known)
         below = [known[k] for k in order]
-        wanted: set[int] = set()
-        for goal in goals:
-            a, b = around(goal)
-            if min(abs(known[a] - goal), abs(known[b] - goal)) > slack and b - a > 1:
-                wanted |= _grid(a, b, probes)
-        wanted -= known.keys()
+        wanted = set().union(*map(asked, goals)) - known.keys() if goals else set()
         if not wanted:
             break
-        asked = sorted(wanted)
-        known |= dict(zip(asked, _counts(rows, weight, asked), strict=True))
+        new = sorted(wanted)
+        known |= dict(zip(new, _counts(rows, weight, new), strict=True))
     found = []
     for goal in goals:
         a, b = around(goal)
@@ -111,8 +119,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     spark = docs.sparkSession
     rows = written(keyed(docs), "shard-keys")
     main = splitters(rows, "size", shards)
-    cells = int(min(MAX_CELLS, max(MIN_CELLS, rows.count() // CELL_ROWS)))
-    edges = sorted({*main, *splitters(rows, "1", cells, tolerance=0.2)})
+    n = rows.count()
+    cells = max(MIN_CELLS, min(SMALL_CELLS, n // CELL_ROWS), n // LARGE_CELL_ROWS)
+    edges = sorted({*main, *splitters(rows, "1", cells, tolerance=0.2, whole=False)})
     cuts = spark.sparkContext.broadcast(np.array(edges, dtype=np.int64))
 
     @F.pandas_udf("int")

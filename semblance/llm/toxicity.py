@@ -124,8 +124,10 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed:
     used, own = np.unique(buckets, return_inverse=True)
     sizes = np.diff(np.append(starts, len(own)))
     # the words that a bucket is in, bucket by bucket
-    order = np.argsort(own, kind="stable")
-    holders, at = np.repeat(np.arange(len(words)), sizes)[order], np.searchsorted(own[order], np.arange(len(used)))
+    own = own.astype(np.int32)
+    order = np.argsort(own, kind="stable").astype(np.int32)
+    holders, at = np.repeat(np.arange(len(words), dtype=np.int32), sizes)[order], np.searchsorted(own[order], np.arange(len(used)))
+    del order, buckets
     rng, single = np.random.default_rng(seed), np.float32
     rows, softmax, attention, bias = (rng.normal(0, 0.1, shape).astype(single) for shape in ((len(used), DIM), (DIM, 2), DIM, 2))
     bias[:] = 0
