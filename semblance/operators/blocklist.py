@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semblance.functions import scalars as S
 from semblance.functions import vectors as V
+from semblance.operators.photos import last_rows
 from semblance.operators.relational import conflicts, minus
+from semblance.sources.tables import written
 
 IGNORE, NO_ALBUM = "ignorar", "sem-album"
 #: Thumbnails that a profile keeps.
@@ -24,14 +28,27 @@ def of_level(profiles: DataFrame, level: str | None) -> DataFrame:
     return profiles if level is None else profiles.where(F.col("nivel") == level)
 
 
-def distances(identities: DataFrame, profiles: DataFrame, dim: int) -> DataFrame:
+def distances(identities: DataFrame, profiles: DataFrame, dim: int, block: int = 1024) -> DataFrame:
     """identity, chave, rms, n_conflicts of every identity and profile.
 
-    identities: identity, v, photo_id, idx; profiles: chave, v, photo_id, idx. Both meet as one centroid each."""
-    a = identities.groupBy("identity").agg(V.centroid("v", dim).alias("x"))
-    b = profiles.groupBy("chave").agg(V.centroid("v", dim).alias("y"))
-    # profiles are a list that people keep by hand; Spark broadcasts it only while it is small
-    near = a.join(b, F.lit(True)).select("identity", "chave", V.rms_of_centroids("x", "y").alias("rms"))
+    identities: identity, v, photo_id, idx; profiles: chave, v, photo_id, idx. Both meet as one centroid each, in tiles of
+    `block` centroids a side; an identity has a row for each profile, as the question is."""
+    who, what = dict(identities.dtypes)["identity"], dict(profiles.dtypes)["chave"]
+    a = written(identities.groupBy("identity").agg(V.centroid("v", dim).alias("c")), "identity-centroids")
+    b = written(profiles.groupBy("chave").agg(V.centroid("v", dim).alias("c")), "profile-centroids")
+    n, m = (max(1, -(-x.count() // block)) for x in (a, b))
+    every = lambda k, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias(name)
+    left = a.select(F.pmod(F.xxhash64("identity"), F.lit(n)).alias("i"), every(m, "j"), "identity", F.lit(None).cast(what).alias("chave"), "c")
+    right = b.select(every(n, "i"), F.pmod(F.xxhash64("chave"), F.lit(m)).alias("j"), F.lit(None).cast(who).alias("identity"), "chave", "c")
+
+    def rms(p: pd.DataFrame) -> pd.DataFrame:
+        x, y = p[p["chave"].isna()], p[p["chave"].notna()]
+        if x.empty or y.empty:
+            return pd.DataFrame({"identity": [], "chave": [], "rms": []})
+        d = np.sqrt(np.maximum(2 - 2 * np.stack(x["c"].to_numpy()) @ np.stack(y["c"].to_numpy()).T, 0))
+        return pd.DataFrame({"identity": np.repeat(x["identity"].to_numpy(), len(y)), "chave": np.tile(y["chave"].to_numpy(), len(x)), "rms": d.ravel()})
+
+    near = left.unionByName(right).groupBy("i", "j").applyInPandas(rms, f"identity {who}, chave {what}, rms double")
     shared = conflicts(identities, profiles, "identity", "chave")
     return near.join(shared, ["identity", "chave"], "left").withColumn("n_conflicts", F.coalesce("n_conflicts", F.lit(0).cast("long")))
 
@@ -45,9 +62,9 @@ def classified(identities: DataFrame, profiles: DataFrame, dim: int, limit: floa
 
 
 def checked(identities: DataFrame, profiles: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """What is near each profile, with its verdict; ordered by distance, name and conflicts when shown."""
+    """What is near each profile, with its verdict, in order of distance, name and conflicts."""
     d = distances(identities, profiles, dim).where(F.col("rms") <= threshold + 0.15)
-    return d.withColumn("verdict", S.verdict(F.col("rms"), F.col("n_conflicts"), threshold))
+    return d.withColumn("verdict", S.verdict(F.col("rms"), F.col("n_conflicts"), threshold)).orderBy("rms", "identity", "chave", "n_conflicts")
 
 
 def gate(people: DataFrame, found: DataFrame, levels: DataFrame) -> DataFrame:
@@ -57,15 +74,16 @@ def gate(people: DataFrame, found: DataFrame, levels: DataFrame) -> DataFrame:
     return both.select("identity", F.when(F.col("has_vectors"), F.col("nivel")).otherwise(F.col("stamp")).alias("barred"))
 
 
-def snapshot(ranking: DataFrame, faces: DataFrame, names: list[str], level: str, reason: str | None = None, custom_name: str | None = None) -> DataFrame:
-    """Profiles of ranked people: only faces that the store holds, the first thumbs; people without vectors are skipped."""
+def snapshot(ranking: DataFrame, faces: DataFrame, names: list[str], level: str, reason: str | None = None, custom_name: str | None = None, place: str = "face_index") -> DataFrame:
+    """Profiles of ranked people: only faces that the store holds, the first thumbs; people without vectors are skipped.
+    Of rows that repeat a key the last by `place` counts."""
     if level not in (IGNORE, NO_ALBUM):
         raise ValueError(f"level {level}")
     if custom_name and len(names) > 1:
         raise ValueError("a custom name is for one person")
     people = ranking.where(F.col("pessoa").isin(*names))
     key = S.item_key(F.col("photo_id"), F.col("face_index"))
-    kept = people.select("pessoa", "id", F.posexplode("faces").alias("at", "key")).join(faces.select(key.alias("key"), "thumb").dropDuplicates(["key"]), "key")
+    kept = people.select("pessoa", "id", F.posexplode("faces").alias("at", "key")).join(last_rows(faces, key, place).select("key", "thumb"), "key")
     ordered = kept.groupBy("pessoa", "id").agg(F.sort_array(F.collect_list(F.struct("at", "key", "thumb"))).alias("f"))
     return ordered.select(
         F.col("id").alias("chave"), F.lit(custom_name).cast("string").alias("nome"), F.lit(level).alias("nivel"), F.lit(reason).cast("string").alias("motivo"),

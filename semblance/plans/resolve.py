@@ -15,6 +15,7 @@ from semblance.config import ResolveConfig
 from semblance.functions import scalars as S
 from semblance.operators import kernels, relational
 from semblance.operators.cluster import coherence, constrained_clusters
+from semblance.operators.photos import first_path_only
 from semblance.sources.tables import FACE, written
 
 State = dict[str, DataFrame]
@@ -85,7 +86,7 @@ def resolve(state: State, found: DataFrame, cfg: ResolveConfig = ResolveConfig()
     Phase 1 takes photos that are neither finished nor excluded, phase 2 those that were deferred."""
     spark = found.sparkSession
     gated = found.where(S.passes_gate(F.col("face_px"), F.col("det_score"), cfg.min_px, cfg.min_score))
-    gated = gated.dropDuplicates(["photo_id", "face_index"]).withColumn("face_id", S.item_key(F.col("photo_id"), F.col("face_index")))
+    gated = first_path_only(gated).dropDuplicates(["photo_id", "face_index"]).withColumn("face_id", S.item_key(F.col("photo_id"), F.col("face_index")))
     open_ = gated.join(state["excluded"].select("photo_id"), "photo_id", "left_anti")
     status = state["photos"].select("photo_id", "status")
     if phase == 1:

@@ -47,6 +47,12 @@ class CommandClient:
     def download(self, uids: list[str], folder: str) -> None:
         self.run("download", *uids, "--to", folder)
 
+    def create_album(self, name: str) -> None:
+        self.run("create-album", name)
+
+    def add_photos(self, album: str, uids: list[str]) -> None:
+        self.run("add-photos", album, *uids)
+
 
 class FileClient:
     """Listings from <root>/<what>.json, downloads as copies; for tests and for saved listings. options: root."""
@@ -61,6 +67,18 @@ class FileClient:
         for u in uids:
             (Path(folder) / u).write_bytes((self.root / "files" / u).read_bytes())
 
+    def create_album(self, name: str) -> None:
+        known = self.listing("albums")
+        uid = f"album{len(known) + 1}"
+        (self.root / f"album-{uid}.json").write_text("[]")
+        (self.root / "albums.json").write_text(json.dumps([*known, {"uid": uid, "name": name}]))
+
+    def add_photos(self, album: str, uids: list[str]) -> None:
+        """A photo whose file is missing is passed over, as remote libraries do."""
+        held = self.listing(f"album-{album}")
+        new = [{"uid": u} for u in uids if (self.root / "files" / u).exists()]
+        (self.root / f"album-{album}.json").write_text(json.dumps(held + new))
+
 
 def client(name: str, options: dict[str, str]):
     module, _, cls = name.partition(":")
@@ -124,8 +142,10 @@ def album_or_new(found: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(found.groupBy("name").agg(F.min("uid").alias("uid")), "name", "left")
 
 
-def pruned(entries: DataFrame, keep_screenshots: bool = False, keep_duplicates: bool = False) -> DataFrame:
-    """Catalog entries worth a download: camera photos, one for each content."""
+def pruned(entries: DataFrame, keep_screenshots: bool = False, keep_duplicates: bool = False, all_media: bool = False) -> DataFrame:
+    """Catalog entries worth a download: camera photos, one for each content. all_media: no filter at all."""
+    if all_media:
+        return entries
     if not keep_screenshots:
         entries = entries.where(S.is_camera_photo(F.col("media_type"), F.col("name")))
     return entries if keep_duplicates else relational.keep_first(entries, "content_hash", [F.col("capture_time").asc_nulls_first(), "uid"])

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from semblance.functions import scalars as S
+from semblance.functions.images import header
+
 VECTOR = T.ArrayType(T.DoubleType())
 FACE = "face_id string, photo_id string, face_index int, embedding array<double>, person_id string, confidence double, status string"
 PHOTO = "photo_id string, path string, mtime double, num_faces int, status string"
@@ -27,6 +29,8 @@ STATE = {"faces": FACE, "photos": PHOTO, "persons": PERSON, "edges": EDGE, "excl
 def shared_dir(spark: SparkSession) -> str:
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.semblance.scratch", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="semblance-")
         spark.conf.set("spark.semblance.scratch", known)
     return known.rstrip("/")
@@ -49,13 +53,22 @@ def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "json"
         return spark.createDataFrame([], schema)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, asked of whichever store Spark reads it from."""
+    try:
+        spark.read.format("binaryFile").load(path)
+        return True
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
 def read_or_build(spark: SparkSession, path: str, schema: str, build, refresh: bool = False) -> DataFrame:
-    """A cached table; built and saved where it is missing or a refresh is asked for."""
-    found = None if refresh else read_or_empty(spark, path, schema)
-    if found is None or found.isEmpty():
+    """A cached table; built and saved where it is missing or a refresh is asked for. One that is there and empty stays."""
+    if refresh or not exists(spark, path):
         build().write.mode("overwrite").json(path)
-        found = spark.read.schema(schema).json(path)
-    return found
+    return spark.read.schema(schema).json(path)
 
 
 def same_model(detections: DataFrame, embedder: str) -> DataFrame:
@@ -80,15 +93,18 @@ def _struct(ddl: str) -> str:
     return ", ".join(f"{n}: {t}" for n, t in (c.split(" ", 1) for c in ddl.split(", ")))
 
 
-def find_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] | None, drop_screenshots: bool = True) -> DataFrame:
-    """Files below a folder with path, size and time; contents are read only if a later step asks for them."""
+def find_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] | None, drop_screenshots: bool = True, drop_video_frames: bool = False) -> DataFrame:
+    """Files below a folder with path, size and time, in order of their paths. Contents are read only if a later step asks for
+    them, or to leave out frames of videos, which are 16:9."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     if extensions:
         files = files.where(F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1)).isin(*extensions))
     if drop_screenshots:
-        files = files.where(~name.rlike(r"(?i)^screenshot_"))
-    return files.withColumn("name", name)
+        files = files.where(~S.is_screenshot(name))
+    if drop_video_frames:
+        files = files.withColumn("_h", header("content")).where(~S.is_wide_frame(F.col("_h.width"), F.col("_h.height"))).drop("_h")
+    return files.withColumn("name", name).orderBy("path")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +135,3 @@ class Snapshots:
             state[n].write.mode("overwrite").parquet(f"{self.root}/v={v}/{n}")
         self.spark.createDataFrame([(v,)], "version long").write.mode("append").parquet(f"{self.root}/published")
         return v
-
-
-def relative(path: str, root: str) -> str:
-    return str(PurePosixPath(path).relative_to(root))

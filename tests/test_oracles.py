@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from semblance.plans import queries as core
+from semblance.plans import all_queries as core
 
 SF = "/root/testdata/sf0.001"
 

@@ -22,7 +22,7 @@ def test_coherence_after_adding_scores_every_item(spark):
         own = np.flatnonzero(label == p)
         inner, n = d[np.ix_(own, own)].sum() / 2, len(own)
         want |= {(items[i], p): (inner + d[i, own].sum()) / (n * (n + 1) / 2) for i in np.flatnonzero(label != p)}
-    got = {(r["item"], r["label"]): r["coherence"] for r in Q.coherence_after_adding_all(spark, SF).collect()}
+    got = {(r["item"], r["label"]): r["coherence"] for r in Q.coherence_after_adding(spark, SF).collect()}
     assert got.keys() == want.keys() and len({i for i, _ in got}) == len(items)
     assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
 
@@ -39,7 +39,7 @@ def test_exclusion_counts_every_line(spark):
     for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_suppkey").collect():
         if r["l_orderkey"] not in gone:
             want[r["l_suppkey"]] = want.get(r["l_suppkey"], 0) + 1
-    assert {r["person_id"]: r["n_faces"] for r in Q.exclude_group_all(spark, SF).collect()} == want
+    assert {r["person_id"]: r["n_faces"] for r in Q.exclude_group(spark, SF).collect()} == want
 
 
 @pytest.mark.parametrize("name", ["incremental", "reclustered", "stream_sweep"])
