@@ -1,24 +1,32 @@
 """HTML extraction by wrapper induction: DOM trees of same-host pages are aligned by simple tree matching.
 
-Each host has one reference page, the page of the smallest hash. Runs of like siblings are folded into one list
-node, so trees stay small, and every page of the host is aligned with the reference by simple tree matching (the
-largest order- and parent-preserving match). Over all pages of a host, exact counts tell for each reference node how many pages have it
-and how many repeat its very text. Nodes that nearly all of them repeat are template; matched nodes with other texts are
-slots. What the reference lacks (another layout, an error page) is counted by its path, the signs from the root down: a
-text that nearly all pages with the path repeat is template as well, and a path that the reference has not can be a menu.
-Copies of a page count as one page there. A slot is a content slot unless its place says that it is a menu, form, notice and so on, or links take
-most of its text over all pages; nodes that match nothing on a path of too few pages are judged by their place alone.
-
-A page's text is its varying blocks under its article (the deepest element that holds what the content slots of
-its own page hold: `article`, `main` or its role, else the body).
-
-Pages that equal the reference say nothing about what varies, so they do not count, and a host needs MIN_PAGES
-others before anything is called template. Counts are gathered per reference item, so a host with a third of all
-pages is summed where its pages are read; the reference pages are joined by host, which Spark may broadcast or split.
-
-Defined cases: null and empty html give an empty text; broken markup is closed as browsers do; a host with one page
-uses places alone; a null url is a host of its own (empty); repeated rows give the same text each; very long pages are
-parsed whole; the match folds runs, so its cost follows the number of distinct runs; clashing columns are replaced.
+Each host has one reference page, the page of the smallest hash. Runs of siblings of the same sign and shape are folded into one
+list node, so trees stay small, and every page of the host is aligned with the reference by simple tree matching (the largest
+order- and parent-preserving match). Over all pages of a host, exact counts tell for each reference node how many pages have
+it, how much text it has there, how much of that is in links, and how many pages repeat a text. Then
+
+- constant nodes become template: a text that nearly all pages with its node repeat. What the reference lacks (another layout,
+  an error page) is counted by its path, the signs from the root down, in the same way;
+- slots that are mostly links are menus;
+- the other slots compete by what varies in them. The content root is where the alignment's varying, unlinked text is: from the
+  root of the reference down, the child that holds HOLDS of it, as long as one does that has parts of its own; headings right
+  before it belong to it. What stands in other slots is not content, whatever its name.
+
+A page's text is its varying blocks under the content root. Names are hints: text inside `article` or `main` counts HINT times in
+the competition; an element named as a notice, menu, comment box and so on (or a form) is not content, unless it holds an article or
+most of the page's text; and pages that the alignment says nothing about (a host of few pages, a layout that has no match for the
+content root) fall back on these hints alone, the deepest `article` or `main`, else the body.
+
+Pages that equal the reference say nothing about what varies, so they do not count, and copies of a page count as one. A host
+needs MIN_PAGES others before anything is called template, ROOT_PAGES before slots compete. Pages are parsed and aligned
+once; their blocks are written, and counts are gathered from them per reference item, so a host with a third of all pages is
+summed where its pages are read. The reference pages are joined by host, which Spark may broadcast or split.
+
+Defined cases: null and empty html give an empty text; broken markup is closed as browsers do; a host with one page uses hints
+alone; a null url is a host of its own (empty); repeated rows give the same text each; very long pages are parsed whole; elements
+below DEPTH levels keep their own flags and text but stand beside each other; siblings are matched at the cost of a vector
+operation for each of them, and where two lists of siblings would make a table of over CELLS cells (some 2,000 alternating
+siblings on both sides), likes are folded also where they do not follow each other. Clashing columns are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +37,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -37,21 +46,29 @@ from pyspark.sql import functions as F
 from semblance.llm.common import table, written
 from semblance.llm.urls import with_host_path
 
-#: Pages, other than copies of the reference, that a host needs before a node can be template.
-MIN_PAGES = 8
+#: Pages, other than copies of the reference, that a host needs before a node can be template, and before slots compete.
+MIN_PAGES, ROOT_PAGES = 8, 3
 #: Share of the pages with a node that must repeat its text for it to be template.
 CONSTANT = 0.95
 #: What sums of shares of pages may miss.
 NEAR = 1e-6
 #: Share of link text above which a slot is a menu.
 LINKED = 0.6
-
-#: Levels that a tree has at most; deeper elements join the last level.
+#: Share of the varying text that a child must hold to be the content root, and what text counts inside of an article.
+HOLDS, HINT = 0.75, 3.0
+#: Pages of a batch that are parsed together.
+PAGES = 500
+#: Cells of a table of siblings.
+CELLS = 1 << 22
+
+#: Levels that a tree has at most; deeper elements stand beside each other on the last one.
 DEPTH = 120
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never shown as part of an article.
-SILENT = set("script style noscript template head iframe object svg math canvas audio video select option datalist textarea button form input label fieldset legend map dialog title".split())
+#: Elements whose text is never shown as part of an article; and forms, which may be around a whole page.
+SILENT = set("script style noscript template head iframe object svg math canvas audio video select option datalist textarea button input label fieldset legend map dialog title".split())
+FORMS = {"form"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that frame an article.
 FRAME = set("nav footer aside menu header".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -74,6 +91,9 @@ BESIDE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header)(?:$|
 class Node:
     tag: str
     place: str = ""
+    #: why its text may not be content: 2 never shown, 1 a name that hints so
+    reason: int = 0
+    article: bool = False
     beside: bool = False
     #: articles around and at this node: 1 for one, 2 for one inside of another
     within: int = 0
@@ -89,8 +109,6 @@ class Builder(HTMLParser):
         self.root = Node("#root")
         self.open: list[Node] = [self.root]
         self.links = 0
-        #: elements beyond DEPTH, which open no level of their own
-        self.flat: list[str] = []
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body") and len(self.open) > 1 and any(n.tag == tag for n in self.open):
@@ -101,27 +119,26 @@ class Builder(HTMLParser):
             return
         if tag == "a":
             self.links += 1
-        named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
-        hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs) or any(k == "style" and v and re.search(r"display\s*:\s*none", v, re.I) for k, v in attrs)
-        if tag in INLINE and not (BESIDE.search(named) or hidden):
+        named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")) if attrs else ""
+        hidden = bool(attrs) and (any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs) or any(k == "style" and v and re.search(r"display\s*:\s*none", v, re.I) for k, v in attrs))
+        hint = bool(named) and bool(BESIDE.search(named))
+        if tag in INLINE and not (hint or hidden):
             return
         if tag not in INLINE:
             self._close(lambda n: n.tag == "p", SCOPES)
             if tag in CLOSES:
                 self._close(lambda n: n.tag in CLOSES[tag], SCOPES - {"td", "th"} if tag in ("tr", "td", "th") else SCOPES)
+        article = tag in ("article", "main") or any((k == "role" and v in ("main", "article")) or (k == "itemprop" and v == "articleBody") for k, v in attrs)
         above = self.open[-1]
-        if len(self.open) >= DEPTH:
-            self.flat.append(tag)
-            if tag not in INLINE:
-                above.order.append(Node("#end", beside=True))
-            return
-        article = tag in ("article", "main") or any(k == "role" and v in ("main", "article") for k, v in attrs) or any(k == "itemprop" and v == "articleBody" for k, v in attrs)
         inside = above.within > 0
-        beside = hidden or tag in SILENT or bool(BESIDE.search(named)) or (tag in FRAME and not (tag == "header" and inside)) or (bool(BESIDE_HEADER.search(named)) and not inside)
-        node = Node(tag, named, beside or above.beside, min(2, above.within + article))
-        above.order.append(node)
+        soft = hint or tag in FORMS or (tag in FRAME and not (tag == "header" and inside)) or (bool(named) and bool(BESIDE_HEADER.search(named)) and not inside)
+        node = Node(tag, named, 2 if hidden or tag in SILENT else int(soft), article, within=min(2, above.within + article))
+        self._attach(node)
         self.open.append(node)
 
+    def _attach(self, node: Node) -> None:
+        self.open[min(len(self.open), DEPTH) - 1].order.append(node)
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -140,12 +157,6 @@ class Builder(HTMLParser):
             self.links = max(0, self.links - 1)
         if tag in VOID or tag in ("html", "body"):
             return
-        if self.flat and tag in self.flat:
-            while self.flat.pop() != tag:
-                pass
-            if tag not in INLINE:
-                self.open[-1].order.append(Node("#end", beside=True))
-            return
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at].tag == tag:
                 del self.open[at:]
@@ -156,6 +167,11 @@ class Builder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if len(self.open) > DEPTH and self.open[DEPTH - 1].order[-1] is not self.open[-1]:
+            # text after a deeper element: what it belongs to goes on as a further node
+            old = self.open[-1]
+            self.open[-1] = Node(old.tag, old.place, old.reason, old.article, within=old.within)
+            self._attach(self.open[-1])
         self.open[-1].order.append((data, self.links > 0))
 
 
@@ -177,13 +193,45 @@ class Fold:
     blocks: list[Block] = field(default_factory=list)
     children: list[Fold] = field(default_factory=list)
     index: int = -1
+    #: the first index behind the subtree
+    end: int = -1
+    #: equal for subtrees of equal structure
+    shape: int = 0
+    size: int = 1
 
 
 def parse(html: str | None) -> Node:
+    """The tree of a page, with what is beside the article marked."""
     b = Builder()
     if html:
         b.feed(html)
         b.close()
+    shown: dict[int, int] = {}
+    holds: dict[int, bool] = {}
+
+    def measure(n: Node) -> tuple[int, bool]:
+        size, article = 0, n.article
+        for x in n.order:
+            if isinstance(x, Node):
+                more, found = measure(x)
+                size, article = size + more, article or found
+            else:
+                size += len(x[0])
+        if n.reason == 2:
+            size, article = 0, False
+        shown[id(n)], holds[id(n)] = size, article
+        return size, article
+
+    total = measure(b.root)[0]
+
+    def mark(n: Node, beside: bool) -> None:
+        # a hint on what holds the article or most of the page is not taken
+        n.beside = beside or n.reason == 2 or (n.reason == 1 and not holds[id(n)] and 2 * shown[id(n)] <= total)
+        for x in n.order:
+            if isinstance(x, Node):
+                mark(x, n.beside)
+
+    mark(b.root, False)
     return b.root
 
 
@@ -191,8 +239,12 @@ def _sign(n: Node) -> str:
     return f"{n.tag}|{n.place}"
 
 
-def blocks_of(node: Node) -> list[Block]:
-    """Blocks of the node's own text, split where child blocks stand."""
+def _shape(n: Node) -> tuple:
+    return n.tag, n.place, n.beside, frozenset(x.tag for x in n.order if isinstance(x, Node))
+
+
+def blocks_of(node: Node) -> list:
+    """Blocks of the node's own text, and its child nodes, in order; text is split where child nodes stand."""
     out, run = [], []
 
     def end():
@@ -203,64 +255,139 @@ def blocks_of(node: Node) -> list[Block]:
 
     for x in node.order:
         if isinstance(x, Node):
-            end()
+            if run:
+                end()
             out.append(x)
         else:
             run.append(x)
-    end()
+    if run:
+        end()
     return out
 
 
-def fold(root: Node) -> Fold:
-    """The folded tree. Likes are siblings of the same sign that follow each other."""
+def fold(root: Node) -> tuple[Fold, list[tuple[Block, Fold]]]:
+    """The folded tree, and the blocks of the page in page order with the fold that each is in. Likes are siblings of the
+    same sign, tags of children and standing that follow each other."""
     counter = [0]
+    where: dict[int, Fold] = {}
 
     def of(nodes: list[Node]) -> Fold:
         f = Fold(_sign(nodes[0]), nodes, index=counter[0])
         counter[0] += 1
         below: list[Node] = []
         for n in nodes:
-            for x in blocks_of(n):
+            where[id(n)] = f
+            parts[id(n)] = blocks_of(n)
+            for x in parts[id(n)]:
                 if isinstance(x, Block):
                     f.blocks.append(x)
                 else:
                     below.append(x)
         run: list[Node] = []
+        like = None
         for n in below:
-            if run and _sign(run[-1]) != _sign(n):
+            own = _shape(n)
+            if run and own != like:
                 f.children.append(of(run))
                 run = []
             run.append(n)
+            like = own
         if run:
             f.children.append(of(run))
+        f.end = counter[0]
+        f.shape = hash((f.sign, *(c.shape for c in f.children)))
+        f.size += sum(c.size for c in f.children)
         return f
 
-    return of([root])
+    parts: dict[int, list] = {}
+    top = of([root])
+
+    def read(n: Node) -> Iterator[tuple[Block, Fold]]:
+        for x in parts[id(n)]:
+            if isinstance(x, Block):
+                yield x, where[id(n)]
+            else:
+                yield from read(x)
+
+    return top, list(read(root))
 
 
-def simple_tree_matching(a: Fold, b: Fold) -> tuple[int, list[tuple[Fold, Fold]]]:
-    """Size and pairs of the largest match that keeps parents and the order of siblings."""
+def _merged(children: list[Fold]) -> list[Fold]:
+    """Children with all likes folded together, each where the first of it stands."""
+    by: dict[str, Fold] = {}
+    for c in children:
+        f = by.setdefault(c.sign, Fold(c.sign, [], index=c.index, end=c.end))
+        f.nodes, f.blocks, f.children = f.nodes + c.nodes, f.blocks + c.blocks, f.children + c.children
+    for f in by.values():
+        f.size = 1 + sum(c.size for c in f.children)
+        f.shape = hash((f.sign, *(c.shape for c in f.children)))
+    return list(by.values())
+
+
+def simple_tree_matching(a: Fold, b: Fold, known: dict | None = None) -> int:
+    """Size of the largest match of two trees that keeps parents and the order of siblings. known: sizes by shapes."""
     if a.sign != b.sign:
-        return 0, []
-    m, n = len(a.children), len(b.children)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    pairs = [[None] * n for _ in range(m)]
-    for i in range(m):
-        for j in range(n):
-            w, inner = simple_tree_matching(a.children[i], b.children[j])
-            pairs[i][j] = (w, inner)
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
-    found, i, j = [(a, b)], m, n
-    while i and j:
-        w, inner = pairs[i - 1][j - 1]
-        if w and best[i][j] == best[i - 1][j - 1] + w:
-            found += inner
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[m][n], found
+        return 0
+    if a.shape == b.shape:
+        return a.size
+    known = {} if known is None else known
+    key = (a.shape, b.shape)
+    if key not in known:
+        known[key] = 1 + _siblings(a.children, b.children, known, None)
+    return known[key]
+
+
+def _siblings(xs: list[Fold], ys: list[Fold], known: dict, out: list | None) -> int:
+    """Size of the largest match of two lists of siblings; its pairs are added to out. Equal siblings at both ends match each
+    other, which no other match can better; the rest is a table, filled row by row."""
+    low, total = 0, 0
+    while low < min(len(xs), len(ys)) and xs[low].shape == ys[low].shape:
+        total += xs[low].size
+        if out is not None:
+            out.append((xs[low], ys[low]))
+        low += 1
+    high = 0
+    while high < min(len(xs), len(ys)) - low and xs[-1 - high].shape == ys[-1 - high].shape:
+        total += xs[-1 - high].size
+        if out is not None:
+            out.append((xs[-1 - high], ys[-1 - high]))
+        high += 1
+    xs, ys = xs[low : len(xs) - high], ys[low : len(ys) - high]
+    if not xs or not ys:
+        return total
+    if len(xs) * len(ys) > CELLS:
+        xs, ys = _merged(xs), _merged(ys)
+    # equal shapes share a row or column of weights
+    kinds_x, kinds_y = ({s: i for i, s in enumerate(dict.fromkeys(z.shape for z in zs))} for zs in (xs, ys))
+    of_x, of_y = ({z.shape: z for z in zs} for zs in (xs, ys))
+    weight = np.array([[simple_tree_matching(of_x[p], of_y[q], known) for q in kinds_y] for p in kinds_x], dtype=np.int32)
+    rows = weight[[kinds_x[x.shape] for x in xs]][:, [kinds_y[y.shape] for y in ys]]
+    best = np.zeros((len(xs) + 1, len(ys) + 1), dtype=np.int32)
+    for i in range(len(xs)):
+        np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + rows[i]), out=best[i + 1, 1:])
+    if out is not None:
+        i, j, found = len(xs), len(ys), []
+        while i and j:
+            if best[i, j] == best[i - 1, j]:
+                i -= 1
+            elif best[i, j] == best[i, j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                found.append((xs[i], ys[j]))
+        out += reversed(found)
+    return total + int(best[-1, -1])
+
+
+def matched(a: Fold, b: Fold) -> dict[int, int]:
+    """Index in a: index in b, of the pairs of the largest match."""
+    known: dict = {}
+    pairs, todo = {}, [(a, b)] if a.sign == b.sign else []
+    while todo:
+        x, y = todo.pop()
+        pairs[x.index] = y.index
+        _siblings(x.children, y.children, known, todo)
+    return pairs
 
 
 def _each(f: Fold) -> Iterator[Fold]:
@@ -273,7 +400,7 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def _below(path: int, sign: str) -> int:
     return -2 - (_hash(f"{path} {sign}") >> 1)
 
@@ -287,116 +414,137 @@ def _paths(f: Fold, above: int = 0) -> Iterator[tuple[int, Fold]]:
 
 
 @lru_cache(maxsize=64)
-def _reference(html: str) -> tuple[Fold, dict[int, frozenset[int]], frozenset[int]]:
-    f = fold(parse(html))
-    return f, {x.index: frozenset(_hash(b.text) for b in x.blocks) for x in _each(f)}, frozenset(p for p, _ in _paths(f))
+def _reference(html: str) -> tuple[Fold, frozenset[int]]:
+    f = fold(parse(html))[0]
+    return f, frozenset(p for p, _ in _paths(f))
 
 
-def votes(html: str | None, reference: str, share: float = 1.0) -> list[tuple[int, int, float, int, int]]:
-    """(reference node or path, text hash or -1 for the node, pages, characters, characters in links) of a page.
-    share: 1 over the copies of the page, its weight in the counts of paths."""
-    if not html:
-        return []
-    f = fold(parse(html))
-    by_path: dict[int, tuple[set[int], list[int]]] = {}
-    for path, x in _paths(f):
-        hashes, sums = by_path.setdefault(path, (set(), [0, 0]))
-        for b in x.blocks:
-            hashes.add(_hash(b.text))
-            sums[0] += len(b.text)
-            sums[1] += b.linked
-    out = []
-    for path, (hashes, (chars, linked)) in by_path.items():
-        if hashes:
-            out.append((path, -1, share, chars, linked))
-            out += [(path, h, share, 0, 0) for h in hashes]
-    if html != reference:
-        ref, texts, _ = _reference(reference)
-        for own, r in simple_tree_matching(f, ref)[1]:
-            out.append((r.index, -1, 1.0, sum(len(b.text) for b in own.blocks), sum(b.linked for b in own.blocks)))
-            out += [(r.index, h, 1.0, 0, 0) for h in {_hash(b.text) for b in own.blocks} & texts[r.index]]
-    return out
+BLOCKS = "array<struct<node: int, anchor: int, path: long, known: boolean, hash: long, text: string, beside: boolean, within: int>>"
+VOTES = "array<struct<node: long, hash: long, chars: int, linked: int>>"
 
 
-def extract(html: str | None, reference: str | None = None, template: frozenset[tuple[int, int]] = frozenset(), menus: frozenset[int] = frozenset()) -> str:
-    """The main text of a page; template: (reference node, text hash) pairs, menus: reference nodes of links;
-    either may have paths in place of reference nodes."""
+def aligned(html: str | None, reference: str | None) -> tuple[list[tuple], list[tuple]]:
+    """Blocks and votes of a page. A block has its reference node (-1: none), the nearest one at or above it, its path and
+    whether the reference has that, its text and flags. A vote is for a node or path (hash -1, with characters and those in links)
+    or for a text of it."""
     if not html:
-        return ""
-    root = parse(html)
-    dropped: dict[int, set[int]] = {}
-    if reference and (template or menus):
-        f = fold(root)
-        ref, _, known = _reference(reference)
-        for path, own in _paths(f):
-            for b in own.blocks:
-                h = _hash(b.text)
-                if (path, h) in template or (path in menus and path not in known):
-                    dropped.setdefault(id(b.node), set()).add(h)
-        for own, r in simple_tree_matching(f, ref)[1]:
-            for b in own.blocks:
-                h = _hash(b.text)
-                if r.index in menus or (r.index, h) in template:
-                    dropped.setdefault(id(b.node), set()).add(h)
-
-    def texts(node: Node) -> Iterator[tuple[int, str]]:
-        """Kept blocks in page order, and how many articles each stands in."""
-        for x in blocks_of(node):
-            if isinstance(x, Node):
-                yield from texts(x)
-            elif not node.beside and _hash(x.text) not in dropped.get(id(node), ()):
-                yield node.within, x.text
-
-    found = list(texts(root))
-    level = max((w for w, _ in found), default=0)
-    # an article inside of a main element is the narrower frame
-    return " ".join(t for w, t in found if not level or w == level)
-
-
-def induce(pages: DataFrame) -> DataFrame:
-    """One row for each host: its reference page, template and menus."""
+        return [], []
+    f, found = fold(parse(html))
+    path_of = {x.index: p for p, x in _paths(f)}
+    ref, known = _reference(reference) if reference else (None, frozenset())
+    to = matched(f, ref) if ref else {}
+    anchor: dict[int, int] = {}
+
+    def anchored(x: Fold, above: int) -> None:
+        anchor[x.index] = own = to.get(x.index, above)
+        for c in x.children:
+            anchored(c, own)
+
+    anchored(f, -1)
+    blocks = [(to.get(x.index, -1), anchor[x.index], path_of[x.index], path_of[x.index] in known, _hash(b.text), b.text, b.node.beside, b.node.within) for b, x in found]
+    copy = html == reference
+    sums: dict[tuple[int, int], list[int]] = {}
+    for (node, _, path, _, h, *_), (b, _) in zip(blocks, found, strict=True):
+        for key in ((path,) if copy or node < 0 else (path, node)):
+            all_, own = sums.setdefault((key, -1), [0, 0]), sums.setdefault((key, h), [0, 0])
+            if not b.node.beside:
+                all_[0] += len(b.text)
+                all_[1] += b.linked
+                own[0] += len(b.text) - b.linked
+    return blocks, [(node, h, *v) for (node, h), v in sums.items()]
+
+
+def content_root(reference: str, mass: dict[int, float]) -> tuple[int, int]:
+    """First index and end of the part of the reference that holds the varying text; mass: that of its nodes."""
+    f = _reference(reference)[0]
+    held = {x.index: max(0.0, mass.get(x.index, 0.0)) * (HINT if any(n.within for n in x.nodes) else 1.0) for x in _each(f)}
+    total = lambda x: sum(held[i] for i in range(x.index, x.end))
+    whole = total(f)
+    while whole > 0 and not any(n.within for n in f.nodes):
+        best = max(f.children, key=total, default=None)
+        if best is None or not best.children or total(best) < HOLDS * whole:
+            break
+        at = first = f.children.index(best)
+        while first and f.children[first - 1].nodes[0].tag in HEADINGS:
+            first -= 1
+        if first < at:
+            return f.children[first].index, best.end
+        f = best
+    return f.index, f.end
+
+
+def induce(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pages with their aligned blocks, and one row for each host: template, menus and content root."""
     order = F.xxhash64(F.coalesce("html", F.lit("")))
-    refs = written(pages.where(F.length("html") > 0).groupBy("host").agg(F.min_by("html", F.struct(order, "html")).alias("reference")), "html-references")
+    full = pages.where(F.length("html") > 0)
+    refs = written(full.groupBy("host").agg(F.min_by("html", F.struct(order, "html")).alias("reference")), "html-references")
+    copied = written(full.groupBy("host", F.xxhash64("html").alias("key")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "html-copies")
+    joined = pages.withColumn("key", F.xxhash64("html")).join(copied, ["host", "key"], "left").join(refs, "host", "left")
 
-    def count(batches):
+    def align(batches):
         for b in batches:
-            sums: dict[tuple, list] = {}
-            for host, html, reference, copies in zip(b["host"], b["html"], b["reference"], b["copies"], strict=True):
-                for index, h, *add in votes(html, reference, 1 / copies):
-                    old = sums.setdefault((host, index, h), [0.0, 0, 0])
-                    old[:] = [x + y for x, y in zip(old, add, strict=True)]
-            yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "node", "hash", "pages", "chars", "linked"])
-
-    rows = pages.where(F.length("html") > 0).select("host", "html", F.xxhash64("html").alias("key"))
-    copied = written(rows.groupBy("host", "key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "html-copies")
-    rows = rows.join(copied, ["host", "key"], "left").join(refs, "host").select("host", "html", "reference", F.coalesce("copies", F.lit(1)).alias("copies"))
-    counts = rows.mapInPandas(count, "host string, node long, hash long, pages double, chars long, linked long")
+            for at in range(0, len(b), PAGES):
+                part = b.iloc[at : at + PAGES]
+                got = [aligned(h, r) for h, r in zip(part["html"], part["reference"], strict=True)]
+                yield pd.DataFrame({c: part[c] for c in ("known_id", "page_id", "url", "host", "copies")} | {"blocks": [x for x, _ in got], "votes": [v for _, v in got]})
+
+    # a column with nulls would reach pandas as floats, which round large ids
+    rows = joined.select(F.col("page_id").isNotNull().alias("known_id"), F.coalesce("page_id", F.lit(0)).cast("long").alias("page_id"), "url", "host", F.coalesce("copies", F.lit(1)).alias("copies"), "html", "reference")
+    read = written(rows.mapInPandas(align, f"known_id boolean, page_id long, url string, host string, copies long, blocks {BLOCKS}, votes {VOTES}"), "html-blocks")
+    # a copy has its share of the vote of a page
+    votes = read.select("host", "copies", F.explode("votes").alias("v")).select("host", "v.*", (1 / F.col("copies")).alias("share"))
+    weighted = [F.sum(F.col(c) * F.col("share")).alias(c) for c in ("chars", "linked")]
+    items = written(votes.groupBy("host", "node", "hash").agg(F.sum("share").alias("pages"), *weighted).where((F.col("hash") == -1) | (F.col("pages") > CONSTANT * MIN_PAGES - NEAR)), "html-counts")
     least = F.when(F.col("node") < 0, MIN_PAGES + 1).otherwise(MIN_PAGES)  # the reference has its own part in paths
-    items = counts.groupBy("host", "node", "hash").agg(*(F.sum(c).alias(c) for c in ("pages", "chars", "linked")))
-    items = written(items.where((F.col("pages") > CONSTANT * least - NEAR) | ((F.col("hash") == -1) & (F.col("pages") > least - NEAR))), "html-counts")
-    nodes = items.where((F.col("hash") == -1) & (F.col("pages") > least - NEAR)).select("host", "node", F.col("pages").alias("n"), "chars", "linked")
-    texts = items.where("hash <> -1").select("host", "node", "hash", "pages")
-    fixed = texts.join(nodes.select("host", "node", "n"), ["host", "node"]).where(F.col("pages") > CONSTANT * F.col("n") - NEAR)
+    nodes = items.where("hash = -1").select("host", "node", F.col("pages").alias("n"), "chars", "linked")
+    texts = items.where("hash <> -1").select("host", "node", "hash", "pages", F.col("chars").alias("fixed"))
+    constant = (F.col("pages") > CONSTANT * F.col("n") - NEAR) & (F.col("n") > least - NEAR)
+    fixed = written(texts.join(nodes.select("host", "node", "n"), ["host", "node"]).where(constant), "html-fixed")
     template = fixed.groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("template"))
-    menus = nodes.groupBy("host").agg(F.collect_list(F.when(F.col("linked") > LINKED * F.col("chars"), F.col("node"))).alias("menus"))
-    wrappers = menus.join(template, "host", "left")
-    return written(refs.join(wrappers, "host", "left"), "html-wrappers")
+    linked = (F.col("linked") > LINKED * F.col("chars")) & (F.col("n") > least - NEAR)
+    menus = nodes.groupBy("host").agg(F.collect_list(F.when(linked, F.col("node"))).alias("menus"))
+    varying = nodes.where((F.col("node") >= 0) & (F.col("n") > ROOT_PAGES - NEAR)).join(fixed.groupBy("host", "node").agg(F.sum("fixed").alias("fixed")), ["host", "node"], "left")
+    mass = varying.groupBy("host").agg(F.collect_list(F.struct("node", (F.col("chars") - F.col("linked") - F.coalesce("fixed", F.lit(0.0))).alias("mass"))).alias("mass"))
+
+    def root(batches):
+        for b in batches:
+            got = [content_root(r, {m["node"]: m["mass"] for m in ms}) for r, ms in zip(b["reference"], b["mass"], strict=True)]
+            yield pd.DataFrame({"host": b["host"], "first": [x for x, _ in got], "end": [x for _, x in got]})
+
+    roots = refs.join(mass, "host").mapInPandas(root, "host string, first int, end int")
+    return read, written(refs.select("host").join(menus, "host", "left").join(template, "host", "left").join(roots, "host", "left"), "html-wrappers")
+
+
+def chosen(read: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """The text of each page: its blocks that are neither beside nor template nor menu, under the content root if any are."""
+    both = read.join(wrappers, "host", "left")
+    none = F.array().cast("array<struct<node: bigint, hash: bigint>>")
+    template, menus = F.coalesce("template", none), F.coalesce("menus", F.array().cast("array<bigint>"))
+
+    def varies(b):
+        item = lambda k: F.array_contains(template, F.struct(b[k].cast("long").alias("node"), b["hash"].alias("hash")))
+        menu = F.array_contains(menus, b["node"].cast("long")) | (F.array_contains(menus, b["path"]) & ~b["known"])
+        return ~b["beside"] & ~item("node") & ~item("path") & ~menu
+
+    rooted = both.withColumn("kept", F.filter("blocks", varies))
+    inside = F.filter("kept", lambda b: (b["anchor"] >= F.col("first")) & (b["anchor"] < F.col("end")))
+    rooted = rooted.withColumn("inside", F.coalesce(F.when(F.size(inside) > 0, inside), F.col("kept")))
+    # an article inside of a main element is the narrower frame
+    level = F.array_max(F.transform("inside", lambda b: b["within"]))
+    texts = F.transform(F.filter("inside", lambda b: b["within"] == level), lambda b: b["text"])
+    return rooted.select(F.when(F.col("known_id"), F.col("page_id")).alias("page_id"), "url", "host", F.array_join(texts, " ").alias("text"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html): page_id, url, host, text."""
-    rows = with_host_path(pages.select("page_id", "url", "html")).drop("path")
-    wrappers = induce(rows)
+    return chosen(*induce(with_host_path(pages.select("page_id", "url", "html")).drop("path")))
 
-    def read(batches):
-        for b in batches:
-            out = []
-            for html, reference, template, menus in zip(b["html"], b["reference"], b["template"], b["menus"], strict=True):
-                pairs = frozenset((t["node"], t["hash"]) for t in template) if template is not None else frozenset()
-                out.append(extract(html, reference, pairs, frozenset(menus) if menus is not None else frozenset()))
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "host": b["host"], "text": out})
 
-    return rows.join(wrappers, "host", "left").mapInPandas(read, "page_id long, url string, host string, text string")
+def hinted_text(html: str | None) -> str:
+    """The text of one page by hints alone, as for a page that no alignment says anything about."""
+    kept = [b for b, _ in fold(parse(html))[1] if not b.node.beside] if html else []
+    level = max((b.node.within for b in kept), default=0)
+    return " ".join(b.text for b in kept if b.node.within == level)
 
 
 def op1_html_extraction(spark, sf_dir: str) -> DataFrame:
