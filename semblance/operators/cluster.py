@@ -347,16 +347,9 @@ def planned_batches(entries: DataFrame, order: list[str], name: str, size: str,
     rows = entries.coalesce(1).sortWithinPartitions(*order)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch, used, seen = 0, 0, set()
+        plan = kernels.BatchFold(max_bytes, max_items)
         for b in batches:
-            out = []
-            for n, s in zip(b[name], b[size], strict=True):
-                if seen and (n in seen or used + s > max_bytes or len(seen) >= max_items):
-                    batch, used, seen = batch + 1, 0, set()
-                out.append(batch)
-                used += s
-                seen.add(n)
-            yield b.assign(batch=out)
+            yield b.assign(batch=plan.take(b[name], b[size]))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in entries.dtypes)
     return rows.mapInPandas(fold, f"{schema}, batch long")

@@ -139,16 +139,27 @@ def quorum_distances(items: np.ndarray, bank: np.ndarray, quorum: int) -> np.nda
     return np.partition(d, k - 1, axis=1)[:, :k].mean(axis=1)
 
 
+class BatchFold:
+    """The batch of each entry in order: a new one when a name repeats, bytes pass the limit, or it is full. Entries may come
+    in several calls."""
+
+    def __init__(self, max_bytes: float, max_items: int):
+        self.max_bytes, self.max_items = max_bytes, max_items
+        self.batch, self.used, self.seen = 0, 0, set()
+
+    def take(self, names, sizes) -> list[int]:
+        out = []
+        for name, size in zip(names, sizes, strict=True):
+            if self.seen and (name in self.seen or self.used + size > self.max_bytes or len(self.seen) >= self.max_items):
+                self.batch, self.used, self.seen = self.batch + 1, 0, set()
+            out.append(self.batch)
+            self.used += size
+            self.seen.add(name)
+        return out
+
+
 def plan_batches(names: list, sizes: list, max_bytes: float, max_items: int) -> list[int]:
-    """Batch of each entry in order: a new one when a name repeats, bytes pass the limit, or it is full."""
-    out, batch, used, seen = [], 0, 0, set()
-    for name, size in zip(names, sizes, strict=True):
-        if seen and (name in seen or used + size > max_bytes or len(seen) >= max_items):
-            batch, used, seen = batch + 1, 0, set()
-        out.append(batch)
-        used += size
-        seen.add(name)
-    return out
+    return BatchFold(max_bytes, max_items).take(names, sizes)
 
 
 @dataclass
