@@ -419,16 +419,15 @@ def _reference(html: str) -> tuple[Fold, frozenset[int]]:
     return f, frozenset(p for p, _ in _paths(f))
 
 
-BLOCKS = "array<struct<node: int, anchor: int, path: long, known: boolean, hash: long, text: string, beside: boolean, within: int>>"
-VOTES = "array<struct<node: long, hash: long, chars: int, linked: int>>"
+BLOCKS = "array<struct<node: int, anchor: int, path: long, known: boolean, text: string, linked: int, beside: boolean, within: int, first: array<boolean>>>"
 
 
-def aligned(html: str | None, reference: str | None) -> tuple[list[tuple], list[tuple]]:
-    """Blocks and votes of a page. A block has its reference node (-1: none), the nearest one at or above it, its path and
-    whether the reference has that, its text and flags. A vote is for a node or path (hash -1, with characters and those in links)
-    or for a text of it."""
+def aligned(html: str | None, reference: str | None) -> list[tuple]:
+    """Blocks of a page: reference node (-1: none), the nearest one at or above it, path and whether the reference has that,
+    text, characters in links, flags, and whether it is the page's first of its path, of that with its text, of its node,
+    and of that with its text."""
     if not html:
-        return [], []
+        return []
     f, found = fold(parse(html))
     path_of = {x.index: p for p, x in _paths(f)}
     ref, known = _reference(reference) if reference else (None, frozenset())
@@ -441,17 +440,19 @@ def aligned(html: str | None, reference: str | None) -> tuple[list[tuple], list[
             anchored(c, own)
 
     anchored(f, -1)
-    blocks = [(to.get(x.index, -1), anchor[x.index], path_of[x.index], path_of[x.index] in known, _hash(b.text), b.text, b.node.beside, b.node.within) for b, x in found]
-    copy = html == reference
-    sums: dict[tuple[int, int], list[int]] = {}
-    for (node, _, path, _, h, *_), (b, _) in zip(blocks, found, strict=True):
-        for key in ((path,) if copy or node < 0 else (path, node)):
-            all_, own = sums.setdefault((key, -1), [0, 0]), sums.setdefault((key, h), [0, 0])
-            if not b.node.beside:
-                all_[0] += len(b.text)
-                all_[1] += b.linked
-                own[0] += len(b.text) - b.linked
-    return blocks, [(node, h, *v) for (node, h), v in sums.items()]
+    seen: set = set()
+
+    def first(*key) -> bool:
+        new = key not in seen
+        seen.add(key)
+        return new
+
+    out = []
+    for b, x in found:
+        node, path = to.get(x.index, -1), path_of[x.index]
+        marks = [first(path), first(path, b.text), first(node), first(node, b.text)]
+        out.append((node, anchor[x.index], path, path in known, b.text, b.linked, b.node.beside, b.node.within, marks))
+    return out
 
 
 def content_root(reference: str, mass: dict[int, float]) -> tuple[int, int]:
@@ -485,26 +486,33 @@ def induce(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         for b in batches:
             for at in range(0, len(b), PAGES):
                 part = b.iloc[at : at + PAGES]
-                got = [aligned(h, r) for h, r in zip(part["html"], part["reference"], strict=True)]
-                yield pd.DataFrame({c: part[c] for c in ("known_id", "page_id", "url", "host", "copies")} | {"blocks": [x for x, _ in got], "votes": [v for _, v in got]})
+                blocks = [aligned(h, r) for h, r in zip(part["html"], part["reference"], strict=True)]
+                yield pd.DataFrame({c: part[c] for c in ("known_id", "page_id", "url", "host", "copies")} | {"copy": part["html"] == part["reference"], "blocks": blocks})
 
     # a column with nulls would reach pandas as floats, which round large ids
     rows = joined.select(F.col("page_id").isNotNull().alias("known_id"), F.coalesce("page_id", F.lit(0)).cast("long").alias("page_id"), "url", "host", F.coalesce("copies", F.lit(1)).alias("copies"), "html", "reference")
-    read = written(rows.mapInPandas(align, f"known_id boolean, page_id long, url string, host string, copies long, blocks {BLOCKS}, votes {VOTES}"), "html-blocks")
+    read = written(rows.mapInPandas(align, f"known_id boolean, page_id long, url string, host string, copies long, copy boolean, blocks {BLOCKS}"), "html-blocks")
+
+    def vote(key: str, at: int):
+        """A block's vote for its node or path: what it adds to the pages that have it, and to those that repeat its text."""
+        return lambda b: F.struct(b[key].cast("long").alias("node"), F.xxhash64(b["text"]).alias("hash"), b["first"][at].alias("any"), b["first"][at + 1].alias("same"),
+                                  F.when(b["beside"], 0).otherwise(F.length(b["text"])).alias("chars"), F.when(b["beside"], 0).otherwise(b["linked"]).alias("linked"))
+
+    by_node = F.transform(F.filter("blocks", lambda b: (b["node"] >= 0) & ~F.col("copy")), vote("node", 2))
+    votes = read.select("host", (1 / F.col("copies")).alias("share"), F.explode(F.concat(F.transform("blocks", vote("path", 0)), by_node)).alias("v")).select("host", "share", "v.*")
     # a copy has its share of the vote of a page
-    votes = read.select("host", "copies", F.explode("votes").alias("v")).select("host", "v.*", (1 / F.col("copies")).alias("share"))
-    weighted = [F.sum(F.col(c) * F.col("share")).alias(c) for c in ("chars", "linked")]
-    items = written(votes.groupBy("host", "node", "hash").agg(F.sum("share").alias("pages"), *weighted).where((F.col("hash") == -1) | (F.col("pages") > CONSTANT * MIN_PAGES - NEAR)), "html-counts")
-    least = F.when(F.col("node") < 0, MIN_PAGES + 1).otherwise(MIN_PAGES)  # the reference has its own part in paths
-    nodes = items.where("hash = -1").select("host", "node", F.col("pages").alias("n"), "chars", "linked")
-    texts = items.where("hash <> -1").select("host", "node", "hash", "pages", F.col("chars").alias("fixed"))
-    constant = (F.col("pages") > CONSTANT * F.col("n") - NEAR) & (F.col("n") > least - NEAR)
-    fixed = written(texts.join(nodes.select("host", "node", "n"), ["host", "node"]).where(constant), "html-fixed")
-    template = fixed.groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("template"))
-    linked = (F.col("linked") > LINKED * F.col("chars")) & (F.col("n") > least - NEAR)
-    menus = nodes.groupBy("host").agg(F.collect_list(F.when(linked, F.col("node"))).alias("menus"))
-    varying = nodes.where((F.col("node") >= 0) & (F.col("n") > ROOT_PAGES - NEAR)).join(fixed.groupBy("host", "node").agg(F.sum("fixed").alias("fixed")), ["host", "node"], "left")
-    mass = varying.groupBy("host").agg(F.collect_list(F.struct("node", (F.col("chars") - F.col("linked") - F.coalesce("fixed", F.lit(0.0))).alias("mass"))).alias("mass"))
+    share = lambda c: F.sum(F.col("share") * F.col(c).cast("int")).alias(c)
+    of_text = votes.groupBy("host", "node", "hash").agg(*map(share, ("any", "same", "chars", "linked")))
+    often = F.when(F.col("same") > CONSTANT * MIN_PAGES - NEAR, F.struct("hash", "same", (F.col("chars") - F.col("linked")).alias("fixed")))
+    nodes = written(of_text.groupBy("host", "node").agg(F.sum("any").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.collect_list(often).alias("texts")), "html-counts")
+    enough = F.col("n") > F.when(F.col("node") < 0, MIN_PAGES + 1).otherwise(MIN_PAGES) - NEAR  # the reference has its own part in paths
+    nodes = nodes.withColumn("texts", F.filter("texts", lambda t: enough & (t["same"] > CONSTANT * F.col("n") - NEAR)))
+    fixed = nodes.select("host", "node", F.explode("texts").alias("t"))
+    template = fixed.groupBy("host").agg(F.collect_list(F.struct("node", F.col("t.hash").alias("hash"))).alias("template"))
+    menus = nodes.groupBy("host").agg(F.collect_list(F.when((F.col("linked") > LINKED * F.col("chars")) & enough, F.col("node"))).alias("menus"))
+    constant = F.aggregate("texts", F.lit(0.0), lambda total, t: total + t["fixed"])
+    varying = nodes.where((F.col("node") >= 0) & (F.col("n") > ROOT_PAGES - NEAR))
+    mass = varying.groupBy("host").agg(F.collect_list(F.struct("node", (F.col("chars") - F.col("linked") - constant).alias("mass"))).alias("mass"))
 
     def root(batches):
         for b in batches:
@@ -522,9 +530,9 @@ def chosen(read: DataFrame, wrappers: DataFrame) -> DataFrame:
     template, menus = F.coalesce("template", none), F.coalesce("menus", F.array().cast("array<bigint>"))
 
     def varies(b):
-        item = lambda k: F.array_contains(template, F.struct(b[k].cast("long").alias("node"), b["hash"].alias("hash")))
+        item = lambda k: F.array_contains(template, F.struct(b[k].cast("long").alias("node"), F.xxhash64(b["text"]).alias("hash")))
         menu = F.array_contains(menus, b["node"].cast("long")) | (F.array_contains(menus, b["path"]) & ~b["known"])
-        return ~b["beside"] & ~item("node") & ~item("path") & ~menu
+        return ~b["beside"] & ~((F.size(template) > 0) & (item("node") | item("path"))) & ~menu
 
     rooted = both.withColumn("kept", F.filter("blocks", varies))
     inside = F.filter("kept", lambda b: (b["anchor"] >= F.col("first")) & (b["anchor"] < F.col("end")))
