@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semblance.sources.tables import shared_dir, written
+
+__all__ = ["SPACES", "blanks", "runs", "shared_dir", "table", "word_chars", "words", "written"]
+
 #: ASCII white space that separates words (0x20 and 0x09-0x0D).
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -20,29 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all run
-    on one machine."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    made = spark.conf.get("spark.semblance.scratch", None)
-    if not made:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        made = "file://" + tempfile.mkdtemp(prefix="semblance-")
-        spark.conf.set("spark.semblance.scratch", made)
-    return made
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again: its lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def blanks(text: Column) -> Column:
     """The text with every word separator turned into a space."""
     return F.translate(text, SPACES[1:], " " * (len(SPACES) - 1))

@@ -14,7 +14,8 @@ text that they were made from. Then, in buckets where unlinked classes still mee
 in blocks of BLOCK members, inside the worker. Two bounds that never lose a link sort most pairs out there: the shingles
 that each side shares with any other candidate at all, and the symmetric difference of the sets, which is no less than that of
 their bitmaps. A first round sends on only pairs that would join classes not yet joined in their block, best first; a second
-one, after these are merged, all pairs that are left. All pairs are checked by the exact Jaccard similarity of the shingle sets
+one, after these are merged, all pairs that are left. A member of a bucket's largest class meets the members of the other
+classes only. All pairs are checked by the exact Jaccard similarity of the shingle sets
 (64-bit hashes). Classes are connected components, by least labels and pointer jumping over written tables.
 Buckets, partners and classes have no cap.
 
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
 from semblance.llm.common import table, written
+from semblance.operators import cluster
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -49,11 +51,16 @@ EST_MIN = 0.6
 BLOCK = 512
 #: Buckets up to this size are led by their least node; members of a larger one that vote on its consensus.
 SMALL, VOTERS = 16, 64
+#: Members of a large bucket that one task compares with its consensus.
+DEALT = 1024
 #: Bits of the sieve that spares most texts the exchange by row: a fixed size, whatever the corpus.
 SIEVE_BITS = 1 << 22
 #: Words of a batch that are hashed together.
 CHUNK = 500_000
 
+#: A value of a signature.
+VALUE = np.dtype("<u2")
+
 U = np.uint64
 GOLD, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
@@ -79,7 +86,7 @@ def shingles(words: list[bytes], n: int = SHINGLE) -> np.ndarray:
 
 
 def dart_signatures(elements: np.ndarray, owner: np.ndarray, n_sets: int, k: int = K, weights: np.ndarray | None = None) -> np.ndarray:
-    """n_sets x k 32-bit values. elements: hashes; owner: the set of each, rising; weights: over 0, 1 if left out.
+    """n_sets x k 16-bit values, the low bits of the earliest darts: two that differ look equal once in 65536. elements: hashes; owner: the set of each, rising; weights: over 0, 1 if left out.
     A repeated element throws the same darts again, so it counts once, with its largest weight."""
     earliest = np.full(n_sets * k, np.iinfo(np.uint64).max, dtype=U)
     mass = np.bincount(owner, weights=weights, minlength=n_sets)
@@ -116,18 +123,13 @@ def dart_signatures(elements: np.ndarray, owner: np.ndarray, n_sets: int, k: int
             base_e, base_o, base_w = base_e[more], base_o[more], base_w[more]
         todo = todo[(earliest.reshape(n_sets, k)[todo] == np.iinfo(np.uint64).max).any(axis=1)]
         reach[todo] *= 2
-    return (earliest & U(0xFFFFFFFF)).astype(np.uint32).reshape(n_sets, k)
+    return (earliest & U(0xFFFF)).astype(VALUE).reshape(n_sets, k)
 
 
-def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit key for each band."""
-    n, k = signatures.shape
-    parts = signatures.reshape(n, k // rows, rows).astype(U)
-    out = np.broadcast_to(np.arange(k // rows, dtype=U), (n, k // rows)).copy()
-    with np.errstate(over="ignore"):
-        for i in range(rows):
-            out = mixed(out * GOLD + parts[:, :, i])
-    return out.view(np.int64)
+def bands() -> Column:
+    """One 64-bit key for each band of a signature: a hash of its values and its number."""
+    size = ROWS * VALUE.itemsize
+    return F.array(*(F.xxhash64(F.substring("sig", 1 + i * size, size), F.lit(i)) for i in range(K // ROWS)))
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -144,11 +146,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
-SIGNED = "row long, doc_id long, known boolean, k1 long, k2 long, sig binary, bands array<long>"
+SIGNED = "row long, doc_id long, known boolean, k1 long, k2 long, sig binary"
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """Text key (of the word sequence), signature and band keys of every row with words."""
+    """Text key (of the word sequence) and signature of every row with words."""
 
     def sign(batches):
         for b in batches:
@@ -177,12 +179,12 @@ def _signed(ids: list, keys: list[bytes], parts: list[np.ndarray]) -> pd.DataFra
     sig = dart_signatures(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), len(parts))
     both = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
     own = dict(zip(("row", "doc_id", "known"), zip(*ids, strict=True), strict=True))
-    return pd.DataFrame(own | {"k1": both[:, 0], "k2": both[:, 1], "sig": [s.tobytes() for s in sig], "bands": list(band_keys(sig))})
+    return pd.DataFrame(own | {"k1": both[:, 0], "k2": both[:, 1], "sig": [s.tobytes() for s in sig]})
 
 
 def _similar(a: pd.Series, b: pd.Series) -> np.ndarray:
     """Share of equal signature values."""
-    x, y = (np.frombuffer(b"".join(s), dtype=np.uint32).reshape(len(s), -1) for s in (a, b))
+    x, y = (np.frombuffer(b"".join(s), dtype=VALUE).reshape(len(s), -1) for s in (a, b))
     return (x == y).mean(axis=1) if len(a) else np.zeros(0)
 
 
@@ -243,13 +245,14 @@ def shared_sizes(sets: DataFrame) -> DataFrame:
 def central_nodes(members: DataFrame, sigs: DataFrame) -> DataFrame:
     """key, central: of each large bucket the node whose signature is closest to the bucket's most frequent values.
     VOTERS members set the consensus; every member is compared with it."""
-    rows = members.where(F.col("n") > SMALL).select("key", "node").join(sigs, "node")
+    rows = members.where(F.col("n") > SMALL).select("key", "node", "n").join(sigs, "node")
     rows = written(rows, "near-large")
+    pieces = F.ceil(F.col("n") / DEALT)
     vote = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
     voters = rows.withColumn("_v", vote).where(F.col("_v") <= VOTERS)
 
     def consensus(p: pd.DataFrame) -> pd.DataFrame:
-        m = np.sort(np.frombuffer(b"".join(p["sig"]), dtype=np.uint32).reshape(len(p), -1), axis=0)
+        m = np.sort(np.frombuffer(b"".join(p["sig"]), dtype=VALUE).reshape(len(p), -1), axis=0)
         run = np.ones(m.shape, dtype=np.int64)  # length of the run of equal values that ends here
         for i in range(1, len(m)):
             run[i] = np.where(m[i] == m[i - 1], run[i - 1] + 1, 1)
@@ -257,22 +260,17 @@ def central_nodes(members: DataFrame, sigs: DataFrame) -> DataFrame:
         return pd.DataFrame({"key": [p["key"].iloc[0]], "consensus": [best.tobytes()]})
 
     agreed = voters.groupBy("key").applyInPandas(consensus, "key long, consensus binary")
-    scored = rows.join(agreed, "key").select("key", "node", estimate("sig", "consensus").alias("agree"))
-    return scored.groupBy("key").agg(F.max_by("node", F.struct("agree", -F.col("node"))).alias("central"))
+    # a large bucket is dealt over several pieces, each of which meets the consensus
+    each = agreed.join(voters.groupBy("key").agg(F.max(pieces).alias("pieces")), "key").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    dealt = rows.withColumn("piece", F.pmod(F.xxhash64("node"), pieces)).join(each.drop("pieces"), ["key", "piece"])
+    scored = dealt.select("key", "piece", "node", estimate("sig", "consensus").alias("agree"))
+    best = F.max_by(F.struct("agree", "node"), F.struct("agree", -F.col("node"))).alias("m")
+    return scored.groupBy("key", "piece").agg(best).select("key", "m.*").groupBy("key").agg(F.max_by("node", F.struct("agree", -F.col("node"))).alias("central"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node of the connected component, for every node of a link (a, b)."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "near-labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        least = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        to = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = written(least.join(to, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "near-labels")
-        labels = jumped.select("node", "label")
-        if jumped.where("old <> label").isEmpty():
-            return labels
+    return cluster.components(links).select(F.col("item").alias("node"), F.col("component").alias("label"))
 
 
 @F.pandas_udf(BinaryType())
@@ -371,15 +369,23 @@ def across_classes(members: DataFrame, labels: DataFrame, sets: DataFrame, fores
     """Pairs (a, b) of nodes of one bucket in different classes that the bounds let through."""
     now = members.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     now = written(now, "near-meeting")
-    meeting = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rows = written(now.join(meeting, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")), "near-mixed")
+    # classes of each bucket in which several meet: the largest one, and the members of the others, which are all that can be
+    # news to each other or to it
+    sizes = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    meeting = sizes.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.max("m").alias("m"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    blocks_of = lambda c: F.ceil(c / BLOCK).cast("long")
+    meeting = meeting.select("key", "largest", blocks_of(F.col("n") - F.col("m")).alias("few"), blocks_of(F.col("m")).alias("many"))
+    rows = written(now.select("key", "node", "label").join(meeting, "key").withColumn("major", F.col("label") == F.col("largest")).withColumn("blocks", F.col("few") + F.col("many")), "near-mixed")
     inside = sets.join(rows.select("node").distinct(), "node", "left_semi")
     about = inside.select("node", bitmap("grams").alias("map")).join(shared_sizes(inside), "node")
     # a node that shares too little with all others has no link
     about = written(about.where(F.col("shared") >= SIMILARITY * F.col("size")), "near-open")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
-    # cell i * blocks + j holds the blocks i <= j
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least("block", o) * F.col("blocks") + F.greatest("block", o))
+    # blocks of the others come first; cell i * blocks + j holds the blocks i and j >= i, of which i is one of the others
+    block = F.when(F.col("major"), F.col("few") + F.pmod(F.xxhash64("node", "key"), F.col("many"))).otherwise(F.pmod(F.xxhash64("node", "key"), F.col("few")))
+    rows = rows.withColumn("block", block)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    cells = F.when(F.col("major"), F.transform(upto(F.col("few")), lambda o: o * F.col("blocks") + F.col("block"))).otherwise(
+        F.transform(upto(F.col("blocks")), lambda o: F.least("block", o) * F.col("blocks") + F.greatest("block", o)))
     celled = rows.join(about, "node").withColumn("cell", F.explode(cells)).select("key", "cell", "node", "label", "block", "blocks", "size", "shared", "map")
     celled = celled.repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
     return written(celled.mapInPandas(_across(forest), "a long, b long").distinct(), "near-pairs")
@@ -389,8 +395,8 @@ def _labelled(docs: DataFrame) -> DataFrame:
     """row, doc_id, label (the class) of every row with words, for docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     rows = written(signed(docs), "near-signed")
-    nodes = written(rows.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-nodes")
-    banded = nodes.select("node", F.explode("bands").alias("key"))
+    nodes = written(rows.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.first("sig").alias("sig")), "near-nodes")
+    banded = nodes.select("node", F.explode(bands()).alias("key"))
     full = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     full = written(full, "near-buckets")
     members = written(banded.join(full, "key").select("key", "node", "leader", "n"), "near-members")
