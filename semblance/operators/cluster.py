@@ -55,6 +55,30 @@ def pairs_within(items: DataFrame, item: str, vector: str, threshold: float, blo
     return celled.groupBy("cell").applyInPandas(near, f"a {kind}, b {kind}, distance double")
 
 
+def links_within(items: DataFrame, item: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:
+    """a, b: pairs within the threshold that connect all that such pairs connect.
+
+    As pairs_within, but a worker sends on a spanning forest of its two blocks, at most one pair for each row, so a group of
+    near items does not make the pairs of all of them."""
+    n = max(1, -(-items.count() // block))
+    rows = items.select(F.col(item).alias("item"), V.doubles(vector).alias("v")).withColumn("b", F.pmod(F.xxhash64("item"), F.lit(n)))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"), lambda o: F.least("b", o) * n + F.greatest("b", o))
+    kind = dict(items.dtypes)[item]
+
+    def forest(p: pd.DataFrame) -> pd.DataFrame:
+        i, j = divmod(int(p["cell"].iloc[0]), n)
+        x, y = p[p["b"] == i], p[p["b"] == j]
+        if x.empty or y.empty:
+            return pd.DataFrame({"a": [], "b": []})
+        near = kernels.pair_distances(_matrix(x["v"]), _matrix(y["v"])) <= threshold + 1e-6
+        if i == j:
+            np.fill_diagonal(near, False)
+        at, to = kernels.spanning_forest(near)
+        return pd.DataFrame({"a": x["item"].to_numpy()[at], "b": y["item"].to_numpy()[to]})
+
+    return rows.withColumn("cell", F.explode(cells)).groupBy("cell").applyInPandas(forest, f"a {kind}, b {kind}")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """item, component (its least item) of every item of a pair: least labels with pointer jumping over written tables."""
     both = written(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "edges")
@@ -88,7 +112,7 @@ def constrained_clusters(items: DataFrame, item: str, vector: str, group: str |
 
     Clusters whose mean distance is within the threshold hold a pair that is, so they never cross the connected
     components of such pairs: each component is clustered alone, with the same result as all at once."""
-    parts = components(pairs_within(items, item, vector, threshold))
+    parts = components(links_within(items, item, vector, threshold))
     inside = items.join(parts.withColumnRenamed("item", item), item).withColumn("pos", F.col(item))
     alone = items.join(parts.withColumnRenamed("item", item), item, "left_anti").select(F.col(item).alias("item"), F.col(item).alias("representative"))
     return _clustered(inside, "component", item, vector, group, threshold, limit).unionByName(alone)
@@ -137,12 +161,13 @@ def level2(items: DataFrame, clusters: DataFrame, item: str, vector: str, group:
     return clusters.join(merged, "representative").select("item", "identity")
 
 
-def quorum_candidates(items: DataFrame, banks: DataFrame, quorum: int, tile: int = TILE) -> DataFrame:
+def quorum_candidates(items: DataFrame, banks: DataFrame, quorum: int, tile: int = TILE, ordered: bool = False) -> DataFrame:
     """item, person, score, of the `keep` nearest persons of every item at least: the mean of the quorum nearest distances
     to the person's rows.
 
     items: item, v, photo, keep; banks: item, person, v, photo. A bank row never counts against its own item, and a person
-    who has the photo of an item (null: none) is no candidate of it. Items and bank rows meet in tiles. A person of up to
+    who has the photo of an item (null: none) is no candidate of it. ordered: both have `pos`, and a bank row counts only for
+    items of a later place, also as to photos. Items and bank rows meet in tiles. A person of up to
     `tile` rows is whole in one part, so a worker keeps the `keep` best of its part for each item; the rows of a larger one
     are dealt over several parts, whose nearest distances are merged. The work is quadratic, as the question is; what
     leaves the workers is `keep` rows for each item and part."""
@@ -151,9 +176,11 @@ def quorum_candidates(items: DataFrame, banks: DataFrame, quorum: int, tile: int
     sizes = banks.groupBy("person").agg(F.ceil(F.count(F.lit(1)) / tile).alias("pieces"))
     piece = F.pmod(F.xxhash64("item", "person"), F.col("pieces"))
     cut = banks.join(sizes, "person").withColumn("k", F.pmod(F.pmod(F.xxhash64("person"), F.lit(m)) + piece, F.lit(m)))
+    if not ordered:
+        items, cut = items.withColumn("pos", F.lit(0).cast("long")), cut.withColumn("pos", F.lit(-1).cast("long"))
     spread = lambda c, of: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long"))).alias(c)
-    left = items.select(F.pmod(F.xxhash64("item"), F.lit(n)).alias("t"), spread("k", m), "item", F.lit(None).cast(who).alias("person"), F.col("photo").cast(group), "v", F.lit(0).cast("long").alias("pieces"), F.col("keep").cast("long").alias("keep"))
-    right = cut.select(spread("t", n), "k", F.col("item").cast(kind), "person", F.col("photo").cast(group), "v", "pieces", F.lit(0).cast("long").alias("keep"))
+    left = items.select(F.pmod(F.xxhash64("item"), F.lit(n)).alias("t"), spread("k", m), "item", F.lit(None).cast(who).alias("person"), F.col("photo").cast(group), "v", F.lit(0).cast("long").alias("pieces"), F.col("keep").cast("long").alias("keep"), "pos")
+    right = cut.select(spread("t", n), "k", F.col("item").cast(kind), "person", F.col("photo").cast(group), "v", "pieces", F.lit(0).cast("long").alias("keep"), "pos")
 
     def nearest(p: pd.DataFrame) -> pd.DataFrame:
         x, y = p[p["pieces"] == 0], p[p["pieces"] > 0].sort_values("person", kind="stable")
@@ -163,11 +190,17 @@ def quorum_candidates(items: DataFrame, banks: DataFrame, quorum: int, tile: int
         my, own, codes = _matrix(y["v"]), y["item"].to_numpy(), pd.factorize(y["person"], sort=True)
         first = np.flatnonzero(np.r_[True, codes[0][1:] != codes[0][:-1]])
         ends, people, whole = np.append(first[1:], len(y)), codes[1], y["pieces"].to_numpy()[first] == 1
-        photos = [set(y["photo"].iloc[a:b].dropna()) for a, b in zip(first, ends, strict=True)]
+        held: dict = {}  # photo: the people that have it, with the first place at which they do
+        for j, (a, b) in enumerate(zip(first, ends, strict=True)):
+            for photo, pos in zip(y["photo"].iloc[a:b], y["pos"].iloc[a:b], strict=True):
+                if photo is not None and photo == photo:
+                    of = held.setdefault(photo, {})
+                    of[j] = min(pos, of.get(j, pos))
+        since = y["pos"].to_numpy()
         for at in range(0, len(x), 512):
             part = x.iloc[at : at + 512]
             d = kernels.pair_distances(_matrix(part["v"]), my)
-            d[part["item"].to_numpy()[:, None] == own[None, :]] = np.inf
+            d[(part["item"].to_numpy()[:, None] == own[None, :]) | (since[None, :] >= part["pos"].to_numpy()[:, None])] = np.inf
             near = np.full((len(part), len(first), quorum), np.inf)
             for j, (a, b) in enumerate(zip(first, ends, strict=True)):
                 k = min(quorum, b - a)
@@ -175,9 +208,8 @@ def quorum_candidates(items: DataFrame, banks: DataFrame, quorum: int, tile: int
             some = np.isfinite(near)
             score = np.where(some, near, 0).sum(axis=2) / np.maximum(some.sum(axis=2), 1)
             score[~some.any(axis=2)] = np.inf
-            for i, photo in enumerate(part["photo"]):
-                if photo is not None and photo == photo:
-                    score[i, [j for j, has in enumerate(photos) if photo in has]] = np.inf
+            for i, (photo, pos) in enumerate(zip(part["photo"], part["pos"], strict=True)):
+                score[i, [j for j, at_ in held.get(photo, {}).items() if at_ < pos]] = np.inf
             for i, (item, keep) in enumerate(zip(part["item"], part["keep"], strict=True)):
                 # people are in order, so a stable sort lets the least one win a tie
                 best = np.argsort(np.where(whole, score[i], np.inf), kind="stable")[:keep]

@@ -25,6 +25,26 @@ def mean_pairwise(v: np.ndarray) -> float:
     return float(np.triu(pair_distances(v, v), 1).sum() / (n * (n - 1) / 2)) if n > 1 else 0.0
 
 
+def spanning_forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of true cells that connect whatever the true cells connect; at most one for each row and column."""
+    new_row, new_column = near.any(axis=1), near.any(axis=0)
+    rows, columns = [], []
+    while new_row.any():
+        front = np.array([np.argmax(new_row)])
+        new_row[front] = False
+        while len(front):
+            reach = np.flatnonzero(near[front].any(axis=0) & new_column)
+            new_column[reach] = False
+            rows.append(front[near[np.ix_(front, reach)].argmax(axis=0)] if len(reach) else reach)
+            columns.append(reach)
+            front = np.flatnonzero(near[:, reach].any(axis=1) & new_row) if len(reach) else reach
+            new_row[front] = False
+            rows.append(front)
+            columns.append(reach[near[np.ix_(front, reach)].argmax(axis=1)] if len(front) else front)
+    join = lambda xs: np.concatenate(xs).astype(np.int64) if xs else np.zeros(0, dtype=np.int64)
+    return join(rows), join(columns)
+
+
 def shares_group(groups: list) -> np.ndarray:
     code = {g: i for i, g in enumerate(dict.fromkeys(groups))}
     ids = np.array([code[g] for g in groups])
@@ -202,15 +222,18 @@ class Decision:
 
 
 class Graph:
-    """Identities in memory: what the decisions of one run read and change. person_id counts up and is never reused."""
+    """Identities in memory: what the decisions of one run read and change. A name counts up and is never reused.
+
+    splits: each person that a split made, with the person that was split first."""
 
-    def __init__(self, quorum: int = 3, sequence: int = 0):
+    def __init__(self, quorum: int = 3, sequence: int = 0, prefix: str = "person_"):
         self.people: dict[str, Person] = {}
-        self.quorum, self.sequence = quorum, sequence
+        self.quorum, self.sequence, self.prefix = quorum, sequence, prefix
+        self.splits: list[tuple[str, str]] = []
 
     def new(self, keys: list, vectors: list) -> str:
         self.sequence += 1
-        name = f"person_{self.sequence:03d}"
+        name = f"{self.prefix}{self.sequence:03d}"
         self.people[name] = Person.of(keys, vectors)
         return name
 
@@ -254,9 +277,9 @@ class Graph:
     def split(self, coherence: float, threshold: float) -> dict[str, str]:
         """Incoherent people are clustered apart until all are stable; the largest part keeps the name. key: new person."""
         moved: dict[str, str] = {}
-        todo = [n for n, p in self.people.items() if p.coherence() > coherence]
+        todo = [(n, n) for n, p in self.people.items() if p.coherence() > coherence]
         while todo:
-            name = todo.pop()
+            name, root = todo.pop()
             p = self.people[name]
             labels = cluster(np.asarray(p.vectors), threshold, [k.rpartition(":")[0] for k in p.keys]) if len(p.keys) > 1 else np.zeros(1, int)
             parts = [np.flatnonzero(labels == x) for x in dict.fromkeys(labels.tolist())]
@@ -269,8 +292,9 @@ class Graph:
             for part in parts[1:]:
                 keys, vectors = take(part)
                 made.append(self.new(keys, vectors))
+                self.splits.append((made[-1], root))
                 moved |= dict.fromkeys(keys, made[-1])
-            todo += [n for n in made if self.people[n].coherence() > coherence]
+            todo += [(n, root) for n in made if self.people[n].coherence() > coherence]
         return moved
 
     def reconcile(self, threshold: float, coherence: float, exclusion: bool = False) -> dict[str, str]:

@@ -1,7 +1,11 @@
 """Incremental identity resolution: state in, state out.
 
-Later decisions read earlier ones, so a micro-batch of photos is resolved in path order by one kernel that holds the
-bank of identities; everything around it (gates, anti-joins, edges, folders) is DataFrame work over whole tables.
+Later decisions read earlier ones, but only through faces that are near each other. Faces and identities fall into components
+of the graph of pairs within the widest limit; a decision, a rediscovery, a split or a merge never looks beyond one. So the
+links are found in tiles over the whole table, and each component is resolved in path order by itself, side by side with the
+others. New identities are numbered over all components in the order in which one run over everything would make them.
+Merging follows with the final names, again by component. The one figure that looks further, the distance of a face of phase 2
+that is near nobody, comes from quorum tiles.
 """
 
 from __future__ import annotations
@@ -13,49 +17,71 @@ from pyspark.sql import functions as F
 
 from semblance.config import ResolveConfig
 from semblance.functions import scalars as S
-from semblance.operators import kernels, relational
+from semblance.operators import cluster, kernels, relational
 from semblance.operators.cluster import coherence, constrained_clusters
 from semblance.operators.photos import first_path_only
 from semblance.sources.tables import FACE, written
 
 State = dict[str, DataFrame]
-_OUT = "face_id string, photo_id string, face_index int, embedding array<double>, person_id string, confidence double, status string, sequence int"
+COLUMNS = [c.split()[0] for c in FACE.split(", ")]
+#: What a kernel gives back: rows of faces (made is null), and for each new identity a row with the key of its making.
+_BORN = "stage int, root_new int, root_stage int, root_at string, root_index int, at string, index int"
+_OUT = f"component string, {FACE}, decided string, made string, {_BORN}"
+_PLAIN = (None,) * 8
+#: Faces that a task resolves, about; a component is never cut.
+BUCKET = 5000
 
 
-def _graph(known: pd.DataFrame, quorum: int, sequence: int) -> kernels.Graph:
-    g = kernels.Graph(quorum, sequence)
+def graph_of(known: pd.DataFrame, quorum: int, prefix: str) -> kernels.Graph:
+    g = kernels.Graph(quorum, 0, prefix)
     for name, own in known.sort_values(["person_id", "face_id"]).groupby("person_id", sort=True):
         g.people[name] = kernels.Person.of(own["face_id"].tolist(), [np.asarray(v, dtype=float) for v in own["embedding"]])
     return g
 
 
-def _resolve(faces: pd.DataFrame, known: pd.DataFrame, cfg: ResolveConfig, phase: int, sequence: int) -> pd.DataFrame:
-    """Decisions on new faces (phase 1) or deferred ones (phase 2), then repairs; all rows that are set or changed."""
-    old = known[known["status"] == "assigned"]
-    g = _graph(old, cfg.quorum, sequence)
-    rows = {r["face_id"]: r for r in known.to_dict("records")}
+def decided(faces: pd.DataFrame, known: pd.DataFrame, cfg: ResolveConfig, phase: int, prefix: str) -> tuple[list[dict], list[tuple]]:
+    """Decisions on the new faces of a component (phase 1) or its deferred ones (phase 2), rediscovery and splits: all
+    rows of the component, and for each identity made its name and the key of its making."""
+    g = graph_of(known[known["status"] == "assigned"], cfg.quorum, prefix)
+    rows = {r["face_id"]: r | {"decided": None} for r in known.to_dict("records")}
+    born: dict[str, tuple] = {}
     for photo, own in sorted(faces.groupby("photo_id"), key=lambda x: (x[1]["path"].iloc[0], x[0])):
-        own, used = own.sort_values("face_index"), set()
-        crowded = phase == 1 and len(own) >= 3
-        for r in own.to_dict("records"):
-            v = np.asarray(r["embedding"], dtype=float)
-            d = kernels.Decision(r["face_id"], None, None, "deferred") if crowded else g.decide(r["face_id"], v, cfg.match, cfg.uncertain, cfg.coherence, phase == 1, used)
+        used = set()
+        for r in own.sort_values("face_index").to_dict("records"):
+            v, before = np.asarray(r["embedding"], dtype=float), g.sequence
+            d = g.decide(r["face_id"], v, cfg.match, cfg.uncertain, cfg.coherence, phase == 1, used)
             if d.person:
                 used.add(d.person)
-            rows[r["face_id"]] = {"face_id": r["face_id"], "photo_id": photo, "face_index": r["face_index"], "embedding": v, "person_id": d.person, "confidence": d.confidence, "status": d.status}
+            if g.sequence > before:
+                born[d.person] = (0, f"{r['path']}\0{photo}", r["face_index"])
+            rows[r["face_id"]] = {"face_id": r["face_id"], "photo_id": photo, "face_index": r["face_index"], "embedding": v, "person_id": d.person, "confidence": d.confidence, "status": d.status, "decided": d.person}
     if phase == 1:
         loose = [r for _, r in sorted(rows.items()) if r["status"] == "uncertain" and r["person_id"] is None]
         found = g.rediscover([r["face_id"] for r in loose], [r["photo_id"] for r in loose], [np.asarray(r["embedding"], dtype=float) for r in loose], cfg.match, cfg.coherence)
-        for key, name in found.items():
+        for key, name in sorted(found.items()):
+            born.setdefault(name, (1, key, 0))
             rows[key] = rows[key] | {"person_id": name, "status": "assigned"}
     for key, name in g.split(cfg.coherence, cfg.match).items():
         rows[key] = rows[key] | {"person_id": name}
-    merged = g.reconcile(cfg.match, cfg.coherence, cfg.enforce_exclusion)
-    for r in rows.values():
-        while r["person_id"] in merged:
-            r["person_id"] = merged[r["person_id"]]
-    out = pd.DataFrame(list(rows.values()), columns=[c.split()[0] for c in FACE.split(", ")])
-    return out.assign(sequence=g.sequence)
+    made = [(name, stage, 0, 0, "", 0, at, index) for name, (stage, at, index) in born.items()]
+    for i, (name, root) in enumerate(g.splits):
+        own = (1, *born[root]) if root in born else (0, 0, root, 0)
+        made.append((name, 2, *own, "", i))
+    return list(rows.values()), made
+
+
+def merged(faces: pd.DataFrame, cfg: ResolveConfig) -> dict[str, str]:
+    """old: new person of the identities of a component that are merged."""
+    out = graph_of(faces, cfg.quorum, "person_").reconcile(cfg.match, cfg.coherence, cfg.enforce_exclusion)
+    last = lambda n: last(out[n]) if n in out else n
+    return {old: last(old) for old in out}
+
+
+def _components(faces: DataFrame, cfg: ResolveConfig) -> DataFrame:
+    """face_id, component of faces (face_id, embedding, person_id): those of one identity are together."""
+    near = cluster.links_within(faces, "face_id", "embedding", max(cfg.match, cfg.uncertain))
+    own = faces.where("person_id IS NOT NULL").select(F.col("face_id").alias("a"), F.concat(F.lit("\x7f"), "person_id").alias("b"))
+    return cluster.components(near.unionByName(own)).select(F.col("item").alias("face_id"), "component")
 
 
 def sequence_of(state: State) -> int:
@@ -94,24 +120,87 @@ def resolve(state: State, found: DataFrame, cfg: ResolveConfig = ResolveConfig()
     else:
         todo = open_.join(status.where("status = 'deferred_multi_face'"), "photo_id", "left_semi")
     todo = written(todo.select("photo_id", "path", "mtime", "face_index", "face_id", F.col("embedding").cast("array<double>")), "todo")
+    todo = written(relational.placed(todo, ["path", "photo_id", "face_index"]), "todo-placed")
     sequence = sequence_of(state)
-    key = lambda df: df.withColumn("_one", F.lit(0))
-    columns = [c.split()[0] for c in FACE.split(", ")]
-
-    def kernel(new: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        return _resolve(new, known[columns], cfg, phase, sequence)
-
-    out = written(key(todo).groupBy("_one").cogroup(key(state["faces"]).groupBy("_one")).applyInPandas(kernel, _OUT), "resolved")
-    faces = out.select(*columns)
+    sizes = todo.groupBy("photo_id").agg(F.count(F.lit(1)).alias("n"))
+    # photos of many faces wait for phase 2
+    now = todo.join(sizes.where("n < 3").select("photo_id"), "photo_id", "left_semi") if phase == 1 else todo
+    waiting = todo.join(now.select("face_id"), "face_id", "left_anti")
+    known = written(state["faces"].select(*COLUMNS), "known")
+    replaced = known.join(todo.select("face_id"), "face_id", "left_anti")
+    active = F.col("status").isin("assigned", "uncertain")
+    every = now.select("face_id", "embedding", F.lit(None).cast("string").alias("person_id")).unionByName(replaced.where(active).select("face_id", "embedding", "person_id"))
+    parts = written(_components(every, cfg), "components")
+    buckets = max(1, -(-every.count() // BUCKET))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        full = df.join(parts, "face_id", "left").withColumn("component", F.coalesce("component", "face_id"))
+        return full.withColumn("_bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
+
+    def kernel(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        olds = dict(list(old.groupby("component")))
+        news = dict(list(new.groupby("component")))
+        for c in sorted(olds.keys() | news.keys()):
+            rows, made = decided(news.get(c, new.iloc[:0]), olds.get(c, old.iloc[:0])[COLUMNS], cfg, phase, f"~{c}~")
+            out += [(c, *(r[k] for k in COLUMNS), r["decided"], *_PLAIN) for r in rows]
+            out += [(c, *(None for _ in COLUMNS), None, *m) for m in made]
+        return pd.DataFrame(out, columns=[x.split()[0] for x in _OUT.split(", ")]).astype({k: "Int32" for k in ("face_index", "stage", "root_new", "root_stage", "root_index", "index")})
+
+    both = dealt(now).groupBy("_bucket").cogroup(dealt(replaced.where(active)).groupBy("_bucket"))
+    out = written(both.applyInPandas(kernel, _OUT), "decided")
+    born = relational.placed(out.where("made IS NOT NULL").select("made", *[c.split()[0] for c in _BORN.split(", ")]),
+                             ["stage", *(F.col(c).desc() for c in ("root_new", "root_stage", "root_at", "root_index")), "at", "index"])
+    names = written(born.select(F.col("made").alias("person_id"), S.person_id(F.col("pos") + 1 + sequence).alias("_name")), "names")
+    faces = out.where("made IS NULL").join(names, "person_id", "left").withColumn("person_id", F.coalesce("_name", "person_id")).drop("_name")
+    if phase == 2:
+        faces = _far_confidence(written(faces, "named"), replaced, now, cfg)
+    faces = written(faces.select("component", *COLUMNS), "resolved")
+
+    def merge(p: pd.DataFrame) -> pd.DataFrame:
+        found = {}
+        for _, own in p.groupby("component"):
+            if own["person_id"].nunique() > 1:
+                found |= merged(own, cfg)
+        return pd.DataFrame({"person_id": list(found), "_to": list(found.values())}, dtype=object)
+
+    held = faces.where("person_id IS NOT NULL AND status = 'assigned'").withColumn("_bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
+    to = held.groupBy("_bucket").applyInPandas(merge, "person_id string, _to string")
+    faces = faces.join(to, "person_id", "left").withColumn("person_id", F.coalesce("_to", "person_id"))
+    blank = {"person_id": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "status": F.lit("deferred")}
+    later = waiting.select(*(blank[c].alias(c) if c in blank else F.col(c) for c in COLUMNS))
+    faces = written(faces.select(*COLUMNS).unionByName(later).unionByName(replaced.where(~F.coalesce(active, F.lit(False)))), "faces")
+    last = sequence + names.count()
     counts = todo.groupBy("photo_id").agg(F.min("path").alias("path"), F.max("mtime").alias("mtime"), F.count(F.lit(1)).cast("int").alias("num_faces"))
     done = F.when(F.lit(phase) == 2, "phase2_done").when(F.col("num_faces") >= 3, "deferred_multi_face").otherwise("phase1_done")
-    last = out.agg(F.max("sequence").alias("s")).first()["s"]
-    meta = spark.createDataFrame([("person_seq", str(last if last is not None else sequence))], "key string, value string")
+    meta = spark.createDataFrame([("person_seq", str(last))], "key string, value string")
     return with_views(state | {
         "faces": faces, "photos": relational.upsert(state["photos"], counts.withColumn("status", done), "photo_id"),
         "meta": relational.upsert(state["meta"], meta, "key")})
 
 
+def _far_confidence(faces: DataFrame, old: DataFrame, now: DataFrame, cfg: ResolveConfig) -> DataFrame:
+    """faces with the confidence of those that stayed uncertain far from all: the nearest identity at their place in the run
+    may be in another component."""
+    place = now.select("face_id", "pos")
+    new = faces.join(place, "face_id")
+    far = new.where((F.col("status") == "uncertain") & F.col("decided").isNull() & (F.coalesce("confidence", F.lit(float("inf"))) > cfg.uncertain))
+    crowd = now.groupBy("photo_id").agg(F.count(F.lit(1)).alias("keep"))
+    items = written(far.join(crowd, "photo_id").select(F.col("face_id").alias("item"), F.col("embedding").alias("v"), F.col("photo_id").alias("photo"), "keep", "pos"), "far")
+    if items.isEmpty():
+        return faces
+    bank = lambda df, person, photo, pos: df.select(F.col("face_id").alias("item"), person.alias("person"), F.col("embedding").alias("v"), photo.alias("photo"), pos.alias("pos"))
+    before = bank(old.where("status = 'assigned' AND person_id IS NOT NULL"), F.col("person_id"), F.lit(None).cast("string"), F.lit(-1).cast("long"))
+    during = bank(new.where("decided IS NOT NULL"), F.col("decided"), F.col("photo_id"), F.col("pos"))
+    banks = written(before.unionByName(during), "far-banks")
+    found = cluster.quorum_candidates(items, banks, cfg.quorum, ordered=True).join(items.select("item", "photo", "pos"), "item")
+    # a large identity's pieces do not know all its photos
+    barred = banks.where("photo IS NOT NULL").groupBy("photo", "person").agg(F.min("pos").alias("_since"))
+    free = found.join(barred, ["photo", "person"], "left").where(F.col("_since").isNull() | (F.col("_since") >= F.col("pos")))
+    least = free.groupBy(F.col("item").alias("face_id")).agg(F.min("score").alias("_far"))
+    return faces.join(least, "face_id", "left").withColumn("confidence", F.coalesce("_far", "confidence")).drop("_far")
+
+
 def with_views(state: State) -> State:
     """Persons and edges follow from the faces."""
     faces = state["faces"].where("person_id IS NOT NULL AND status = 'assigned'")
