@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -45,3 +46,22 @@ class BatchConfig:
     album_batch: int = 50
     #: Items that one clustering kernel takes: its matrices are about 1.1 GB each there.
     max_kernel_items: int = 12_000
+
+
+@dataclass(frozen=True)
+class SweepConfig:
+    """The full sweep: what a cycle fetches at most, which files it keeps, and how often all identities are made anew."""
+
+    max_size_mb: int = 3000
+    keep_ext: tuple[str, ...] = (".jpg", ".jpeg", ".heic", ".heif")
+    recluster_every: int = 10
+
+    @classmethod
+    def from_environment(cls, prefix: str = "SEMBLANCE_SWEEP_") -> SweepConfig:
+        """Defaults, replaced by what the environment sets: <prefix>MAX_SIZE_MB, KEEP_EXT (with commas), RECLUSTER_EVERY."""
+        get = lambda name, read, default: read(os.environ[prefix + name]) if prefix + name in os.environ else default
+        extensions = lambda text: tuple(x.strip() for x in text.split(",") if x.strip())
+        return cls(get("MAX_SIZE_MB", int, cls.max_size_mb), get("KEEP_EXT", extensions, cls.keep_ext), get("RECLUSTER_EVERY", int, cls.recluster_every))
+
+    def resolving(self, cfg: ResolveConfig = ResolveConfig()) -> ResolveConfig:
+        return replace(cfg, recluster_every=self.recluster_every)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from semblance.config import BatchConfig
 from semblance.functions import vectors as V
 from semblance.operators import kernels
 from semblance.operators.relational import chronological_blocks
@@ -107,7 +108,7 @@ def _clustered(df: DataFrame, by: str, item: str, vector: str, group: str | None
     return rows.groupBy("_by").applyInPandas(kernel, f"item {kind}, representative {kind}")
 
 
-def constrained_clusters(items: DataFrame, item: str, vector: str, group: str | None, threshold: float, limit: int = 12_000) -> DataFrame:
+def constrained_clusters(items: DataFrame, item: str, vector: str, group: str | None, threshold: float, limit: int = BatchConfig.max_kernel_items) -> DataFrame:
     """item, representative (least item) by average linkage; two items of one group are never together.
 
     Clusters whose mean distance is within the threshold hold a pair that is, so they never cross the connected
@@ -373,7 +374,7 @@ def rms_between(items: DataFrame, person: str, vector: str, dim: int) -> DataFra
     return x.join(y, F.col("person_a") < F.col("person_b")).select("person_a", "person_b", V.rms_of_centroids("x", "y").alias("rms"))
 
 
-def planned_batches(entries: DataFrame, order: list[str], name: str, size: str, max_bytes: float, max_items: int) -> DataFrame:
+def planned_batches(entries: DataFrame, order: list[str], name: str, size: str, max_bytes: float = BatchConfig.max_bytes, max_items: int = BatchConfig.max_items) -> DataFrame:
     """entries with their batch. The plan is an ordered fold over names and sizes alone: it runs in one task, in
     order, over rows of two values, and streams through it without gathering them."""
     rows = entries.coalesce(1).sortWithinPartitions(*order)

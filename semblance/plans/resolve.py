@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semblance.config import ResolveConfig
+from semblance.config import BatchConfig, ResolveConfig
 from semblance.functions import scalars as S
 from semblance.operators import cluster, kernels, relational
 from semblance.operators.cluster import coherence, constrained_clusters
@@ -209,7 +209,7 @@ def with_views(state: State) -> State:
     return state | {"persons": kept.unionByName(fresh), "edges": relational.cooccurrence(faces, "photo_id", "person_id")}
 
 
-def recluster(state: State, cfg: ResolveConfig = ResolveConfig(), limit: int = 12_000) -> State:
+def recluster(state: State, cfg: ResolveConfig = ResolveConfig(), limit: int = BatchConfig.max_kernel_items) -> State:
     """All identities anew by constrained average linkage over all faces that no excluded photo holds, then the incoherent
     ones split. person_001 is the largest."""
     spark = state["meta"].sparkSession

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semblance.config import BatchConfig
 from semblance.functions import scalars as S
 from semblance.operators import relational
 from semblance.plans.rank import ranking_document
@@ -21,7 +22,7 @@ PROFILE = "chave string, nome string, nivel string, motivo string, origem struct
 PROFILE_FACES = "chave string, at int, embedding array<float>"
 MARKER = "id string, pessoa string, ranking_gerado_em string"
 #: Entries of one call to an album.
-ALBUM_BATCH = 50
+ALBUM_BATCH = BatchConfig.album_batch
 
 
 def save_catalog(catalog: DataFrame, path: str) -> None:

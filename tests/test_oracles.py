@@ -34,7 +34,7 @@ def test_rows_equal_the_sql(spark, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(columns, want.fetchall())
 
 
-def test_every_table_query_runs(spark):
+def test_entry_runs_and_answers_belong_to_queries(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0

@@ -131,3 +131,13 @@ def test_cycles_end_when_nothing_comes(spark, tmp_path):
 
     assert ingest.cycle(spark, str(tmp_path), fetch, detect, sent.append, removed.append) == 1
     assert len(removed) == 1 and sent == [0]
+
+
+def test_sweep_settings_come_from_the_environment(monkeypatch):
+    from semblance.config import SweepConfig
+
+    assert SweepConfig.from_environment() == SweepConfig()
+    monkeypatch.setenv("SEMBLANCE_SWEEP_KEEP_EXT", ".jpg, .png")
+    monkeypatch.setenv("SEMBLANCE_SWEEP_RECLUSTER_EVERY", "3")
+    got = SweepConfig.from_environment()
+    assert got.keep_ext == (".jpg", ".png") and got.resolving().recluster_every == 3 and got.max_size_mb == 3000
