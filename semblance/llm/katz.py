@@ -15,7 +15,7 @@ their order-1 probabilities leave, so each distribution sums to 1. d is Katz's G
 a history whose continuations were all seen over K times would leave no mass. A text starts from a start mark and
 ends with an end token.
 
-A partition's sums for a document travel in single precision, which leaves its score right to about 1e-7 of itself.
+A partition's sums for a document travel in double precision.
 
 Tokens so frequent that one would fill a partition are dealt by (history, token) over all of them, and their counts are summed
 across partitions. Which ones is read from a sample of documents; that list decides where tokens are counted,
@@ -317,7 +317,7 @@ def _worth(blobs: Iterator[tuple[int, tuple[int, bytes]]], route: Route, model:
     n_docs = int(t.base[-1])
     sums = lambda x: np.bincount(t.doc, weights=x, minlength=n_docs)
     has = np.flatnonzero(np.bincount(t.doc, minlength=n_docs))
-    values = {"base": sums(model.base(counts)[t.of_w])[has].astype(np.float32), "known": sums((counts > 0)[t.of_w])[has].astype(np.int64), "score": (sums(inside[t.of_pair]) + sums(as_history[t.of_w]))[has].astype(np.float32)}
+    values = {"base": sums(model.base(counts)[t.of_w])[has], "known": sums((counts > 0)[t.of_w])[has].astype(np.int64), "score": (sums(inside[t.of_pair]) + sums(as_history[t.of_w]))[has]}
     for c, b in _by_chunk(t.chunks, t.base, has, values):
         yield c % route.parts, (c, b)
     # counts of own tokens for their own partition
@@ -392,7 +392,7 @@ def _back_off(blobs: Iterator[tuple[int, tuple[int, bytes]]], model: Model) -> I
     chunks, rank = np.unique(chunk, return_inverse=True)
     wide = int(doc.max()) + 1
     has, at = np.unique(rank * wide + doc, return_inverse=True)
-    yield from _by_chunk(chunks.tolist(), np.arange(len(chunks) + 1) * wide, has, {"score": np.bincount(at, weights=value).astype(np.float32)})
+    yield from _by_chunk(chunks.tolist(), np.arange(len(chunks) + 1) * wide, has, {"score": np.bincount(at, weights=value)})
 
 
 def _finish(blobs: Iterator[tuple[int, bytes]], model: Model) -> Iterator[tuple]:

@@ -242,12 +242,17 @@ def shared_sizes(sets: DataFrame) -> DataFrame:
     return sets.join(own, "node", "left").select("node", size.alias("size"), (size - F.coalesce("own", F.lit(0))).alias("shared"))
 
 
+def pieces_of(n: str) -> Column:
+    return F.ceil(F.col(n) / DEALT)
+
+
 def central_nodes(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """key, central: of each large bucket the node whose signature is closest to the bucket's most frequent values.
+    """key, piece, central: of each large bucket the node whose signature is closest to the bucket's most frequent values,
+    for each piece that the bucket is dealt into.
     VOTERS members set the consensus; every member is compared with it."""
     rows = members.where(F.col("n") > SMALL).select("key", "node", "n").join(sigs, "node")
     rows = written(rows, "near-large")
-    pieces = F.ceil(F.col("n") / DEALT)
+    pieces = pieces_of("n")
     vote = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
     voters = rows.withColumn("_v", vote).where(F.col("_v") <= VOTERS)
 
@@ -265,7 +270,8 @@ def central_nodes(members: DataFrame, sigs: DataFrame) -> DataFrame:
     dealt = rows.withColumn("piece", F.pmod(F.xxhash64("node"), pieces)).join(each.drop("pieces"), ["key", "piece"])
     scored = dealt.select("key", "piece", "node", estimate("sig", "consensus").alias("agree"))
     best = F.max_by(F.struct("agree", "node"), F.struct("agree", -F.col("node"))).alias("m")
-    return scored.groupBy("key", "piece").agg(best).select("key", "m.*").groupBy("key").agg(F.max_by("node", F.struct("agree", -F.col("node"))).alias("central"))
+    found = scored.groupBy("key", "piece").agg(best).select("key", "m.*").groupBy("key").agg(F.max_by("node", F.struct("agree", -F.col("node"))).alias("central"))
+    return each.select("key", "piece").join(found, "key")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -402,7 +408,8 @@ def _labelled(docs: DataFrame) -> DataFrame:
     members = written(banded.join(full, "key").select("key", "node", "leader", "n"), "near-members")
     sigs = nodes.select("node", "sig")
     sets = written(shingle_sets(docs, members.select("node").distinct()), "near-sets")
-    led = members.join(central_nodes(members, sigs), "key", "left").select("node", F.coalesce("central", "leader").alias("leader"))
+    dealt = members.withColumn("piece", F.pmod(F.xxhash64("node"), pieces_of("n")))
+    led = dealt.join(central_nodes(members, sigs), ["key", "piece"], "left").select("node", F.coalesce("central", "leader").alias("leader"))
     stars = led.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     left = stars.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
     both = left.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
