@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semblance.functions import scalars as S
 from semblance.functions import vectors as V
+from semblance.operators import cluster
 from semblance.operators.photos import last_rows
 from semblance.operators.relational import conflicts, minus
-from semblance.sources.tables import written
 
 IGNORE, NO_ALBUM = "ignorar", "sem-album"
 #: Thumbnails that a profile keeps.
@@ -33,22 +31,9 @@ def distances(identities: DataFrame, profiles: DataFrame, dim: int, block: int =
 
     identities: identity, v, photo_id, idx; profiles: chave, v, photo_id, idx. Both meet as one centroid each, in tiles of
     `block` centroids a side; an identity has a row for each profile, as the question is."""
-    who, what = dict(identities.dtypes)["identity"], dict(profiles.dtypes)["chave"]
-    a = written(identities.groupBy("identity").agg(V.centroid("v", dim).alias("c")), "identity-centroids")
-    b = written(profiles.groupBy("chave").agg(V.centroid("v", dim).alias("c")), "profile-centroids")
-    n, m = (max(1, -(-x.count() // block)) for x in (a, b))
-    every = lambda k, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias(name)
-    left = a.select(F.pmod(F.xxhash64("identity"), F.lit(n)).alias("i"), every(m, "j"), "identity", F.lit(None).cast(what).alias("chave"), "c")
-    right = b.select(every(n, "i"), F.pmod(F.xxhash64("chave"), F.lit(m)).alias("j"), F.lit(None).cast(who).alias("identity"), "chave", "c")
-
-    def rms(p: pd.DataFrame) -> pd.DataFrame:
-        x, y = p[p["chave"].isna()], p[p["chave"].notna()]
-        if x.empty or y.empty:
-            return pd.DataFrame({"identity": [], "chave": [], "rms": []})
-        d = np.sqrt(np.maximum(2 - 2 * np.stack(x["c"].to_numpy()) @ np.stack(y["c"].to_numpy()).T, 0))
-        return pd.DataFrame({"identity": np.repeat(x["identity"].to_numpy(), len(y)), "chave": np.tile(y["chave"].to_numpy(), len(x)), "rms": d.ravel()})
-
-    near = left.unionByName(right).groupBy("i", "j").applyInPandas(rms, f"identity {who}, chave {what}, rms double")
+    a = identities.groupBy("identity").agg(V.centroid("v", dim).alias("c"))
+    b = profiles.groupBy("chave").agg(V.centroid("v", dim).alias("c"))
+    near = cluster.centroid_distances(a, b, "identity", "chave", block)
     shared = conflicts(identities, profiles, "identity", "chave")
     return near.join(shared, ["identity", "chave"], "left").withColumn("n_conflicts", F.coalesce("n_conflicts", F.lit(0).cast("long")))
 

@@ -367,11 +367,33 @@ def linkage(items: DataFrame, person: str, vector: str, tile: int = TILE) -> Dat
     return parts.groupBy("person_a", "person_b").agg((F.sum("total") / F.sum("n")).alias("distance"))
 
 
+def centroid_distances(left: DataFrame, right: DataFrame, a: str, b: str, block: int = BLOCK) -> DataFrame:
+    """a, b, rms of every row of left (a, c) and every row of right (b, c), whose c are centroids of unit vectors.
+
+    Both sides are dealt into blocks by hash and each pair of blocks is one product in a worker; the result has a row for each
+    pair, as the question is."""
+    left, right = written(left.select(F.col(a).alias("a"), "c"), "centroids"), written(right.select(F.col(b).alias("b"), "c"), "centroids")
+    kind_a, kind_b = dict(left.dtypes)["a"], dict(right.dtypes)["b"]
+    n, m = (max(1, -(-x.count() // block)) for x in (left, right))
+    every = lambda k, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias(name)
+    x = left.select(F.pmod(F.xxhash64("a"), F.lit(n)).alias("i"), every(m, "j"), F.lit(True).alias("left"), "a", F.lit(None).cast(kind_b).alias("b"), "c")
+    y = right.select(every(n, "i"), F.pmod(F.xxhash64("b"), F.lit(m)).alias("j"), F.lit(False).alias("left"), F.lit(None).cast(kind_a).alias("a"), "b", "c")
+
+    def rms(p: pd.DataFrame) -> pd.DataFrame:
+        x, y = p[p["left"]], p[~p["left"]]
+        if x.empty or y.empty:
+            return pd.DataFrame({a: [], b: [], "rms": []})
+        d = np.sqrt(np.maximum(2 - 2 * _matrix(x["c"]) @ _matrix(y["c"]).T, 0))
+        return pd.DataFrame({a: np.repeat(x["a"].to_numpy(), len(y)), b: np.tile(y["b"].to_numpy(), len(x)), "rms": d.ravel()})
+
+    return x.unionByName(y).groupBy("i", "j").applyInPandas(rms, f"{a} {kind_a}, {b} {kind_b}, rms double")
+
+
 def rms_between(items: DataFrame, person: str, vector: str, dim: int) -> DataFrame:
     """person_a < person_b and the RMS of all cross distances of unit vectors, from one centroid each."""
-    c = items.groupBy(person).agg(V.centroid(vector, dim).alias("c"))
-    x, y = c.select(F.col(person).alias("person_a"), F.col("c").alias("x")), c.select(F.col(person).alias("person_b"), F.col("c").alias("y"))
-    return x.join(y, F.col("person_a") < F.col("person_b")).select("person_a", "person_b", V.rms_of_centroids("x", "y").alias("rms"))
+    c = written(items.where(F.col(person).isNotNull()).groupBy(person).agg(V.centroid(vector, dim).alias("c")), "centroids")
+    x, y = c.withColumnRenamed(person, "person_a"), c.withColumnRenamed(person, "person_b")
+    return centroid_distances(x, y, "person_a", "person_b").where("person_a < person_b")
 
 
 def planned_batches(entries: DataFrame, order: list[str], name: str, size: str, max_bytes: float = BatchConfig.max_bytes, max_items: int = BatchConfig.max_items) -> DataFrame:
