@@ -39,7 +39,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark import RDD, TaskContext
+from pyspark import RDD, Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -273,8 +273,8 @@ def _add(a: list[int], b: list[int]) -> list[int]:
     return [x + y for x, y in zip(a, b, strict=True)]
 
 
-def fit(exchanged: RDD, route: Route) -> Model:
-    found = dict(exchanged.mapPartitions(lambda x: _count(x, route)).reduceByKey(_add).collect())
+def fit(exchanged: RDD, route: Broadcast[Route]) -> Model:
+    found = dict(exchanged.mapPartitions(lambda x: _count(x, route.value)).reduceByKey(_add).collect())
     sums = found.pop("all", [0] * (2 * (K + 2) + 3))
     hot = np.array(sorted(map(int, found)), dtype=U)
     counts = np.array([found[str(w)][0] for w in hot.tolist()], dtype=np.int64)
@@ -423,12 +423,12 @@ def score(docs: DataFrame, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     docs = docs.select("doc_id", "text")
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(MIN_PARTITIONS, -(-size // partition_bytes))
-    route = Route(parts, frequent(docs, parts))
-    rows = docs.mapInPandas(lambda b: _chunks(b, route), "part int, chunk long, blob binary").rdd
+    route = spark.sparkContext.broadcast(Route(parts, frequent(docs, parts)))
+    rows = docs.mapInPandas(lambda b: _chunks(b, route.value), "part int, chunk long, blob binary").rdd
     exchanged = rows.map(lambda r: (r[0], (r[1], bytes(r[2])))).partitionBy(parts)
     model = fit(exchanged, route)
     shared = spark.sparkContext.broadcast(model)
-    met = exchanged.mapPartitions(lambda x: _worth(x, route, shared.value)).partitionBy(parts)
+    met = exchanged.mapPartitions(lambda x: _worth(x, route.value, shared.value)).partitionBy(parts)
     sums = met.mapPartitions(lambda x: _back_off(x, shared.value)).partitionBy(parts)
     return spark.createDataFrame(sums.mapPartitions(lambda x: _finish(x, shared.value)), SCORES)
 

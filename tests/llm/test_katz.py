@@ -46,7 +46,7 @@ def same(got, want):
     got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
-        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-6) and g[6] == pytest.approx(w[6], rel=1e-6, abs=1e-6), (g, w)
+        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-12) and g[6] == pytest.approx(w[6], rel=1e-9, abs=1e-9), (g, w)
 
 
 def test_scores_equal_brute_force(spark, docs, odd, monkeypatch):
