@@ -224,33 +224,71 @@ def _step(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
     return best
 
 
+def _window(low: int, room: int) -> int:
+    """Bits low + 1 to low + room."""
+    return ((1 << room) - 1) << (low + 1)
+
+
+class _Wants:
+    """What a pattern has to give, and what would fill it, as sets of sizes in the bits of one number each."""
+
+    def __init__(self, p: tuple, capacity: int):
+        room = capacity - _total(p)
+        sizes = [n for n, k in p for _ in range(min(k, 2))]
+        self.total = _total(p)
+        self.singles = sum(1 << n for n, _ in p)
+        self.pairs = 0
+        for i, x in enumerate(sizes):
+            for y in sizes[i + 1 :]:
+                self.pairs |= 1 << (x + y)
+        self.for_one = 0  # sizes of two that gain where one piece leaves
+        for n, _ in p:
+            self.for_one |= _window(n, room)
+        self.single = self.for_one | _window(0, room)
+
+    def gains(self, giver: _Wants) -> bool:
+        return bool(giver.singles & self.single or giver.pairs & self.for_one)
+
+
 def improve(bins: Counter, capacity: int) -> Counter:
     """Local search over underfull bins. Each step takes from the emptiest bins that have something to give and fills the
-    fullest ones that gain. It raises the sum of squared fills, so the search ends, where no pair of bins gains."""
+    fullest ones that gain. It raises the sum of squared fills, so the search ends: where no pair of bins gains, or where there are
+    as few bins as the pieces' total needs, so that none can be emptied."""
     done = Counter({p: c for p, c in bins.items() if _total(p) == capacity})
     open_ = Counter({p: c for p, c in bins.items() if _total(p) < capacity})
-    while True:
-        moved = False
+    left = sum(bins.values()) + -sum(_total(p) * c for p, c in bins.items()) // capacity  # bins beyond the fewest
+    known: dict[tuple, _Wants] = {}
+    while left > 0:
         order = sorted(open_, key=lambda p: (_total(p), p))
-        for b in order:
-            for a in reversed(order):
-                times = open_[b] // 2 if a == b else min(open_[a], open_[b])
-                if not times or _total(a) < _total(b):
-                    continue
-                if step := _step(a, b, capacity):
-                    out, into = step
-                    open_[a] -= times
-                    open_[b] -= times
-                    for p in (_changed(a, out, into), _changed(b, into, out)):
-                        if p:
-                            (done if _total(p) == capacity else open_)[p] += times
-                    open_ += Counter()
-                    moved = True
+        wants = [known.setdefault(p, known.get(p) or _Wants(p, capacity)) for p in order]
+        # what the bins from each place on would take; bins of one total take from each other
+        take, one, two = [(0, 0)] * len(order), 0, 0
+        for i in range(len(order) - 1, -1, -1):
+            one, two = one | wants[i].single, two | wants[i].for_one
+            take[i] = one, two
+        first = 0
+        found = None
+        for i, (b, giver) in enumerate(zip(order, wants, strict=True)):
+            if giver.total > wants[first].total:
+                first = i
+            if giver.singles & take[first][0] or giver.pairs & take[first][1]:
+                at = next((j for j in range(len(order) - 1, first - 1, -1) if wants[j].gains(giver) and (j != i or open_[b] > 1)), None)
+                if at is not None:
+                    found = order[at], b
                     break
-            if moved:
-                break
-        if not moved:
+        if not found:
             break
+        a, b = found
+        times = open_[b] // 2 if a == b else min(open_[a], open_[b])
+        out, into = _step(a, b, capacity)
+        open_[a] -= times
+        open_[b] -= times
+        for p in (_changed(a, out, into), _changed(b, into, out)):
+            if p:
+                (done if _total(p) == capacity else open_)[p] += times
+            else:
+                left -= times
+        open_ += Counter()
     return done + open_
 
 

@@ -1,3 +1,4 @@
+import time
 import zlib
 from collections import Counter
 
@@ -53,6 +54,40 @@ def test_search_empties_a_bin():
     assert sum(P.improve(start, 10).values()) == 2
 
 
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 6), min_size=2, max_size=12), st.integers(0, 2**32))
+@settings(max_examples=60, deadline=None)
+def test_search_ends_where_no_pair_gains(lengths, seed):
+    rng = np.random.default_rng(seed)
+    pieces = [n for n, k in lengths.items() for _ in range(k)]
+    bins, own = Counter(), []
+    for n in rng.permutation(pieces).tolist():  # a poor start: the next piece that does not fit opens a bin
+        if sum(own) + n > 64:
+            bins[tuple(sorted(Counter(own).items()))] += 1
+            own = []
+        own.append(n)
+    bins[tuple(sorted(Counter(own).items()))] += 1
+    got = P.improve(bins, 64)
+    held = Counter()
+    for p, c in got.items():
+        assert sum(n * k for n, k in p) <= 64
+        held.update({n: k * c for n, k in p})
+    assert held == Counter(pieces)
+    if sum(got.values()) > -(-sum(pieces) // 64):
+        total = lambda p: sum(n * k for n, k in p)
+        for a, c in got.items():
+            for b in got:
+                if total(b) <= total(a) < 64 and (a != b or c > 1):
+                    assert P._step(a, b, 64) is None
+
+
+def test_large_histograms_end_soon():
+    rng = np.random.default_rng(3)
+    lengths = Counter(rng.integers(1, 2049, 60_000).tolist())
+    began = time.time()
+    bins = P.pack_lengths(lengths)
+    assert time.time() - began < 60 and sum(bins.values()) <= 1.02 * sum(n * k for n, k in lengths.items()) / 2048
+
+
 def test_a_tokenizer_that_is_missing_is_an_error():
     with pytest.raises(Exception):
         P.Encoder("/no/such/file")
