@@ -126,7 +126,7 @@ def resolve(state: State, found: DataFrame, cfg: ResolveConfig = ResolveConfig()
     # photos of many faces wait for phase 2
     now = todo.join(sizes.where("n < 3").select("photo_id"), "photo_id", "left_semi") if phase == 1 else todo
     waiting = todo.join(now.select("face_id"), "face_id", "left_anti")
-    known = written(state["faces"].select(*COLUMNS), "known")
+    known = state["faces"].select(*COLUMNS)
     replaced = known.join(todo.select("face_id"), "face_id", "left_anti")
     active = F.col("status").isin("assigned", "uncertain")
     every = now.select("face_id", "embedding", F.lit(None).cast("string").alias("person_id")).unionByName(replaced.where(active).select("face_id", "embedding", "person_id"))
