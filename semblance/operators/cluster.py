@@ -187,7 +187,7 @@ def quorum_candidates(items: DataFrame, banks: DataFrame, quorum: int, tile: int
         x, y = p[p["pieces"] == 0], p[p["pieces"] > 0].sort_values("person", kind="stable")
         out = {"item": [], "person": [], "near": []}
         if x.empty or y.empty:
-            return pd.DataFrame(out)
+            return pd.DataFrame(out, dtype=object)
         my, own, codes = _matrix(y["v"]), y["item"].to_numpy(), pd.factorize(y["person"], sort=True)
         first = np.flatnonzero(np.r_[True, codes[0][1:] != codes[0][:-1]])
         ends, people, whole = np.append(first[1:], len(y)), codes[1], y["pieces"].to_numpy()[first] == 1
@@ -214,11 +214,11 @@ def quorum_candidates(items: DataFrame, banks: DataFrame, quorum: int, tile: int
             for i, (item, keep) in enumerate(zip(part["item"], part["keep"], strict=True)):
                 # people are in order, so a stable sort lets the least one win a tie
                 best = np.argsort(np.where(whole, score[i], np.inf), kind="stable")[:keep]
-                for j in [*best[np.isfinite(score[i, best])].tolist(), *np.flatnonzero(~whole & np.isfinite(score[i])).tolist()]:
+                for j in [*best[whole[best] & np.isfinite(score[i, best])].tolist(), *np.flatnonzero(~whole & np.isfinite(score[i])).tolist()]:
                     out["item"].append(item)
                     out["person"].append(people[j])
                     out["near"].append(near[i, j][some[i, j]].tolist())
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, dtype=None if out["item"] else object)
 
     found = left.unionByName(right).groupBy("t", "k").applyInPandas(nearest, f"item {kind}, person {who}, near array<double>")
     near = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, quorum).alias("near")
@@ -232,7 +232,7 @@ def level3(items: DataFrame, members: DataFrame, item: str, vector: str, group:
     Banks are frozen: distances come from the members alone. An assignment of a photo concerns that photo only, so photos are
     resolved side by side, each in the order of its items. An item needs as many candidates as can be refused: its
     photo's other loose items."""
-    kind = dict(items.dtypes)[item]
+    kind, who = dict(items.dtypes)[item], dict(members.dtypes)["identity"]
     columns = [F.col(item).alias("item"), V.doubles(vector).alias("v"), F.col(group).alias("photo")]
     known = written(items.join(members.withColumnRenamed("item", item), item).select(*columns, F.col("identity").alias("person")), "banks")
     loose = items.join(members.select(F.col("item").alias(item)), item, "left_anti").select(*columns)
@@ -255,7 +255,7 @@ def level3(items: DataFrame, members: DataFrame, item: str, vector: str, group:
             out += kernels.resolve_quorum(rows, {}, threshold)
         return pd.DataFrame(out, columns=["item", "identity", "score"])[["item", "identity"]]
 
-    taken = near.select("photo", "item", "person", "score").groupBy(F.pmod(F.xxhash64("photo"), F.lit(buckets))).applyInPandas(assign, f"item {kind}, identity {kind}")
+    taken = near.select("photo", "item", "person", "score").groupBy(F.pmod(F.xxhash64("photo"), F.lit(buckets))).applyInPandas(assign, f"item {kind}, identity {who}")
     return members.select("item", "identity").unionByName(taken)
 
 
