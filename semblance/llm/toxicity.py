@@ -120,7 +120,10 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed:
     if not 0 < y.sum() < len(y):
         return Model(zero, zero, -1e9)
     first = np.searchsorted(of, np.arange(len(kept)))
-    buckets, starts = subwords(words)
+    parts = [subwords(words[at : at + CHUNK]) for at in range(0, len(words), CHUNK)]
+    buckets = np.concatenate([b for b, _ in parts])
+    starts = np.concatenate([s + before for (_, s), before in zip(parts, np.cumsum([0, *(len(b) for b, _ in parts[:-1])]), strict=True)])
+    del parts
     used, own = np.unique(buckets, return_inverse=True)
     sizes = np.diff(np.append(starts, len(own)))
     # the words that a bucket is in, bucket by bucket
