@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from semblance.llm import html, katz, media, mixing, neardup, packing, quality, sharding, toxicity, urls
+from semblance.llm import collocation, html, katz, media, mixing, neardup, packing, quality, sharding, toxicity, urls
 
 QUERIES = {
     "op1_html_extraction": html.op1_html_extraction,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_url_filters": urls.op8_url_filters,
     "op9_sharding": sharding.op9_sharding,
     "op10_lm_scoring": katz.op10_lm_scoring,
+    "op11_collocations": collocation.op11_collocations,
 }
 
 ORACLE_SQL = {
     "op2_quality_rules": quality.OP2_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op8_url_filters": urls.OP8_SQL,
+    "op11_collocations": collocation.OP11_SQL,
 }
