@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from semblance.llm import collocation, html, katz, media, mixing, neardup, packing, quality, sharding, toxicity, urls
+from semblance.llm import collocation, conversations, html, katz, media, mixing, neardup, packing, quality, sharding, toxicity, urls, warc
 
 QUERIES = {
     "op1_html_extraction": html.op1_html_extraction,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_lm_scoring": katz.op10_lm_scoring,
     "op11_collocations": collocation.op11_collocations,
+    "op12_warc": warc.op12_warc,
+    "op13_conversations": conversations.op13_conversations,
 }
 
 ORACLE_SQL = {
@@ -23,4 +25,5 @@ ORACLE_SQL = {
     "op6_mixing": mixing.OP6_SQL,
     "op8_url_filters": urls.OP8_SQL,
     "op11_collocations": collocation.OP11_SQL,
+    "op12_warc": warc.OP12_SQL,
 }
