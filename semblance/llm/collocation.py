@@ -257,9 +257,9 @@ def full_buckets(texts: DataFrame, keys_of: Callable, buckets: int, least: int)
             if size > 8 * BUCKETS:
                 held = [_summed(held)]
                 size = len(held[0][0]) // 2
-        if not held:
+        at, n = _summed(held) if held else (np.zeros(0, dtype=np.int64),) * 2
+        if not len(at):
             return
-        at, n = _summed(held)
         # a bucket that one task alone fills needs no more than `least`
         n = np.minimum(n, top).astype("<u4")
         cuts = np.flatnonzero(np.diff(at // BUCKETS, prepend=-1))
@@ -287,8 +287,9 @@ def _in_full(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def candidates(texts: DataFrame, keys_of: Callable, bits: np.ndarray) -> np.ndarray:
-    """Distinct keys that stand in full buckets."""
-    sent = texts.sparkSession.sparkContext.broadcast(bits)
+    """Distinct keys that stand in full buckets, put together range by range of the buckets."""
+    sent, buckets = texts.sparkSession.sparkContext.broadcast(bits), 8 * len(bits)
+    packed = lambda part, keys: pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "keys": pa.array([_pack(np.diff(keys, prepend=U(0)))], pa.binary())})
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, fresh, size = np.zeros(0, dtype=U), [], 0
@@ -298,10 +299,15 @@ def candidates(texts: DataFrame, keys_of: Callable, bits: np.ndarray) -> np.ndar
             if size > max(BUCKETS, len(found)):
                 found, fresh, size = np.unique(np.concatenate([found, *fresh])), [], 0
         found = np.unique(np.concatenate([found, *fresh]))
-        for at in range(0, len(found), BUCKETS):
-            yield pa.RecordBatch.from_pydict({"key": pa.array(found[at : at + BUCKETS].view(np.int64))})
+        part = _bucket_of(found, buckets) // BUCKETS
+        for p in np.unique(part):
+            yield packed(int(p), found[part == p])
 
-    return texts.mapInArrow(distinct, "key long").distinct().toArrow()["key"].to_numpy().view(U)
+    def merge(t: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([packed(t["part"][0].as_py(), np.unique(np.concatenate([np.cumsum(_unpack(x.as_py(), "<u8"), dtype=U) for x in t["keys"]])))])
+
+    found = texts.mapInArrow(distinct, "part int, keys binary").groupBy("part").applyInArrow(merge, "part int, keys binary").toArrow()["keys"]
+    return np.concatenate([np.zeros(0, dtype=U), *(np.cumsum(_unpack(x.as_py(), "<u8"), dtype=U) for x in found)])
 
 
 def counted(texts: DataFrame, keys_of: Callable, bits: np.ndarray, keys: PerfectHash) -> np.ndarray:
