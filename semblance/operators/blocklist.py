@@ -26,21 +26,22 @@ def of_level(profiles: DataFrame, level: str | None) -> DataFrame:
     return profiles if level is None else profiles.where(F.col("nivel") == level)
 
 
-def distances(identities: DataFrame, profiles: DataFrame, dim: int, block: int = 1024) -> DataFrame:
-    """identity, chave, rms, n_conflicts of every identity and profile.
+def distances(identities: DataFrame, profiles: DataFrame, dim: int, block: int = 1024, limit: float | None = None) -> DataFrame:
+    """identity, chave, rms, n_conflicts of every identity and profile; with a limit of the pairs within it, and for each identity of the
+    nearest profile of each block.
 
     identities: identity, v, photo_id, idx; profiles: chave, v, photo_id, idx. Both meet as one centroid each, in tiles of
-    `block` centroids a side; an identity has a row for each profile, as the question is."""
+    `block` centroids a side."""
     a = identities.groupBy("identity").agg(V.centroid("v", dim).alias("c"))
     b = profiles.groupBy("chave").agg(V.centroid("v", dim).alias("c"))
-    near = cluster.centroid_distances(a, b, "identity", "chave", block)
+    near = cluster.centroid_distances(a, b, "identity", "chave", block, limit)
     shared = conflicts(identities, profiles, "identity", "chave")
     return near.join(shared, ["identity", "chave"], "left").withColumn("n_conflicts", F.coalesce("n_conflicts", F.lit(0).cast("long")))
 
 
 def classified(identities: DataFrame, profiles: DataFrame, dim: int, limit: float) -> DataFrame:
     """identity, chave, rms: the nearest profile within the limit without conflicts, else null and the least distance."""
-    d = distances(identities, profiles, dim)
+    d = distances(identities, profiles, dim, limit=limit)
     allowed = (F.col("rms") <= limit) & (F.col("n_conflicts") == 0)
     best = d.groupBy("identity").agg(F.min(F.when(allowed, F.struct("rms", "chave"))).alias("m"), F.min("rms").alias("least"))
     return best.select("identity", F.col("m.chave").alias("chave"), F.coalesce("m.rms", "least").alias("rms"))
@@ -48,7 +49,7 @@ def classified(identities: DataFrame, profiles: DataFrame, dim: int, limit: floa
 
 def checked(identities: DataFrame, profiles: DataFrame, dim: int, threshold: float) -> DataFrame:
     """What is near each profile, with its verdict, in order of distance, name and conflicts."""
-    d = distances(identities, profiles, dim).where(F.col("rms") <= threshold + 0.15)
+    d = distances(identities, profiles, dim, limit=threshold + 0.15).where(F.col("rms") <= threshold + 0.15)
     return d.withColumn("verdict", S.verdict(F.col("rms"), F.col("n_conflicts"), threshold)).orderBy("rms", "identity", "chave", "n_conflicts")
 
 

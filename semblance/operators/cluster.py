@@ -11,46 +11,42 @@ from pyspark.sql import functions as F
 
 from semblance.config import BatchConfig
 from semblance.functions import vectors as V
-from semblance.operators import kernels
-from semblance.operators.relational import chronological_blocks
+from semblance.operators import kernels, metric, rounds
+from semblance.operators.metric import matrix, nothing
+from semblance.operators.relational import chronological_blocks, placed, recurrent
 from semblance.sources.tables import written
 
 #: Rows of a block of the all-pairs join: its matrices take a few megabytes.
 BLOCK = 1024
 #: Rows of a tile of the sums over all pairs: a row is sent once to each tile of the others.
 TILE = 4096
-
-
-def _matrix(v: pd.Series) -> np.ndarray:
-    return np.stack(v.to_numpy()).astype(float) if len(v) else np.zeros((0, 0))
+#: Entries of a block of the download plan, and blocks of a group.
+PLAN_BLOCK, PLAN_GROUP = 20_000, 500
+#: New rows that are sent to all old ones at once.
+NEW_ROWS = 8192
 
 
 def pairs_within(items: DataFrame, item: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:
     """a < b and their distance for all pairs within the threshold.
 
-    Rows are dealt into blocks by hash and each pair of blocks is one small matrix product in a worker; only pairs
-    within the threshold leave it. Memory is bounded by two blocks; the work is quadratic, as the question is: tables
-    beyond a few million rows are clustered in chronological blocks instead."""
-    n = max(1, -(-items.count() // block))
-    rows = items.select(F.col(item).alias("item"), V.doubles(vector).alias("v")).withColumn("b", F.pmod(F.xxhash64("item"), F.lit(n)))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"), lambda o: F.least("b", o) * n + F.greatest("b", o))
-    celled = rows.withColumn("cell", F.explode(cells))
+    The metric index deals rows into tiles that can hold such pairs; each pair of tiles is one small matrix product in a worker, and
+    only pairs within the threshold leave it. Memory is bounded by two tiles."""
+    celled, n = metric.dealt(items.select(F.col(item).alias("item"), V.doubles(vector).alias("v")), threshold, block)
 
     def near(p: pd.DataFrame) -> pd.DataFrame:
         i, j = divmod(int(p["cell"].iloc[0]), n)
         x, y = p[p["b"] == i], p[p["b"] == j]
         if x.empty or y.empty:
-            return pd.DataFrame({"a": [], "b": [], "distance": []})
-        mx, my, out = _matrix(x["v"]), _matrix(y["v"]), []
-        rough = kernels.pair_distances(mx, my) <= threshold + 1e-6
-        at, to = np.nonzero(rough)
+            return nothing("a", "b", "distance")
+        mx, my = matrix(x["v"]), matrix(y["v"])
+        at, to = np.nonzero(kernels.pair_distances(mx, my) <= threshold + 1e-6)
         ix, iy = x["item"].to_numpy(), y["item"].to_numpy()
         own = (ix[at] < iy[to]) if i == j else (ix[at] != iy[to])
         at, to = at[own], to[own]
         exact = np.sqrt(((mx[at] - my[to]) ** 2).sum(1))
         keep = exact <= threshold
-        out = pd.DataFrame({"a": np.minimum(ix[at], iy[to])[keep], "b": np.maximum(ix[at], iy[to])[keep], "distance": exact[keep]})
-        return out
+        a, b = ix[at][keep], iy[to][keep]
+        return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "distance": exact[keep]}) if keep.any() else nothing("a", "b", "distance")
 
     kind = dict(items.dtypes)[item]
     return celled.groupBy("cell").applyInPandas(near, f"a {kind}, b {kind}, distance double")
@@ -59,25 +55,55 @@ def pairs_within(items: DataFrame, item: str, vector: str, threshold: float, blo
 def links_within(items: DataFrame, item: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:
     """a, b: pairs within the threshold that connect all that such pairs connect.
 
-    As pairs_within, but a worker sends on a spanning forest of its two blocks, at most one pair for each row, so a group of
+    As pairs_within, but a worker sends on a spanning forest of its two tiles, at most one pair for each row, so a group of
     near items does not make the pairs of all of them."""
-    n = max(1, -(-items.count() // block))
-    rows = items.select(F.col(item).alias("item"), V.doubles(vector).alias("v")).withColumn("b", F.pmod(F.xxhash64("item"), F.lit(n)))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"), lambda o: F.least("b", o) * n + F.greatest("b", o))
+    celled, n = metric.dealt(items.select(F.col(item).alias("item"), V.doubles(vector).alias("v")), threshold, block)
     kind = dict(items.dtypes)[item]
 
     def forest(p: pd.DataFrame) -> pd.DataFrame:
         i, j = divmod(int(p["cell"].iloc[0]), n)
         x, y = p[p["b"] == i], p[p["b"] == j]
         if x.empty or y.empty:
-            return pd.DataFrame({"a": [], "b": []})
-        near = kernels.pair_distances(_matrix(x["v"]), _matrix(y["v"])) <= threshold + 1e-6
+            return nothing("a", "b")
+        near = kernels.pair_distances(matrix(x["v"]), matrix(y["v"])) <= threshold + 1e-6
         if i == j:
             np.fill_diagonal(near, False)
         at, to = kernels.spanning_forest(near)
-        return pd.DataFrame({"a": x["item"].to_numpy()[at], "b": y["item"].to_numpy()[to]})
-
-    return rows.withColumn("cell", F.explode(cells)).groupBy("cell").applyInPandas(forest, f"a {kind}, b {kind}")
+        return pd.DataFrame({"a": x["item"].to_numpy()[at], "b": y["item"].to_numpy()[to]}) if len(at) else nothing("a", "b")
+
+    return celled.groupBy("cell").applyInPandas(forest, f"a {kind}, b {kind}")
+
+
+def links_between(new: DataFrame, old: DataFrame, item: str, vector: str, threshold: float, rows: int = NEW_ROWS) -> DataFrame:
+    """a (new), b (old): pairs within the threshold that connect all that such pairs connect.
+
+    New rows are sent to the old ones, which are not shuffled: `rows` of them at a time, so what is broadcast is bounded and
+    a reading of the old rows serves so many."""
+    spark, kind = new.sparkSession, dict(new.dtypes)[item]
+    fresh = new.select(F.col(item).alias("item"), V.doubles(vector).alias("v"))
+    n = fresh.count()
+    pieces = max(1, -(-n // rows))
+    piece = F.pmod(F.xxhash64("item"), F.lit(pieces))
+    stored = old.select(F.col(item).alias("item"), V.doubles(vector).alias("v"))
+    found = None
+    for k in range(pieces):
+        part = fresh.where(piece == k).toPandas()
+        if part.empty:
+            continue
+        sent = spark.sparkContext.broadcast((part["item"].to_numpy(), matrix(part["v"])))
+
+        def meet(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            names, vectors = sent.value
+            for b in batches:
+                for at in range(0, len(b), BLOCK):
+                    own = b.iloc[at : at + BLOCK]
+                    i, j = kernels.spanning_forest(kernels.pair_distances(vectors, matrix(own["v"])) <= threshold + 1e-6)
+                    if len(i):
+                        yield pd.DataFrame({"a": names[i], "b": own["item"].to_numpy()[j]})
+
+        links = stored.mapInPandas(meet, f"a {kind}, b {kind}")
+        found = links if found is None else found.unionByName(links)
+    return found if found is not None else spark.createDataFrame([], f"a {kind}, b {kind}")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -100,7 +126,7 @@ def _clustered(df: DataFrame, by: str, item: str, vector: str, group: str | None
 
     def kernel(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("pos")
-        labels = kernels.cluster(_matrix(p["v"]), threshold, p["g"].tolist() if group else None, limit)
+        labels = kernels.cluster(matrix(p["v"]), threshold, p["g"].tolist() if group else None, limit)
         first = p["item"].groupby(labels).transform("first") if len(p) else p["item"]
         return pd.DataFrame({"item": p["item"], "representative": first.to_numpy() if len(p) else []})
 
@@ -108,15 +134,22 @@ def _clustered(df: DataFrame, by: str, item: str, vector: str, group: str | None
     return rows.groupBy("_by").applyInPandas(kernel, f"item {kind}, representative {kind}")
 
 
-def constrained_clusters(items: DataFrame, item: str, vector: str, group: str | None, threshold: float, limit: int = BatchConfig.max_kernel_items) -> DataFrame:
+def constrained_clusters(items: DataFrame, item: str, vector: str, group: str | None, threshold: float, limit: int = BatchConfig.max_kernel_items, tile: int = TILE) -> DataFrame:
     """item, representative (least item) by average linkage; two items of one group are never together.
 
     Clusters whose mean distance is within the threshold hold a pair that is, so they never cross the connected
-    components of such pairs: each component is clustered alone, with the same result as all at once."""
+    components of such pairs: each component is clustered alone, with the same result as all at once. A component over `limit`
+    items is merged in rounds over tiles instead of one kernel, again with the same result."""
     parts = components(links_within(items, item, vector, threshold))
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+    large = written(sizes.where(F.col("_n") > limit).select("component"), "large")
     inside = items.join(parts.withColumnRenamed("item", item), item).withColumn("pos", F.col(item))
     alone = items.join(parts.withColumnRenamed("item", item), item, "left_anti").select(F.col(item).alias("item"), F.col(item).alias("representative"))
-    return _clustered(inside, "component", item, vector, group, threshold, limit).unionByName(alone)
+    found = _clustered(inside.join(large, "component", "left_anti"), "component", item, vector, group, threshold, limit).unionByName(alone)
+    if large.isEmpty():
+        return found
+    rows = inside.join(large, "component", "left_semi").select("component", F.col(item).alias("item"), V.doubles(vector).alias("v"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g"))
+    return found.unionByName(rounds.merged(written(rows, "large-rows"), threshold, limit, tile))
 
 
 def level1(items: DataFrame, item: str, vector: str, group: str, time: str, block: int, threshold: float) -> DataFrame:
@@ -132,30 +165,31 @@ def level2(items: DataFrame, clusters: DataFrame, item: str, vector: str, group:
     Clusters are one row each (centroid, size, photos); pairs within the threshold make components, and each is merged
     in one kernel. An identity's key is the representative that comes first by place."""
     dim = len(items.select(vector).first()[0]) if not items.isEmpty() else 0
-    full = items.join(clusters.withColumnRenamed("item", item), item)
-    summed = full.groupBy("representative").agg(F.count(F.lit(1)).alias("n"), V.centroid(vector, dim).alias("c"), F.collect_set(group).alias("photos"), F.min("pos").alias("pos")).where("n > 1")
+    full = items.join(recurrent(clusters, "representative", 2).withColumnRenamed("item", item), item)
+    summed = full.groupBy("representative").agg(F.count(F.lit(1)).alias("n"), V.centroid(vector, dim).alias("c"), F.collect_set(group).alias("photos"), F.min("pos").alias("pos"))
     summed = written(summed, "clusters")
-    n = max(1, -(-summed.count() // BLOCK))
-    rows = summed.select("representative", "c").withColumn("b", F.pmod(F.xxhash64("representative"), F.lit(n)))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"), lambda o: F.least("b", o) * n + F.greatest("b", o))
+    # the distance of centroids is at most the RMS of the cross distances, so the index holds for that as well
+    celled, n = metric.dealt(summed.select(F.col("representative").alias("item"), F.col("c").alias("v")), threshold, BLOCK)
     kind = dict(items.dtypes)[item]
 
     def near(p: pd.DataFrame) -> pd.DataFrame:
         i, j = divmod(int(p["cell"].iloc[0]), n)
         x, y = p[p["b"] == i], p[p["b"] == j]
         if x.empty or y.empty:
-            return pd.DataFrame({"a": [], "b": []})
-        at, to = np.nonzero(np.sqrt(np.maximum(2 - 2 * _matrix(x["c"]) @ _matrix(y["c"]).T, 0)) <= threshold + 1e-6)
-        a, b = x["representative"].to_numpy()[at], y["representative"].to_numpy()[to]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b]
+            return nothing("a", "b")
+        within = np.sqrt(np.maximum(2 - 2 * matrix(x["v"]) @ matrix(y["v"]).T, 0)) <= threshold + 1e-6
+        if i == j:
+            np.fill_diagonal(within, False)
+        at, to = kernels.spanning_forest(within)
+        return pd.DataFrame({"a": x["item"].to_numpy()[at], "b": y["item"].to_numpy()[to]}) if len(at) else nothing("a", "b")
 
-    pairs = rows.withColumn("cell", F.explode(cells)).groupBy("cell").applyInPandas(near, f"a {kind}, b {kind}")
+    pairs = celled.groupBy("cell").applyInPandas(near, f"a {kind}, b {kind}")
     parts = components(pairs).withColumnRenamed("item", "representative")
     joined = summed.join(parts, "representative", "left").withColumn("component", F.coalesce("component", "representative"))
 
     def merge(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("pos")
-        labels = kernels.merge_clusters(_matrix(p["c"]), p["n"].to_numpy(), [set(x) for x in p["photos"]], threshold)
+        labels = kernels.merge_clusters(matrix(p["c"]), p["n"].to_numpy(), [set(x) for x in p["photos"]], threshold)
         return pd.DataFrame({"representative": p["representative"], "identity": p["representative"].groupby(labels).transform("first").to_numpy()})
 
     merged = joined.groupBy("component").applyInPandas(merge, f"representative {kind}, identity {kind}")
@@ -187,8 +221,8 @@ def quorum_candidates(items: DataFrame, banks: DataFrame, quorum: int, tile: int
         x, y = p[p["pieces"] == 0], p[p["pieces"] > 0].sort_values("person", kind="stable")
         out = {"item": [], "person": [], "near": []}
         if x.empty or y.empty:
-            return pd.DataFrame(out, dtype=object)
-        my, own, codes = _matrix(y["v"]), y["item"].to_numpy(), pd.factorize(y["person"], sort=True)
+            return nothing(*out)
+        my, own, codes = matrix(y["v"]), y["item"].to_numpy(), pd.factorize(y["person"], sort=True)
         first = np.flatnonzero(np.r_[True, codes[0][1:] != codes[0][:-1]])
         ends, people, whole = np.append(first[1:], len(y)), codes[1], y["pieces"].to_numpy()[first] == 1
         held: dict = {}  # photo: the people that have it, with the first place at which they do
@@ -200,7 +234,7 @@ def quorum_candidates(items: DataFrame, banks: DataFrame, quorum: int, tile: int
         since = y["pos"].to_numpy()
         for at in range(0, len(x), 512):
             part = x.iloc[at : at + 512]
-            d = kernels.pair_distances(_matrix(part["v"]), my)
+            d = kernels.pair_distances(matrix(part["v"]), my)
             d[(part["item"].to_numpy()[:, None] == own[None, :]) | (since[None, :] >= part["pos"].to_numpy()[:, None])] = np.inf
             near = np.full((len(part), len(first), quorum), np.inf)
             for j, (a, b) in enumerate(zip(first, ends, strict=True)):
@@ -286,7 +320,7 @@ def coherence(items: DataFrame, person: str, item: str, vector: str, tile: int =
         out = []
         for name, own in p.groupby("person"):
             i, j = divmod(int(own["cell"].iloc[0]), int(own["pieces"].iloc[0]))
-            x, y = (_matrix(own["v"][own["b"] == k]) for k in (i, j))
+            x, y = (matrix(own["v"][own["b"] == k]) for k in (i, j))
             total = 0.0
             for at in range(0, len(x), 512) if len(y) else ():
                 d = kernels.pair_distances(x[at : at + 512], y)
@@ -312,7 +346,7 @@ def sums_to_others(items: DataFrame, item: str, person: str, vector: str, tile:
 
     def sums(x: pd.DataFrame, y: pd.DataFrame) -> list[pd.DataFrame]:
         y = y.sort_values("person", kind="stable")
-        mx, my, own = _matrix(x["v"]), _matrix(y["v"]), y["person"].to_numpy()
+        mx, my, own = matrix(x["v"]), matrix(y["v"]), y["person"].to_numpy()
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         people, out = own[first], []
         for at in range(0, len(x), 512):
@@ -325,34 +359,35 @@ def sums_to_others(items: DataFrame, item: str, person: str, vector: str, tile:
         i, j = divmod(int(p["cell"].iloc[0]), n)
         x, y = p[p["b"] == i], p[p["b"] == j]
         if x.empty or y.empty:
-            return pd.DataFrame({"item": [], "person": [], "t": []})
-        return pd.concat(sums(x, y) + (sums(y, x) if i != j else []), ignore_index=True)
+            return nothing("item", "person", "t")
+        found = pd.concat(sums(x, y) + (sums(y, x) if i != j else []), ignore_index=True)
+        return found if len(found) else nothing("item", "person", "t")
 
     parts = rows.withColumn("cell", F.explode(cells)).groupBy("cell").applyInPandas(cell, f"item {kind}, person {who}, t double")
     return parts.groupBy("item", "person").agg(F.sum("t").alias("t"))
 
 
-def linkage(items: DataFrame, person: str, vector: str, tile: int = TILE) -> DataFrame:
+def linkage(items: DataFrame, person: str, vector: str, item: str, tile: int = TILE) -> DataFrame:
     """person_a < person_b and the mean of all cross distances (average linkage).
 
-    Rows are dealt into tiles by hash, a worker sees two tiles, and what leaves it is one sum for each pair of people."""
+    Rows are dealt into tiles by a hash of their item, a worker sees two tiles, and what leaves it is one sum for each pair of people."""
     who = dict(items.dtypes)[person]
-    rows = items.where(F.col(person).isNotNull()).select(F.col(person).alias("person"), V.doubles(vector).alias("v"))
+    rows = items.where(F.col(person).isNotNull()).select(F.col(person).alias("person"), F.col(item).alias("item"), V.doubles(vector).alias("v"))
     n = max(1, -(-rows.count() // tile))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("person", "v"), F.lit(n)))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("item"), F.lit(n))).drop("item")
     cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"), lambda o: F.least("b", o) * n + F.greatest("b", o))
 
     def grouped(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         x = x.sort_values("person", kind="stable")
         own = x["person"].to_numpy()
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        return _matrix(x["v"]), own[first], first, np.diff(np.append(first, len(own)))
+        return matrix(x["v"]), own[first], first, np.diff(np.append(first, len(own)))
 
     def cell(p: pd.DataFrame) -> pd.DataFrame:
         i, j = divmod(int(p["cell"].iloc[0]), n)
         x, y = p[p["b"] == i], p[p["b"] == j]
         if x.empty or y.empty:
-            return pd.DataFrame({"person_a": [], "person_b": [], "total": [], "n": []})
+            return nothing("person_a", "person_b", "total", "n")
         mx, px, fx, nx = grouped(x)
         my, py, fy, ny = grouped(y)
         sums = np.zeros((len(px), len(py)))
@@ -361,17 +396,18 @@ def linkage(items: DataFrame, person: str, vector: str, tile: int = TILE) -> Dat
             np.add.at(sums, of[at : at + 512], np.add.reduceat(kernels.pair_distances(mx[at : at + 512], my), fy, axis=1))
         a, b = np.nonzero(px[:, None] < py[None, :] if i == j else px[:, None] != py[None, :])
         low, high = np.where(px[a] < py[b], px[a], py[b]), np.where(px[a] < py[b], py[b], px[a])
-        return pd.DataFrame({"person_a": low, "person_b": high, "total": sums[a, b], "n": nx[a] * ny[b]})
+        return pd.DataFrame({"person_a": low, "person_b": high, "total": sums[a, b], "n": nx[a] * ny[b]}) if len(a) else nothing("person_a", "person_b", "total", "n")
 
     parts = rows.withColumn("cell", F.explode(cells)).groupBy("cell").applyInPandas(cell, f"person_a {who}, person_b {who}, total double, n long")
     return parts.groupBy("person_a", "person_b").agg((F.sum("total") / F.sum("n")).alias("distance"))
 
 
-def centroid_distances(left: DataFrame, right: DataFrame, a: str, b: str, block: int = BLOCK) -> DataFrame:
-    """a, b, rms of every row of left (a, c) and every row of right (b, c), whose c are centroids of unit vectors.
+def centroid_distances(left: DataFrame, right: DataFrame, a: str, b: str, block: int = BLOCK, limit: float | None = None) -> DataFrame:
+    """a, b, rms of rows of left (a, c) and rows of right (b, c), whose c are centroids of unit vectors.
 
-    Both sides are dealt into blocks by hash and each pair of blocks is one product in a worker; the result has a row for each
-    pair, as the question is."""
+    Both sides are dealt into blocks by hash and each pair of blocks is one product in a worker. Without a limit the result has a row
+    for each pair; with one it has the pairs within it and, for each row of left, the nearest of each block, so that the least
+    distance is known where none is within."""
     left, right = written(left.select(F.col(a).alias("a"), "c"), "centroids"), written(right.select(F.col(b).alias("b"), "c"), "centroids")
     kind_a, kind_b = dict(left.dtypes)["a"], dict(right.dtypes)["b"]
     n, m = (max(1, -(-x.count() // block)) for x in (left, right))
@@ -382,9 +418,12 @@ def centroid_distances(left: DataFrame, right: DataFrame, a: str, b: str, block:
     def rms(p: pd.DataFrame) -> pd.DataFrame:
         x, y = p[p["left"]], p[~p["left"]]
         if x.empty or y.empty:
-            return pd.DataFrame({a: [], b: [], "rms": []})
-        d = np.sqrt(np.maximum(2 - 2 * _matrix(x["c"]) @ _matrix(y["c"]).T, 0))
-        return pd.DataFrame({a: np.repeat(x["a"].to_numpy(), len(y)), b: np.tile(y["b"].to_numpy(), len(x)), "rms": d.ravel()})
+            return nothing(a, b, "rms")
+        d = np.sqrt(np.maximum(2 - 2 * matrix(x["c"]) @ matrix(y["c"]).T, 0))
+        keep = np.ones(d.shape, dtype=bool) if limit is None else d <= limit
+        keep[np.arange(len(d)), d.argmin(axis=1)] = True
+        i, j = np.nonzero(keep)
+        return pd.DataFrame({a: x["a"].to_numpy()[i], b: y["b"].to_numpy()[j], "rms": d[i, j]})
 
     return x.unionByName(y).groupBy("i", "j").applyInPandas(rms, f"{a} {kind_a}, {b} {kind_b}, rms double")
 
@@ -396,15 +435,74 @@ def rms_between(items: DataFrame, person: str, vector: str, dim: int) -> DataFra
     return centroid_distances(x, y, "person_a", "person_b").where("person_a < person_b")
 
 
-def planned_batches(entries: DataFrame, order: list[str], name: str, size: str, max_bytes: float = BatchConfig.max_bytes, max_items: int = BatchConfig.max_items) -> DataFrame:
-    """entries with their batch. The plan is an ordered fold over names and sizes alone: it runs in one task, in
-    order, over rows of two values, and streams through it without gathering them."""
-    rows = entries.coalesce(1).sortWithinPartitions(*order)
+def planned_batches(entries: DataFrame, order: list[str], name: str, size: str, max_bytes: float = BatchConfig.max_bytes, max_items: int = BatchConfig.max_items, block: int = PLAN_BLOCK, group: int = PLAN_GROUP) -> DataFrame:
+    """entries with their batch: in order, a batch takes entries until a name repeats, its bytes would pass the limit (a first entry
+    is always taken), or it is full. A null size counts as 0.
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plan = kernels.BatchFold(max_bytes, max_items)
-        for b in batches:
-            yield b.assign(batch=plan.take(b[name], b[size]))
+    Where a batch that begins at an entry ends depends on the next `max_items` entries alone, so every entry's end is found side by
+    side, in blocks of places that also see the beginning of the next block. A block then is a small table: for each entry
+    among its first `max_items` at which a batch may begin, where the first batch of the next block begins and how many begin before.
+    Those tables are put together in groups, the groups on the driver (a row for block * group entries), and the places at which
+    batches really begin are handed down again."""
+    spark, block = entries.sparkSession, max(block, max_items)
+    rows = written(placed(entries, order), "plan")
+    narrow = rows.select("pos", F.floor(F.col("pos") / block).alias("block"), F.col(name).cast("string").alias("name"), F.coalesce(F.col(size), F.lit(0)).cast("double").alias("size"))
+    ahead = narrow.where((F.col("pos") % block < max_items) & (F.col("block") > 0)).withColumn("block", F.col("block") - 1)
+    both = narrow.unionByName(ahead)
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in entries.dtypes)
-    return rows.mapInPandas(fold, f"{schema}, batch long")
+    def ends(p: pd.DataFrame) -> tuple[int, int, pd.DataFrame, np.ndarray]:
+        """Block, its entries, its rows in order, and for each the place (in the block) at which the next batch begins."""
+        p = p.sort_values("pos")
+        k = int(p["block"].iloc[0])
+        here = int((p["pos"] < (k + 1) * block).sum())
+        return k, here, p, kernels.batch_ends(p["name"].tolist(), p["size"].to_numpy(), max_bytes, max_items)[:here]
+
+    def crossing(p: pd.DataFrame) -> pd.DataFrame:
+        k, here, _, end = ends(p)
+        # from the last entry back: where the chain that begins at an entry leaves the block, and its length
+        leave, begun = np.empty(here, dtype=np.int64), np.empty(here, dtype=np.int64)
+        for i in range(here - 1, -1, -1):
+            to = end[i]
+            leave[i], begun[i] = (to - here, 1) if to >= here else (leave[to], begun[to] + 1)
+        # a batch that ends with the table leaves one past the last entry
+        cut = lambda x: np.append(x, 0)[:max_items]
+        return pd.DataFrame({"group": [k // group], "block": [k], "leave": [cut(leave)], "begun": [cut(begun)]})
+
+    steps = written(both.groupBy("block").applyInPandas(crossing, "group long, block long, leave array<long>, begun array<long>"), "crossings")
+
+    def chained(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("block")
+        at = np.arange(len(p["leave"].iloc[0]))
+        begun = np.zeros(len(at), dtype=np.int64)
+        for leave, n in zip(p["leave"], p["begun"], strict=True):
+            begun, at = begun + np.asarray(n)[at], np.asarray(leave)[at]
+        return pd.DataFrame({"group": p["group"].iloc[:1], "leave": [at], "begun": [begun]})
+
+    entry, place, number = {}, 0, 0
+    for r in sorted(steps.groupBy("group").applyInPandas(chained, "group long, leave array<long>, begun array<long>").collect(), key=lambda r: r["group"]):
+        entry[r["group"]] = (place, number)
+        place, number = r["leave"][place], number + r["begun"][place]
+    sent = spark.sparkContext.broadcast(entry)
+
+    def entered(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("block")
+        place, number = sent.value[int(p["group"].iloc[0])]
+        out = []
+        for k, leave, n in zip(p["block"], p["leave"], p["begun"], strict=True):
+            out.append((k, place, number))
+            place, number = leave[place], number + n[place]
+        return pd.DataFrame(out, columns=["block", "place", "number"])
+
+    begins = steps.groupBy("group").applyInPandas(entered, "block long, place long, number long")
+
+    def assigned(p: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        _, here, p, end = ends(p)
+        place, number = int(at["place"].iloc[0]), int(at["number"].iloc[0])
+        batch = np.full(here, number - 1, dtype=np.int64)  # what stands before the first beginning is of the batch that came in
+        while place < here:
+            batch[place : end[place]] = number
+            place, number = int(end[place]), number + 1
+        return pd.DataFrame({"pos": p["pos"].to_numpy()[:here], "batch": batch})
+
+    found = both.groupBy("block").cogroup(begins.groupBy("block")).applyInPandas(assigned, "pos long, batch long")
+    return rows.join(found, "pos").select(*entries.columns, "batch")

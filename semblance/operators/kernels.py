@@ -6,12 +6,16 @@ read off by the sizes. Pairs that may not merge are a boolean matrix that is OR-
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 
 #: Means from sums carry rounding of this relative size, so thresholds are inclusive up to it.
 SLACK = 1e-12
+#: Steps of 1 of a distance in linkage; sums are exact up to 5e8.
+GRID = float(1 << 24)
 
 
 def pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -20,6 +24,11 @@ def pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def gridded(d: np.ndarray) -> np.ndarray:
+    """Distances as multiples of 1 / GRID: their sums are exact, so they do not depend on the order of adding."""
+    return np.round(d * GRID) / GRID
+
+
 def mean_pairwise(v: np.ndarray) -> float:
     n = len(v)
     return float(np.triu(pair_distances(v, v), 1).sum() / (n * (n - 1) / 2)) if n > 1 else 0.0
@@ -103,10 +112,23 @@ class _Agglomeration:
 
 
 class _Average(_Agglomeration):
-    def __init__(self, vectors: np.ndarray, groups: list | None):
+    """Items, or the clusters that they are in to begin with, in order of their first items."""
+
+    def __init__(self, vectors: np.ndarray, groups: list | None, start: np.ndarray | None = None):
         n = len(vectors)
-        super().__init__(n, shares_group(groups) if groups is not None else np.zeros((n, n), dtype=bool))
-        self.sums = pair_distances(vectors, vectors)
+        barred = shares_group(groups) if groups is not None else np.zeros((n, n), dtype=bool)
+        sums = gridded(pair_distances(vectors, vectors))
+        self.within = np.arange(n)
+        if start is not None and n:
+            self.within = np.unique(start, return_inverse=True)[1]
+            order = np.argsort(self.within, kind="stable")
+            first = np.flatnonzero(np.diff(self.within[order], prepend=-1))
+            sums = np.add.reduceat(np.add.reduceat(sums[np.ix_(order, order)], first, axis=0), first, axis=1)
+            barred = np.logical_or.reduceat(np.logical_or.reduceat(barred[np.ix_(order, order)], first, axis=0), first, axis=1)
+            np.fill_diagonal(barred, False)
+        super().__init__(len(sums), barred)
+        self.sums = sums
+        self.size = np.bincount(self.within, minlength=len(sums)).astype(float)
 
     def row(self, i):
         return self.sums[i] / (self.size[i] * self.size)
@@ -132,11 +154,13 @@ class _Rms(_Agglomeration):
         self.total[i] += self.total[j]
 
 
-def cluster(vectors: np.ndarray, threshold: float, groups: list | None = None, limit: int = 12_000) -> np.ndarray:
-    """Average-linkage labels; two items of one group never meet. Labels count representatives (least members) up."""
+def cluster(vectors: np.ndarray, threshold: float, groups: list | None = None, limit: int = 12_000, start: np.ndarray | None = None) -> np.ndarray:
+    """Average-linkage labels; two items of one group never meet. Labels count representatives (least members) up. start: the
+    clusters that items are in already."""
     if len(vectors) > limit:
         raise MemoryError(f"{len(vectors)} items, over the limit of {limit} of one kernel: use blocks or components")
-    return _Average(np.asarray(vectors, dtype=float), groups).run(threshold)
+    linkage = _Average(np.asarray(vectors, dtype=float), groups, start)
+    return linkage.run(threshold)[linkage.within]
 
 
 def merge_clusters(centroids: np.ndarray, sizes: np.ndarray, photos: list[set], threshold: float) -> np.ndarray:
@@ -178,6 +202,20 @@ class BatchFold:
         return out
 
 
+def batch_ends(names, sizes, max_bytes: float, max_items: int) -> np.ndarray:
+    """For each entry, the first entry after it that a batch beginning with it cannot take; the number of entries where none is."""
+    n = len(names)
+    code = pd.factorize(pd.Series(names, dtype=object), use_na_sentinel=False)[0]
+    order = np.lexsort((np.arange(n), code))
+    again = np.full(n, n)  # the next entry of that name
+    same = code[order][1:] == code[order][:-1]
+    again[order[:-1][same]] = order[1:][same]
+    repeats = np.minimum.accumulate(again[::-1])[::-1] if n else again
+    total = np.cumsum(np.asarray(sizes))
+    full = np.maximum(np.searchsorted(total, total - np.asarray(sizes) + max_bytes, side="right"), np.arange(n) + 1)
+    return np.minimum(np.minimum(repeats, full), np.minimum(np.arange(n) + max(1, max_items), n))
+
+
 def plan_batches(names: list, sizes: list, max_bytes: float, max_items: int) -> list[int]:
     return BatchFold(max_bytes, max_items).take(names, sizes)
 
@@ -300,33 +338,61 @@ class Graph:
     def reconcile(self, threshold: float, coherence: float, exclusion: bool = False) -> dict[str, str]:
         """Merges the closest people within the threshold while their union stays coherent. old: new person.
 
-        A pair refused is looked at again once one of the two has changed. With exclusion, people that share a group
-        are not merged."""
+        Sums of distances between people are computed once; a merge adds two rows of them. Pairs wait in a heap with the versions of
+        their people, and an entry whose people have changed since is passed over, so a pair refused is looked at again once one of
+        the two has changed. With exclusion, people that share a group are not merged."""
+        names = sorted(self.people)
+        people = [self.people[n] for n in names]
+        sizes = np.array([len(p.keys) for p in people], dtype=float)
+        sums, inside = _sums_between(people)
+        groups = [{k.rpartition(":")[0] for k in p.keys} for p in people]
+        version, alive = [0] * len(names), np.ones(len(names), dtype=bool)
+        heap: list[tuple[float, int, int, int, int]] = []
+
+        def offer(i: int, others: np.ndarray) -> None:
+            mean = sums[i, others] / (sizes[i] * sizes[others])
+            for j, d in zip(others[mean <= threshold].tolist(), mean[mean <= threshold].tolist(), strict=True):
+                a, b = min(i, j), max(i, j)
+                heapq.heappush(heap, (d, a, b, version[a], version[b]))
+
+        for i in range(len(names)):
+            offer(i, np.arange(i + 1, len(names)))
         merged: dict[str, str] = {}
-        refused: set = set()
-        mean = lambda a, b: float(pair_distances(np.asarray(a.vectors), np.asarray(b.vectors)).mean())
-        known: dict = {}
-        while True:
-            names = sorted(self.people)
-            for i, a in enumerate(names):
-                for b in names[i + 1 :]:
-                    if (a, b) not in known:
-                        known[a, b] = mean(self.people[a], self.people[b])
-            open_ = [(d, a, b) for (a, b), d in known.items() if d <= threshold and (a, b) not in refused]
-            if not open_:
-                return merged
-            _, a, b = min(open_)
-            pa, pb = self.people[a], self.people[b]
-            both = np.asarray(pa.vectors + pb.vectors)
-            groups = lambda p: {k.rpartition(":")[0] for k in p.keys}
-            if mean_pairwise(both) > coherence or exclusion and groups(pa) & groups(pb):
-                refused.add((a, b))
+        while heap:
+            _, a, b, va, vb = heapq.heappop(heap)
+            if not (alive[a] and alive[b]) or (va, vb) != (version[a], version[b]):
+                continue
+            n, total = sizes[a] + sizes[b], inside[a] + inside[b] + sums[a, b]
+            if total > coherence * (n * (n - 1) / 2) * (1 + SLACK) or exclusion and groups[a] & groups[b]:
                 continue
-            self.people[a] = Person.of(pa.keys + pb.keys, pa.vectors + pb.vectors)
-            del self.people[b]
-            merged[b] = a
-            known = {p: d for p, d in known.items() if not {a, b} & {*p}}
-            refused = {p for p in refused if not {a, b} & {*p}}
+            sums[a] += sums[b]
+            sums[:, a] = sums[a]
+            sizes[a], inside[a], alive[b] = n, total, False
+            groups[a] |= groups[b]
+            version[a] += 1
+            pa, pb = self.people[names[a]], self.people.pop(names[b])
+            self.people[names[a]] = Person(pa.keys + pb.keys, pa.vectors + pb.vectors, float(total))
+            merged[names[b]] = names[a]
+            alive[a] = False
+            offer(a, np.flatnonzero(alive))
+            alive[a] = True
+        return merged
+
+
+def _sums_between(people: list[Person], at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of distances between the items of each two people, and inside of each."""
+    if not people:
+        return np.zeros((0, 0)), np.zeros(0)
+    v = np.asarray([x for p in people for x in p.vectors], dtype=float)
+    of = np.repeat(np.arange(len(people)), [len(p.vectors) for p in people])
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    sums = np.zeros((len(people), len(people)))
+    for at in range(0, len(v), at_once):
+        d = pair_distances(v[at : at + at_once], v)
+        # an item has no distance to itself, whatever rounding makes of it
+        d[np.arange(len(d)), np.arange(at, at + len(d))] = 0
+        np.add.at(sums, of[at : at + at_once], np.add.reduceat(d, first, axis=1))
+    return sums, np.diag(sums) / 2
 
 
 def resolve_quorum(rows: list[tuple], photos_of: dict, limit: float) -> list[tuple]:

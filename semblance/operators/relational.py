@@ -110,6 +110,12 @@ def report(faces: DataFrame, coherence: DataFrame, limit: float, n: int = 10) ->
     return top.crossJoin(F.broadcast(total)).select("person_id", "n_faces", "persons", "total", (F.col("n_faces") / F.col("total")).alias("share"), (F.coalesce("coherence", F.lit(0.0)) > limit).alias("diffuse"))
 
 
+def recurrent(df: DataFrame, key: str, least: int) -> DataFrame:
+    """The rows of groups that have so many; smaller groups vanish. Rows without a key are in no group."""
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    return df.join(sizes.select(key), key, "left_semi")
+
+
 def within_budget(batches: DataFrame, order: str, size: str, count: str, max_bytes: float, target: int) -> DataFrame:
     """Batches that start while the ones before are under both limits. One row a batch, so one window is enough."""
     before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

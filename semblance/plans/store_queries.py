@@ -231,9 +231,9 @@ def exclude_by_path(spark, d):
     return photos.exclude_paths(state, files, "test")["faces"].groupBy("person_id").agg(F.count(F.lit(1)).alias("n_faces"))
 
 
-@query("SELECT p_partkey AS key FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')")
+@query("SELECT p_partkey AS key FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 7)")
 def orphan_files(spark, d):
-    return sinks.orphans(_t(spark, d, "part").select(F.col("p_partkey").alias("key")), _t(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("key")), "key")
+    return sinks.orphans(_t(spark, d, "part").select(F.col("p_partkey").alias("key")), _t(spark, d, "lineitem").where("l_returnflag = 'A' AND l_linenumber = 7").select(F.col("l_partkey").alias("key")), "key")
 
 
 # --- documents
@@ -362,6 +362,6 @@ def batches_planned(spark, d):
 
 @query("SELECT l_suppkey AS person, 'done' AS pruned FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) WHERE n >= 2")
 def recurrent_only(spark, d):
-    """Groups below the least size vanish."""
-    g = written(_t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("person")).agg(F.count(F.lit(1)).alias("n")), "sizes")
-    return g.where("n >= 2").select("person", F.lit("done").alias("pruned"))
+    """Groups below the least size vanish, as in the second level of the ranking."""
+    rows = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("person"))
+    return relational.recurrent(rows, "person", 2).select("person", F.lit("done").alias("pruned")).distinct()

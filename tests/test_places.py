@@ -54,7 +54,7 @@ def test_tiles_equal_brute_force(spark, tile):
     for i in range(len(v)):
         want = sorted((np.sort(d[i, (person == p) & (np.arange(len(v)) != i)])[:3].mean(), p) for p in people)
         assert sorted(got[i])[:2] == [(pytest.approx(s), p) for s, p in want[:2]]
-    link = {(r["person_a"], r["person_b"]): r["distance"] for r in cluster.linkage(df, "person", "v", tile).collect()}
+    link = {(r["person_a"], r["person_b"]): r["distance"] for r in cluster.linkage(df, "person", "v", "item", tile).collect()}
     assert link == {(a, b): pytest.approx(d[np.ix_(person == a, person == b)].mean()) for a in people for b in people if a < b}
     same = {r["person"]: (r["n"], r["coherence"]) for r in cluster.coherence(df, "person", "item", "v", tile).collect()}
     for p in people:
@@ -62,7 +62,7 @@ def test_tiles_equal_brute_force(spark, tile):
         n = len(own)
         assert same[p] == (n, pytest.approx(own.sum() / (n * (n - 1))))
     one = df.where("item = 1")
-    assert cluster.coherence(one, "person", "item", "v").first()["coherence"] == 0 and cluster.linkage(one, "person", "v").count() == 0
+    assert cluster.coherence(one, "person", "item", "v").first()["coherence"] == 0 and cluster.linkage(one, "person", "v", "item").count() == 0
     assert cluster.coherence(df.limit(0), "person", "item", "v").count() == 0
 
 
