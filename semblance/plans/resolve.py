@@ -1,9 +1,14 @@
 """Incremental identity resolution: state in, state out.
 
 Later decisions read earlier ones, but only through faces that are near each other. Faces and identities fall into components
-of the graph of pairs within the widest limit; a decision, a rediscovery, a split or a merge never looks beyond one. So the
-links are found in tiles over the whole table, and each component is resolved in path order by itself, side by side with the
-others. New identities are numbered over all components in the order in which one run over everything would make them.
+of the graph of pairs within the widest limit; a decision, a rediscovery, a split or a merge never looks beyond one. So each
+component is resolved in path order by itself, side by side with the others. New identities are numbered over all components in
+the order in which one run over everything would make them.
+
+Components are part of the state: a disjoint-set table of faces and their roots. A batch links its new faces with all faces (never
+old ones with each other), and the links join roots. Only components that the batch reaches are resolved, and those that the run
+before changed; a component where a run without new faces changed nothing is settled until something in it changes. A face that has
+left may leave its component larger than it need be, which changes no decision.
 Merging follows with the final names, again by component. The one figure that looks further, the distance of a face of phase 2
 that is near nobody, comes from quorum tiles.
 """
@@ -77,11 +82,36 @@ def merged(faces: pd.DataFrame, cfg: ResolveConfig) -> dict[str, str]:
     return {old: last(old) for old in out}
 
 
-def _components(faces: DataFrame, cfg: ResolveConfig) -> DataFrame:
-    """face_id, component of faces (face_id, embedding, person_id): those of one identity are together."""
-    near = cluster.links_within(faces, "face_id", "embedding", max(cfg.match, cfg.uncertain))
-    own = faces.where("person_id IS NOT NULL").select(F.col("face_id").alias("a"), F.concat(F.lit("\x7f"), "person_id").alias("b"))
-    return cluster.components(near.unionByName(own)).select(F.col("item").alias("face_id"), "component")
+def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table, to be broadcast where it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _components(now: DataFrame, old: DataFrame, roots: DataFrame, cfg: ResolveConfig) -> DataFrame:
+    """face_id, component, dirty of the new and the old faces (face_id, embedding, person_id, status), written. dirty: the component has
+    a new face, has lost one, was changed since it was last resolved, or was not settled then."""
+    before = roots.select("face_id", F.col("root").alias("_root"), F.col("settled").alias("_settled"), F.col("person_id").alias("_person"), F.col("status").alias("_status"))
+    same = F.col("person_id").eqNullSafe(F.col("_person")) & F.col("status").eqNullSafe(F.col("_status"))
+    held = old.select("face_id", "person_id", "status").join(before, "face_id", "left")
+    held = held.select("face_id", "person_id", F.coalesce("_root", "face_id").alias("root"), F.col("_root").isNull().alias("fresh"), (~F.coalesce(F.col("_settled") & same, F.lit(False))).alias("dirty"))
+    fresh = now.select("face_id", F.lit(None).cast("string").alias("person_id"), F.col("face_id").alias("root"), F.lit(True).alias("fresh"), F.lit(True).alias("dirty"))
+    rows = written(held.unionByName(fresh), "rows")
+    limit = max(cfg.match, cfg.uncertain)
+    unrooted = old.select("face_id", "embedding").join(_small(written(rows.where("fresh").select("face_id"), "fresh")), "face_id", "left_semi")
+    new = written(now.select("face_id", "embedding").unionByName(unrooted), "new")
+    rooted = old.select("face_id", "embedding").join(_small(written(new.select("face_id"), "new-ids")), "face_id", "left_anti")
+    links = cluster.links_within(new, "face_id", "embedding", limit).unionByName(cluster.links_between(new, rooted, "face_id", "embedding", limit))
+    root = lambda side: rows.select(F.col("face_id").alias(side), F.col("root").alias(f"_{side}"))
+    pairs = written(links, "links").join(root("a"), "a").join(root("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    people = rows.where("person_id IS NOT NULL").select("person_id", "root").distinct()
+    first = people.groupBy("person_id").agg(F.min("root").alias("b"), F.max("root").alias("_last")).where("b <> _last")
+    # the faces of one identity are together
+    apart = people.join(first, "person_id").where("root <> b").select(F.col("root").alias("a"), "b")
+    gone = roots.join(rows.select("face_id"), "face_id", "left_anti").select("root").distinct().withColumn("_lost", F.lit(True))
+    joined = cluster.components(pairs.unionByName(apart).where("a <> b")).select(F.col("item").alias("root"), "component")
+    named = written(rows.join(joined, "root", "left").join(gone, "root", "left").select("face_id", F.coalesce("component", "root").alias("component"), (F.col("dirty") | F.coalesce("_lost", F.lit(False))).alias("dirty")), "named")
+    dirty = named.where("dirty").select("component").distinct().withColumn("_d", F.lit(True))
+    return written(named.drop("dirty").join(dirty, "component", "left").select("face_id", "component", F.coalesce("_d", F.lit(False)).alias("dirty")), "components")
 
 
 def sequence_of(state: State) -> int:
@@ -101,7 +131,7 @@ def guard_model(state: State, embedder: str) -> State:
 
 def reset(state: State) -> State:
     pending = F.when(F.col("status") == "excluded", F.col("status")).otherwise("pending").alias("status")
-    return state | {n: state[n].limit(0) for n in ("faces", "edges", "persons")} | {
+    return state | {n: state[n].limit(0) for n in ("faces", "edges", "persons", "roots")} | {
         "photos": state["photos"].select(*(pending if c == "status" else c for c in state["photos"].columns)),
         "meta": state["meta"].where("key <> 'person_seq'")}
 
@@ -129,13 +159,15 @@ def resolve(state: State, found: DataFrame, cfg: ResolveConfig = ResolveConfig()
     known = state["faces"].select(*COLUMNS)
     replaced = known.join(todo.select("face_id"), "face_id", "left_anti")
     active = F.col("status").isin("assigned", "uncertain")
-    every = now.select("face_id", "embedding", F.lit(None).cast("string").alias("person_id")).unionByName(replaced.where(active).select("face_id", "embedding", "person_id"))
-    parts = written(_components(every, cfg), "components")
-    buckets = max(1, -(-every.count() // BUCKET))
+    old = replaced.where(active)
+    parts = _components(now, old, state["roots"], cfg)
+    touched = written(parts.where("dirty").select("face_id", "component"), "touched")
+    some = _small(touched)
+    buckets = max(1, -(-touched.count() // BUCKET))
 
     def dealt(df: DataFrame) -> DataFrame:
-        full = df.join(parts, "face_id", "left").withColumn("component", F.coalesce("component", "face_id"))
-        return full.withColumn("_bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
+        full = df.join(some, "face_id").withColumn("_bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
+        return full.toDF(*full.columns)  # columns of its own: both sides of the cogroup come from `some`
 
     def kernel(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -147,14 +179,14 @@ def resolve(state: State, found: DataFrame, cfg: ResolveConfig = ResolveConfig()
             out += [(c, *(None for _ in COLUMNS), None, *m) for m in made]
         return pd.DataFrame(out, columns=[x.split()[0] for x in _OUT.split(", ")]).astype({k: "Int32" for k in ("face_index", "stage", "root_new", "root_stage", "root_index", "index")})
 
-    both = dealt(now).groupBy("_bucket").cogroup(dealt(replaced.where(active)).groupBy("_bucket"))
+    both = dealt(now).groupBy("_bucket").cogroup(dealt(old).groupBy("_bucket"))
     out = written(both.applyInPandas(kernel, _OUT), "decided")
-    born = relational.placed(out.where("made IS NOT NULL").select("made", *[c.split()[0] for c in _BORN.split(", ")]),
+    born = relational.placed(out.where("made IS NOT NULL").select("component", "made", *[c.split()[0] for c in _BORN.split(", ")]),
                              ["stage", *(F.col(c).desc() for c in ("root_new", "root_stage", "root_at", "root_index")), "at", "index"])
     names = written(born.select(F.col("made").alias("person_id"), S.person_id(F.col("pos") + 1 + sequence).alias("_name")), "names")
     faces = out.where("made IS NULL").join(names, "person_id", "left").withColumn("person_id", F.coalesce("_name", "person_id")).drop("_name")
     if phase == 2:
-        faces = _far_confidence(written(faces, "named"), replaced, now, cfg)
+        faces = _far_confidence(written(faces.select("component", *COLUMNS, "decided"), "named"), replaced, now, cfg)
     faces = written(faces.select("component", *COLUMNS), "resolved")
 
     def merge(p: pd.DataFrame) -> pd.DataFrame:
@@ -169,14 +201,30 @@ def resolve(state: State, found: DataFrame, cfg: ResolveConfig = ResolveConfig()
     faces = faces.join(to, "person_id", "left").withColumn("person_id", F.coalesce("_to", "person_id"))
     blank = {"person_id": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "status": F.lit("deferred")}
     later = waiting.select(*(blank[c].alias(c) if c in blank else F.col(c) for c in COLUMNS))
-    faces = written(faces.select(*COLUMNS).unionByName(later).unionByName(replaced.where(~F.coalesce(active, F.lit(False)))), "faces")
+    faces = written(faces.select("component", *COLUMNS), "resolved-faces")
+    roots = _rooted(faces, old, now, born, parts, state["roots"], phase)
+    rest = old.join(some, "face_id", "left_anti")
+    faces = written(faces.select(*COLUMNS).unionByName(rest).unionByName(later).unionByName(replaced.where(~F.coalesce(active, F.lit(False)))), "faces")
     last = sequence + names.count()
     counts = todo.groupBy("photo_id").agg(F.min("path").alias("path"), F.max("mtime").alias("mtime"), F.count(F.lit(1)).cast("int").alias("num_faces"))
     done = F.when(F.lit(phase) == 2, "phase2_done").when(F.col("num_faces") >= 3, "deferred_multi_face").otherwise("phase1_done")
     meta = spark.createDataFrame([("person_seq", str(last))], "key string, value string")
     return with_views(state | {
         "faces": faces, "photos": relational.upsert(state["photos"], counts.withColumn("status", done), "photo_id"),
-        "meta": relational.upsert(state["meta"], meta, "key")})
+        "meta": relational.upsert(state["meta"], meta, "key"), "roots": roots})
+
+
+def _rooted(faces: DataFrame, old: DataFrame, now: DataFrame, born: DataFrame, parts: DataFrame, before: DataFrame, phase: int) -> DataFrame:
+    """The disjoint sets after a run. faces: those of the components that were resolved. A component is settled if a run of phase 1
+    brought it no new face, made no identity in it and left every face as it was."""
+    was = old.select("face_id", F.col("person_id").alias("_p"), F.col("status").alias("_s"), F.lit(True).alias("_known"))
+    moved = ~(F.col("person_id").eqNullSafe(F.col("_p")) & F.col("status").eqNullSafe(F.col("_s")) & F.coalesce("_known", F.lit(False)))
+    rows = faces.select("face_id", "component", "person_id", "status").join(was, "face_id", "left").withColumn("_moved", moved)
+    busy = rows.where("_moved").select("component").unionByName(now.select("face_id").join(parts, "face_id").select("component")).unionByName(born.select("component")).distinct().withColumn("_busy", F.lit(True))
+    quiet = F.col("_busy").isNull() & F.lit(phase == 1)
+    fresh = rows.join(busy, "component", "left").select("face_id", F.col("component").alias("root"), quiet.alias("settled"), "person_id", "status")
+    kept = before.join(parts.where("NOT dirty"), "face_id").select("face_id", F.col("component").alias("root"), "settled", "person_id", "status")
+    return written(fresh.unionByName(kept), "roots")
 
 
 def _far_confidence(faces: DataFrame, old: DataFrame, now: DataFrame, cfg: ResolveConfig) -> DataFrame:
@@ -237,7 +285,7 @@ def recluster(state: State, cfg: ResolveConfig = ResolveConfig(), limit: int = B
     counts = full.groupBy("photo_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     photos = state["photos"].join(counts, "photo_id", "left").select("photo_id", "path", "mtime", F.coalesce("n", "num_faces").alias("num_faces"), F.when(F.col("n").isNotNull(), "reclustered").otherwise(F.col("status")).alias("status"))
     meta = spark.createDataFrame([("person_seq", str(last))], "key string, value string")
-    return with_views(state | {"faces": out, "photos": photos, "persons": state["persons"].limit(0), "meta": relational.upsert(state["meta"], meta, "key")})
+    return with_views(state | {"faces": out, "photos": photos, "persons": state["persons"].limit(0), "meta": relational.upsert(state["meta"], meta, "key"), "roots": state["roots"].limit(0)})
 
 
 def folder_view(state: State, limit: float = 0.5, min_photos: int = 3) -> DataFrame:

@@ -1,7 +1,8 @@
 """The face store: faces and the scan log as Parquet tables, and the index of a folder with its model.
 
 A face is one row that holds vector and metadata, so the two cannot part. Appends leave out keys that the store already has:
-a batch that is sent again, after a crash between the two tables say, changes nothing.
+a batch that is sent again, after a crash between the two tables say, changes nothing. They are commits of a log, so two writers
+at once cannot both add a key.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semblance.sources.state import Growing
 from semblance.sources.tables import SCAN_LOG, read_or_empty, same_model
 
 KEY = ["photo_id", "face_index"]
@@ -17,7 +19,7 @@ INDEX = "path string, mtime double, face_index int, bbox array<double>, det_scor
 
 
 def faces(spark: SparkSession, root: str, schema: str = STORED) -> DataFrame:
-    return read_or_empty(spark, f"{root}/faces", schema, "parquet")
+    return Growing(spark, f"{root}/faces", schema).read()
 
 
 def metadata(spark: SparkSession, root: str) -> DataFrame:
@@ -32,7 +34,7 @@ def vectors(spark: SparkSession, root: str, dim: int) -> DataFrame:
 
 
 def scan_log(spark: SparkSession, root: str) -> DataFrame:
-    return read_or_empty(spark, f"{root}/scan_log", SCAN_LOG, "parquet")
+    return Growing(spark, f"{root}/scan_log", SCAN_LOG).read()
 
 
 def scanned_uids(spark: SparkSession, root: str) -> DataFrame:
@@ -50,17 +52,16 @@ def thumb_name(photo_id: str = "photo_id", face_index: str = "face_index"):
 
 def append(spark: SparkSession, root: str, new: DataFrame, dim: int | None = None) -> None:
     """Adds the faces that the store lacks; of repeated keys in `new` one is taken."""
-    known = faces(spark, root, ", ".join(f"`{n}` {t}" for n, t in new.dtypes))
-    fresh = new.dropDuplicates(KEY).join(known.select(*KEY), KEY, "left_anti").select(*new.columns)
-    if dim is not None and not fresh.where(F.size("embedding") != dim).isEmpty():
-        raise ValueError(f"vectors that do not have {dim} values")
-    fresh.write.mode("append").parquet(f"{root}/faces")
+    def same_size(fresh: DataFrame) -> None:
+        if dim is not None and not fresh.where(F.size("embedding") != dim).isEmpty():
+            raise ValueError(f"vectors that do not have {dim} values")
+
+    Growing(spark, f"{root}/faces", ", ".join(f"`{n}` {t}" for n, t in new.dtypes)).append(new, KEY, same_size)
 
 
 def mark_scanned(spark: SparkSession, root: str, seen: DataFrame) -> None:
     """Logs what was scanned (uid, photo_id, faces), also where no face was found; what is logged stays."""
-    known = scan_log(spark, root)
-    seen.dropDuplicates(["uid"]).join(known.select("uid"), "uid", "left_anti").select(*known.columns).write.mode("append").parquet(f"{root}/scan_log")
+    Growing(spark, f"{root}/scan_log", SCAN_LOG).append(seen.select(*(c.split(" ")[0] for c in SCAN_LOG.split(", "))), ["uid"])
 
 
 def save_index(index: DataFrame, path: str, embedder: str) -> None:

@@ -20,10 +20,13 @@ PERSON = "person_id string, created_at timestamp"
 EDGE = "person_a string, person_b string, photo_id string"
 EXCLUDED = "photo_id string, reason string"
 META = "key string, value string"
+#: The component of each face that is decided on: what the next batch's links are added to. settled: a run found nothing to change
+#: there; person_id and status are those of that time, so a change made in any other way shows.
+ROOT = "face_id string, root string, settled boolean, person_id string, status string"
 CATALOG = "uid string, name string, media_type string, size long, capture_time string, content_hash string"
 MANIFEST = "uid string, captureTime string"
 SCAN_LOG = "uid string, photo_id string, faces int"
-STATE = {"faces": FACE, "photos": PHOTO, "persons": PERSON, "edges": EDGE, "excluded": EXCLUDED, "meta": META}
+STATE = {"faces": FACE, "photos": PHOTO, "persons": PERSON, "edges": EDGE, "excluded": EXCLUDED, "meta": META, "roots": ROOT}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -110,28 +113,3 @@ def find_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] | N
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """uid of each line that is not blank."""
     return spark.read.text(path).select(F.trim("value").alias("uid")).where("uid <> ''")
-
-
-class Snapshots:
-    """State as numbered immutable versions: base formats have no row-level merge. A version counts once its marker
-    row is written, so a run that dies leaves the one before."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def latest(self) -> int:
-        found = read_or_empty(self.spark, f"{self.root}/published", "version long", "parquet").agg(F.max("version").alias("v")).first()["v"]
-        return -1 if found is None else found
-
-    def read(self, version: int | None = None) -> dict[str, DataFrame]:
-        v = self.latest() if version is None else version
-        if v < 0:
-            return {n: self.spark.createDataFrame([], s) for n, s in STATE.items()}
-        return {n: self.spark.read.schema(s).parquet(f"{self.root}/v={v}/{n}") for n, s in STATE.items()}
-
-    def publish(self, state: dict[str, DataFrame]) -> int:
-        v = self.latest() + 1
-        for n in STATE:
-            state[n].write.mode("overwrite").parquet(f"{self.root}/v={v}/{n}")
-        self.spark.createDataFrame([(v,)], "version long").write.mode("append").parquet(f"{self.root}/published")
-        return v

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from semblance.config import ResolveConfig
 from semblance.plans import resolve as R
 from semblance.sources import facestore as store_
-from semblance.sources.tables import Snapshots, written
+from semblance.sources.state import Snapshots
+from semblance.sources.tables import written
 
 DETECTION = "photo_id string, path string, mtime double, face_index int, embedding array<double>, face_px double, det_score double"
 
@@ -24,13 +25,13 @@ def sweep(spark: SparkSession, source: str, root: str, cfg: ResolveConfig = Reso
     store = Snapshots(spark, f"{root}/state")
 
     def one(batch: DataFrame, number: int) -> None:
-        state = R.guard_model(store.read(), embedder)
         rows = written(batch.dropDuplicates(["photo_id", "path", "face_index"]), "batch")
-        state = R.resolve(state, rows, cfg, 1)
-        state = R.resolve(state, rows, cfg, 2)
-        if cfg.recluster_every and (number + 1) % cfg.recluster_every == 0:
-            state = R.recluster(state, cfg)
-        version = store.publish(state)
+
+        def resolved(state: R.State) -> R.State:
+            state = R.resolve(R.resolve(R.guard_model(state, embedder), rows, cfg, 1), rows, cfg, 2)
+            return R.recluster(state, cfg) if cfg.recluster_every and (number + 1) % cfg.recluster_every == 0 else state
+
+        version = store.update(resolved)
         if after:
             after(version)
 

@@ -11,6 +11,7 @@ from semblance.functions import scalars as S
 from semblance.operators import blocklist, cluster, kernels, relational
 from semblance.plans import rank, resolve
 from semblance.sources import tables as T
+from semblance.sources.state import Snapshots
 from semblance.streaming import ingest
 
 
@@ -115,7 +116,7 @@ def test_sweep_takes_each_file_once(spark, tmp_path):
     assert ingest.sweep(spark, src, root) == 0
     detections(spark, [("p1", 0, A, 0.9), ("p2", 0, C, 0.9)]).coalesce(1).write.mode("append").parquet(src)
     assert ingest.sweep(spark, src, root, ResolveConfig(recluster_every=2)) == 1
-    assert {r["face_id"]: r["person_id"] for r in T.Snapshots(spark, f"{root}/state").read()["faces"].collect()} == {"p1:0": "person_001", "p2:0": "person_001"}
+    assert {r["face_id"]: r["person_id"] for r in Snapshots(spark, f"{root}/state").read()["faces"].collect()} == {"p1:0": "person_001", "p2:0": "person_001"}
     assert ingest.sweep(spark, src, root) == 1
 
 
