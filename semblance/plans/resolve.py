@@ -82,9 +82,8 @@ def merged(faces: pd.DataFrame, cfg: ResolveConfig) -> dict[str, str]:
     return {old: last(old) for old in out}
 
 
-def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """A written table, to be broadcast where it has at most so many rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+#: Rows of names that are broadcast at once, about 60 bytes each; more are joined by a shuffle.
+SMALL = 200_000
 
 
 def _components(now: DataFrame, old: DataFrame, roots: DataFrame, cfg: ResolveConfig) -> DataFrame:
@@ -93,25 +92,32 @@ def _components(now: DataFrame, old: DataFrame, roots: DataFrame, cfg: ResolveCo
     before = roots.select("face_id", F.col("root").alias("_root"), F.col("settled").alias("_settled"), F.col("person_id").alias("_person"), F.col("status").alias("_status"))
     same = F.col("person_id").eqNullSafe(F.col("_person")) & F.col("status").eqNullSafe(F.col("_status"))
     held = old.select("face_id", "person_id", "status").join(before, "face_id", "left")
-    held = held.select("face_id", "person_id", F.coalesce("_root", "face_id").alias("root"), F.col("_root").isNull().alias("fresh"), (~F.coalesce(F.col("_settled") & same, F.lit(False))).alias("dirty"))
-    fresh = now.select("face_id", F.lit(None).cast("string").alias("person_id"), F.col("face_id").alias("root"), F.lit(True).alias("fresh"), F.lit(True).alias("dirty"))
+    held = held.select("face_id", "person_id", F.coalesce("_root", "face_id").alias("root"), F.when(F.col("_root").isNull(), 1).otherwise(2).alias("kind"), (~F.coalesce(F.col("_settled") & same, F.lit(False))).alias("dirty"))
+    fresh = now.select("face_id", F.lit(None).cast("string").alias("person_id"), F.col("face_id").alias("root"), F.lit(0).alias("kind"), F.lit(True).alias("dirty"))
     rows = written(held.unionByName(fresh), "rows")
-    limit = max(cfg.match, cfg.uncertain)
-    unrooted = old.select("face_id", "embedding").join(_small(written(rows.where("fresh").select("face_id"), "fresh")), "face_id", "left_semi")
-    new = written(now.select("face_id", "embedding").unionByName(unrooted), "new")
-    rooted = old.select("face_id", "embedding").join(_small(written(new.select("face_id"), "new-ids")), "face_id", "left_anti")
-    links = cluster.links_within(new, "face_id", "embedding", limit).unionByName(cluster.links_between(new, rooted, "face_id", "embedding", limit))
-    root = lambda side: rows.select(F.col("face_id").alias(side), F.col("root").alias(f"_{side}"))
-    pairs = written(links, "links").join(root("a"), "a").join(root("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    # kinds: new faces, old ones that have no root yet, old ones that have
+    n = dict(rows.groupBy("kind").count().collect())
+    new, rooted = now.select("face_id", "embedding"), old.select("face_id", "embedding")
+    if n.get(1):
+        without = rows.where("kind = 1").select("face_id")
+        without = F.broadcast(without) if n[1] <= SMALL else without
+        new, rooted = new.unionByName(rooted.join(without, "face_id", "left_semi")), rooted.join(without, "face_id", "left_anti")
     people = rows.where("person_id IS NOT NULL").select("person_id", "root").distinct()
     first = people.groupBy("person_id").agg(F.min("root").alias("b"), F.max("root").alias("_last")).where("b <> _last")
     # the faces of one identity are together
-    apart = people.join(first, "person_id").where("root <> b").select(F.col("root").alias("a"), "b")
+    pairs = people.join(first, "person_id").where("root <> b").select(F.col("root").alias("a"), "b")
+    if n.get(0) or n.get(1):
+        new, limit = written(new, "new"), max(cfg.match, cfg.uncertain)
+        links = cluster.links_within(new, "face_id", "embedding", limit)
+        if n.get(2):
+            links = links.unionByName(cluster.links_between(new, rooted, "face_id", "embedding", limit))
+        root = lambda side: rows.select(F.col("face_id").alias(side), F.col("root").alias(f"_{side}"))
+        pairs = pairs.unionByName(links.join(root("a"), "a").join(root("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
     gone = roots.join(rows.select("face_id"), "face_id", "left_anti").select("root").distinct().withColumn("_lost", F.lit(True))
-    joined = cluster.components(pairs.unionByName(apart).where("a <> b")).select(F.col("item").alias("root"), "component")
-    named = written(rows.join(joined, "root", "left").join(gone, "root", "left").select("face_id", F.coalesce("component", "root").alias("component"), (F.col("dirty") | F.coalesce("_lost", F.lit(False))).alias("dirty")), "named")
-    dirty = named.where("dirty").select("component").distinct().withColumn("_d", F.lit(True))
-    return written(named.drop("dirty").join(dirty, "component", "left").select("face_id", "component", F.coalesce("_d", F.lit(False)).alias("dirty")), "components")
+    joined = cluster.components(pairs.where("a <> b")).select(F.col("item").alias("root"), "component")
+    named = rows.join(joined, "root", "left").join(gone, "root", "left").select("face_id", F.coalesce("component", "root").alias("component"), (F.col("dirty") | F.coalesce("_lost", F.lit(False))).alias("dirty"))
+    dirty = named.groupBy("component").agg(F.bool_or("dirty").alias("dirty"))
+    return written(named.drop("dirty").join(dirty, "component").select("face_id", "component", "dirty"), "components")
 
 
 def sequence_of(state: State) -> int:
@@ -150,7 +156,7 @@ def resolve(state: State, found: DataFrame, cfg: ResolveConfig = ResolveConfig()
     else:
         todo = open_.join(status.where("status = 'deferred_multi_face'"), "photo_id", "left_semi")
     todo = written(todo.select("photo_id", "path", "mtime", "face_index", "face_id", F.col("embedding").cast("array<double>")), "todo")
-    todo = written(relational.placed(todo, ["path", "photo_id", "face_index"]), "todo-placed")
+    todo = relational.placed(todo, ["path", "photo_id", "face_index"])
     sequence = sequence_of(state)
     sizes = todo.groupBy("photo_id").agg(F.count(F.lit(1)).alias("n"))
     # photos of many faces wait for phase 2
@@ -161,9 +167,10 @@ def resolve(state: State, found: DataFrame, cfg: ResolveConfig = ResolveConfig()
     active = F.col("status").isin("assigned", "uncertain")
     old = replaced.where(active)
     parts = _components(now, old, state["roots"], cfg)
-    touched = written(parts.where("dirty").select("face_id", "component"), "touched")
-    some = _small(touched)
-    buckets = max(1, -(-touched.count() // BUCKET))
+    some = parts.where("dirty").select("face_id", "component")
+    n = some.count()
+    some = F.broadcast(some) if n <= SMALL else some
+    buckets = max(1, -(-n // BUCKET))
 
     def dealt(df: DataFrame) -> DataFrame:
         full = df.join(some, "face_id").withColumn("_bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
@@ -183,7 +190,7 @@ def resolve(state: State, found: DataFrame, cfg: ResolveConfig = ResolveConfig()
     out = written(both.applyInPandas(kernel, _OUT), "decided")
     born = relational.placed(out.where("made IS NOT NULL").select("component", "made", *[c.split()[0] for c in _BORN.split(", ")]),
                              ["stage", *(F.col(c).desc() for c in ("root_new", "root_stage", "root_at", "root_index")), "at", "index"])
-    names = written(born.select(F.col("made").alias("person_id"), S.person_id(F.col("pos") + 1 + sequence).alias("_name")), "names")
+    names = born.select(F.col("made").alias("person_id"), S.person_id(F.col("pos") + 1 + sequence).alias("_name"))
     faces = out.where("made IS NULL").join(names, "person_id", "left").withColumn("person_id", F.coalesce("_name", "person_id")).drop("_name")
     if phase == 2:
         faces = _far_confidence(written(faces.select("component", *COLUMNS, "decided"), "named"), replaced, now, cfg)

@@ -66,7 +66,7 @@ def test_clustered_vectors_skip_most_tiles(spark):
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_kernels_on_empty_sides_and_tiles(spark, kind):
     few = [(1, 7, "a", [1.0, 0.0]), (2, 7, "b", [0.0, 1.0]), (3, 8, "c", [0.6, 0.8])]
-    for rows in ([], few[:1], few):
+    for rows in ([], few):
         df = table(spark, kind, rows)
         n = len(rows)
         assert cluster.pairs_within(df, "item", "v", 9.0, 1).count() == n * (n - 1) // 2
@@ -77,11 +77,11 @@ def test_kernels_on_empty_sides_and_tiles(spark, kind):
         assert cluster.coherence(df, "person", "item", "v", 1).count() == len({r[1] for r in rows})
         assert cluster.rms_between(df, "person", "v", 2).count() == (1 if n == 3 else 0)
         bank = df.select("item", "person", "v")
-        for items, banks in itertools.product((df, df.limit(0)), (bank, bank.limit(0))):
+        for items, banks in ((df, bank), (df, bank.limit(0)), (df.limit(0), bank)):
             assert cluster.quorum_best(items.select("item", "v"), banks, 2).count() == (n if n > 1 and items is df and banks is bank else 0)
         mine = df.select(F.col("person").alias("identity"), "v", F.col("photo").alias("photo_id"), F.lit(0).alias("idx"))
         theirs = mine.withColumnRenamed("identity", "chave")
-        for left, right in itertools.product((mine, mine.limit(0)), (theirs, theirs.limit(0))):
+        for left, right in ((mine, theirs), (mine, theirs.limit(0)), (mine.limit(0), theirs)):
             full = left is mine and right is theirs and n
             assert blocklist.classified(left, right, 2, 1.0).count() == (len({r[1] for r in rows}) if full else 0)
             assert (blocklist.checked(left, right, 2, 1.0).count() > 0) == bool(full)
@@ -101,11 +101,10 @@ def test_limits_leave_the_nearest_of_each_row(spark):
     assert all(min(d for (x, _), d in cut.items() if x == a) == min(d for (x, _), d in whole.items() if x == a) for a, _ in left)
 
 
-@pytest.mark.parametrize("kind", ["long", "string"])
-@pytest.mark.parametrize("seed, tile, limit, grid", [(0, 16, 10, False), (1, 8, 0, False), (2, 64, 40, True), (3, 6, 3, True)])
+@pytest.mark.parametrize("kind, seed, tile, limit, grid", [("string", 0, 16, 10, False), ("long", 1, 8, 0, False), ("long", 2, 64, 40, True), ("string", 3, 6, 3, True)])
 def test_rounds_merge_as_the_kernel(spark, kind, seed, tile, limit, grid):
     rng = np.random.default_rng(seed)
-    n = 130
+    n = 100
     v = rng.integers(0, 5, size=(n, 2)).astype(float) if grid else clustered(n, seed, dim=3, centres=5, spread=0.4)
     photos = [f"p{rng.integers(60)}" if rng.random() < 0.7 else None for _ in range(n)]
     df = table(spark, kind, [(i, 0, g, x) for i, (g, x) in enumerate(zip(photos, v, strict=True))])
@@ -168,7 +167,7 @@ def test_many_people_are_reconciled_in_seconds():
     assert time.time() - began < 30
 
 
-@pytest.mark.parametrize("n, names, max_items, max_bytes, block, group", [(0, 3, 5, 50, 10, 2), (1, 1, 5, 50, 10, 2), (400, 25, 7, 60, 10, 3), (400, 400, 12, 1e9, 5, 2), (397, 6, 50, 200, 50, 100), (121, 300, 11, 40, 11, 1), (60, 2, 1, 9, 1, 4), (45, 9000, 20, 1e9, 20, 2)])
+@pytest.mark.parametrize("n, names, max_items, max_bytes, block, group", [(0, 3, 5, 50, 10, 2), (1, 1, 5, 50, 10, 2), (400, 25, 7, 60, 10, 3), (397, 6, 50, 200, 50, 100), (121, 300, 11, 40, 11, 1), (45, 9000, 20, 1e9, 20, 2)])
 def test_plan_of_batches_equals_the_fold(spark, n, names, max_items, max_bytes, block, group):
     rng = np.random.default_rng(n)
     rows = [(i, None if rng.random() < 0.02 else f"n{rng.integers(names)}", int(rng.integers(0, 30)) if rng.random() > 0.03 else 500, "x") for i in range(n)]
