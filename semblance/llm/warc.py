@@ -248,7 +248,8 @@ def unmatched(found: DataFrame) -> DataFrame:
 
 
 def op12_warc(spark, sf_dir: str) -> DataFrame:
-    made = captures(records(archived(table(spark, sf_dir, "pages"))))
+    # assembling reads the records several times, so they are parsed once
+    made = captures(written(records(archived(table(spark, sf_dir, "pages"))), "records"))
     fields = F.col("metadata")[0]["fields"]
     return made.select(fields["page-id"].cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), fields["refers-to-page"].cast("long").alias("refers_to"))
 
