@@ -153,8 +153,8 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def held_out(doc_id) -> bool:
-    return False if doc_id is None or doc_id != doc_id else zlib.crc32(str(int(doc_id)).encode()) % 10 == 0
+def held_out(doc_id: int | None) -> bool:
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
 def _chunks(batches: Iterator[pd.DataFrame], route: Route) -> Iterator[pd.DataFrame]:
@@ -179,8 +179,8 @@ def _chunks(batches: Iterator[pd.DataFrame], route: Route) -> Iterator[pd.DataFr
         v[ends - lengths + 1] = START
         doc = np.repeat(np.arange(len(texts)), lengths)
         out = np.array([held_out(i) for i in ids])
-        known = np.array([not (i is None or i != i) for i in ids])
-        header = _pack(ids=np.array([int(i) if k else 0 for i, k in zip(ids, known, strict=True)]).view(U), known=known.astype(np.int64), n=lengths, out=out.astype(np.int64))
+        known = np.array([i is not None for i in ids])
+        header = _pack(ids=np.array([i or 0 for i in ids], dtype=np.int64).view(U), known=known.astype(np.int64), n=lengths, out=out.astype(np.int64))
         rows = [(chunk % route.parts, chunk, b"h" + header)]
         part = route.of_pair(v, w)
         order = np.lexsort((v, w, part))
@@ -196,9 +196,9 @@ def _chunks(batches: Iterator[pd.DataFrame], route: Route) -> Iterator[pd.DataFr
         return pd.DataFrame(rows, columns=["part", "chunk", "blob"])
 
     for b in batches:
-        for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+        for doc_id, known, text in zip(b["doc_id"].tolist(), b["known"], b["text"], strict=True):
             found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-            ids.append(doc_id)
+            ids.append(doc_id if known else None)
             texts.append(found)
             size += len(found) + 1
             if size >= CHUNK_TOKENS:
@@ -424,7 +424,9 @@ def score(docs: DataFrame, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(MIN_PARTITIONS, -(-size // partition_bytes))
     route = spark.sparkContext.broadcast(Route(parts, frequent(docs, parts)))
-    rows = docs.mapInPandas(lambda b: _chunks(b, route.value), "part int, chunk long, blob binary").rdd
+    # pandas would make floats of ids among which is a null
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text")
+    rows = named.mapInPandas(lambda b: _chunks(b, route.value), "part int, chunk long, blob binary").rdd
     exchanged = rows.map(lambda r: (r[0], (r[1], bytes(r[2])))).partitionBy(parts)
     model = fit(exchanged, route)
     shared = spark.sparkContext.broadcast(model)

@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -330,14 +331,16 @@ def unpack(image: Image, blocks: np.ndarray) -> bytes:
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media of every row of docs (doc_id, text)."""
 
-    def write(batches):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), TEXTS):
-                part = b.iloc[at : at + TEXTS]
-                texts = part["text"]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in texts], "media": [encode(payload(t)) for t in texts]})
-
-    return docs.select("doc_id", "text").mapInPandas(write, "doc_id long, n_bytes long, media binary")
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
+                texts = part.column("text").to_pylist()
+                sizes = pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, pa.array([encode(payload(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    # Arrow keeps a null and an id over 2^53 apart in one batch, which a pandas column of floats does not
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(write, "doc_id long, n_bytes long, media binary")
 
 
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, feature string"

@@ -14,26 +14,29 @@ LONG = " ".join(f"w{i % 997}x{i}" for i in range(20_000))
 COPY = " ".join(f"copy{i}" for i in range(60))
 ROWS = [
     (1, None, "a"), (2, "", "a"), (3, " \n\t ", None), (4, "one two three", "b"), (4, "one two three", "b"), (4, "another text of the same id", "b"), (None, "a text without id", "c"),
-    (None, None, "c"), ((1 << 53) + 1, "an id that a double cannot hold", "c"), (9, LONG, "a"), (10, COPY, "a"), (11, COPY + " end", ""), (12, COPY, "b"), (13, "naïve \U0001f600 café x İ,,", "b"),
+    (None, None, "c"), ((1 << 53) + 1, "an id that a double cannot hold", "c"), ((1 << 60) + 3, "one more", "c"), ((1 << 60) + 1, "and its neighbour", "c"), (9, LONG, "a"), (10, COPY, "a"), (11, COPY + " end", ""), (12, COPY, "b"), (13, "naïve \U0001f600 café x İ,,", "b"),
 ]
 
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
-    """documents have columns named like the operators' own."""
+    """documents have columns named like the operators' own, and ids that a double cannot hold in one batch with nulls."""
     d = tmp_path_factory.mktemp("tables")
-    schema = "doc_id long, text string, source string, score double, size long, row long, key long, shard int, place int, slot long, label int, piece int"
-    spark.createDataFrame([(i, t, s, 0.5, 1, 2, 3, 4, 5, 6, 7, 8) for i, t, s in ROWS], schema).repartition(3).write.parquet(f"{d}/documents.parquet")
+    schema = "doc_id long, text string, source string, lang string, score double, size long, row long, key long, shard int, place int, slot long, label int, piece int"
+    spark.createDataFrame([(i, t, s, "en", 0.5, 1, 2, 3, 4, 5, 6, 7, 8) for i, t, s in ROWS], schema).coalesce(1).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, 1, i % 2) for i in range(1, 14)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     pages = [(1, "http://A.org/x", "<p>one</p>", "h"), (2, None, None, "h"), (None, "no scheme", "<p>two<p>three", "h"), (2, "http://example.org/es/", "", "h")]
-    spark.createDataFrame(pages, "page_id long, url string, html string, host string").write.parquet(f"{d}/pages.parquet")
+    pages += [((1 << 60) + k, f"http://a.org/{k}", "<p>the same text on two pages</p>" * 5, "h") for k in (1, 3)]
+    spark.createDataFrame(pages, "page_id long, url string, html string, host string").coalesce(1).write.parquet(f"{d}/pages.parquet")
+    turns = [(1, 0, "user", "Hi."), (1, 1, "assistant", "Yes."), (None, None, None, None), ((1 << 60) + 1, 0, "user", "one."), ((1 << 60) + 3, (1 << 60) + 1, "user", "two."), (2, 5, "tool", "")]
+    spark.createDataFrame([(*t, 1, "a") for t in turns], "conv_id long, turn long, role string, text string, cost long, audit string").coalesce(1).write.parquet(f"{d}/conversations.parquet")
     return str(d)
 
 
 @pytest.fixture(scope="module")
 def bare(spark, folder, tmp_path_factory):
     d = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "conversations"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return str(d)
 
@@ -43,7 +46,8 @@ WANTED = {
     "op3_toxicity": "doc_id held_out score predicted", "op4_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op5_media_columns": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op6_mixing": "doc_id size source_size target taken",
     "op7_near_dedup": "doc_id class_id", "op8_url_filters": "page_id host path rule verdict", "op9_sharding": "doc_id size text_crc32 law shard slot grown_shard",
-    "op10_lm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    "op10_lm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score", "op11_collocations": "lang rank phrase a l r n score",
+    "op12_warc": "page_id payload_bytes payload_digest record_type refers_to", "op13_conversations": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
 }
 
 
@@ -53,9 +57,10 @@ def test_columns_and_empty_tables(spark, folder, bare, name):
     assert set(WANTED[name].split()) <= set(got.columns)
     none = Q.QUERIES[name](spark, bare)
     assert none.count() == 0 and none.columns == got.columns
-    ids = "page_id" if "page_id" in got.columns else "doc_id"
-    want = Counter(r[0] for r in ROWS) if ids == "doc_id" else Counter([1, 2, None, 2])
-    if name != "op4_packing":
+    ids = next((c for c in ("page_id", "doc_id", "conv_id") if c in got.columns), None)
+    high = [(1 << 60) + 1, (1 << 60) + 3]
+    want = {"doc_id": Counter(r[0] for r in ROWS), "page_id": Counter([1, 2, None, 2, *high]), "conv_id": Counter([1, 2, None, *high])}.get(ids)
+    if ids and name != "op4_packing":
         assert Counter(r[ids] for r in got.select(ids).collect()) == want
 
 
@@ -115,8 +120,19 @@ def test_sharding(spark, folder):
 
 
 def test_lm_scores(spark, folder):
-    for r in katz.op10_lm_scoring(spark, folder).collect():
-        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
+    want = Counter((i, i is not None and zlib.crc32(str(i).encode()) % 10 == 0, len((t or "").encode().split()) + 1) for i, t, _ in ROWS)
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"]) for r in katz.op10_lm_scoring(spark, folder).collect()) == want
+
+
+def test_stages_of_the_pipeline_keep_ids(spark, folder):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    known = {r[0] for r in ROWS}
+    for name, stage in corpus_pipeline.STAGES:
+        got = {r["doc_id"] for r in stage(spark, docs, folder).select("doc_id").collect()}
+        # the other stages may drop a document of this table
+        assert got <= known and ({(1 << 60) + 1, (1 << 60) + 3} <= got or name not in ("near_dedup", "packing")), name
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
@@ -124,7 +140,7 @@ def test_lm_scores(spark, folder):
 def test_rows_equal_the_sql(spark, folder, name, where):
     d = folder if where == "odd" else where
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet{'/*.parquet' if where == 'odd' else ''}')")
     want = con.execute(Q.ORACLE_SQL[name])
     columns = sorted(c[0] for c in want.description)
