@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -176,15 +177,24 @@ def bucket3(doc_id="doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_PER_CLASS) -> Model:
-    """The model of the labelled training rows; at most `bound` of each class reach the driver. They are chosen from
-    the labels alone, so the documents are only scanned against a list of that many ids."""
+    """The model of the labelled training rows, at most `bound` of each class. They are chosen from the labels alone, so the
+    documents are only scanned against a list of that many ids. One task trains on them and gives the weights back; the driver
+    holds neither the texts nor the training's arrays."""
     marked = labels.where(F.col("toxic").isNotNull() & F.coalesce(bucket3() != 1, F.lit(False)))
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     chosen = [r for k in (1, 0) for r in marked.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(bound).collect()]
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+    def learn(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("doc_id")
+        m = train(p["text"].tolist(), p["toxic"].tolist())
+        return pd.DataFrame({"logit": [m.logit.tobytes()], "attention": [m.attention.tobytes()], "bias": [m.bias]})
+
+    found = rows.groupBy(F.lit(0).alias("_all")).applyInPandas(learn, "logit binary, attention binary, bias double").first()
+    if found is None:
+        return train([], [])
+    return Model(*(np.frombuffer(found[c], dtype=np.float32) for c in ("logit", "attention")), found["bias"])
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
