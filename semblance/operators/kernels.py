@@ -391,7 +391,9 @@ def _sums_between(people: list[Person], at_once: int = 512) -> tuple[np.ndarray,
         d = pair_distances(v[at : at + at_once], v)
         # an item has no distance to itself, whatever rounding makes of it
         d[np.arange(len(d)), np.arange(at, at + len(d))] = 0
-        np.add.at(sums, of[at : at + at_once], np.add.reduceat(d, first, axis=1))
+        own = of[at : at + at_once]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        sums[own[starts]] += np.add.reduceat(np.add.reduceat(d, first, axis=1), starts, axis=0)
     return sums, np.diag(sums) / 2
 
 

@@ -46,7 +46,9 @@ def _met(x: _Side, y: _Side, same: bool) -> pd.DataFrame:
     sums = np.zeros((len(x.names), len(y.names)))
     for at in range(0, len(x.v), AT_ONCE):
         d = np.add.reduceat(kernels.gridded(kernels.pair_distances(x.v[at : at + AT_ONCE], y.v)), y.first, axis=1)
-        np.add.at(sums, x.of[at : at + AT_ONCE], d)
+        own = x.of[at : at + AT_ONCE]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        sums[own[starts]] += np.add.reduceat(d, starts, axis=0)
     barred = np.zeros(sums.shape, dtype=bool)
     for g in x.groups.keys() & y.groups.keys():
         barred[np.ix_(x.groups[g], y.groups[g])] = True

@@ -264,6 +264,17 @@ def with_views(state: State) -> State:
     return state | {"persons": kept.unionByName(fresh), "edges": relational.cooccurrence(faces, "photo_id", "person_id")}
 
 
+def with_all(state: State, found: DataFrame, cfg: ResolveConfig = ResolveConfig()) -> State:
+    """The state with a face for everything found that passes the gate, also where no run has decided on it: what a recluster takes."""
+    gated = first_path_only(found.where(S.passes_gate(F.col("face_px"), F.col("det_score"), cfg.min_px, cfg.min_score))).dropDuplicates(["photo_id", "face_index"])
+    named = gated.withColumn("face_id", S.item_key(F.col("photo_id"), F.col("face_index"))).join(state["excluded"].select("photo_id"), "photo_id", "left_anti")
+    named = written(named.select("face_id", "photo_id", "path", "mtime", "face_index", F.col("embedding").cast("array<double>").alias("embedding")), "every-face")
+    new = named.join(state["faces"].select("face_id"), "face_id", "left_anti")
+    faces = new.select("face_id", "photo_id", "face_index", "embedding", F.lit(None).cast("string").alias("person_id"), F.lit(None).cast("double").alias("confidence"), F.lit("deferred").alias("status"))
+    counts = named.groupBy("photo_id").agg(F.min("path").alias("path"), F.max("mtime").alias("mtime"), F.count(F.lit(1)).cast("int").alias("num_faces"), F.lit("pending").alias("status"))
+    return state | {"faces": state["faces"].unionByName(faces), "photos": state["photos"].unionByName(counts.join(state["photos"].select("photo_id"), "photo_id", "left_anti"))}
+
+
 def recluster(state: State, cfg: ResolveConfig = ResolveConfig(), limit: int = BatchConfig.max_kernel_items) -> State:
     """All identities anew by constrained average linkage over all faces that no excluded photo holds, then the incoherent
     ones split. person_001 is the largest."""
