@@ -2,6 +2,12 @@
 
 Toxic documents go, then those that the quality policy rejects, then all but one of each near-duplicate class; what
 is left is mixed to target weights (a document stands as often as the mix takes it) and packed into sequences.
+
+Defined cases: a null doc_id, and one that several rows have, is a document like any other; it is never trained on, and where it is
+one of a near-duplicate class the stage says which row stays. Null, empty and very long texts go through every stage whole (the
+quality rules reject those of under 50 words). A stage that keeps nothing leaves an empty table, on which the later ones give empty
+results. Columns besides those of documents are carried along, also where they are named like a stage's own; the last stage
+returns its pieces alone.
 """
 
 from __future__ import annotations
