@@ -132,6 +132,13 @@ def minus(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return df.join(done.select(key).distinct(), key, "left_anti")
 
 
+def not_in(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """minus with the nulls of SQL's NOT IN: a null key in done leaves no row, and rows without a key stay only if done is empty."""
+    sizes = done.agg(F.count(F.lit(1)).alias("_n"), F.count(key).alias("_keys"))
+    kept = (F.col("_n") == 0) | (F.col("_n") == F.col("_keys")) & F.col(key).isNotNull()
+    return minus(df, done, key).crossJoin(F.broadcast(sizes)).where(kept).select(*df.columns)
+
+
 def not_indexed(images: DataFrame, detections: DataFrame, scanned: DataFrame) -> DataFrame:
     """images (path, mtime) that need another look: changed since, or found by an index without scores.
 

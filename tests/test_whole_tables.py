@@ -1,5 +1,6 @@
 """Queries over whole tables against brute force: no row of a table is left out."""
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -50,3 +51,27 @@ def test_resolution_takes_every_face(spark, name):
     want = {f"ph{i // 4}{'b' if i // 4 % 5 == 0 and i % 4 >= 2 else ''}:{i % 4}" for i in items}
     got = [r["face_id"] for r in Q.QUERIES[name](spark, SF).collect()]
     assert len(want) == len(items) == len(got) and set(got) == want
+
+
+def test_pending_customers_have_no_order_at_all(spark):
+    customers, orders = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("customer", "orders"))
+    want = {r["c_custkey"] for r in customers.collect()} - {r["o_custkey"] for r in orders.collect()}
+    assert sorted(r["c_custkey"] for r in Q.anti_pending(spark, SF).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("customers, orders, want", [
+    (range(100), [(i, i % 90) for i in range(1600) if i % 90 != 7], [7, *range(90, 100)]),
+    ([1, 1, 2, 3, 3, None], [(1, 2), (2, 2)], [1, 1, 3, 3]),
+    ([1, 2, None], [(1, 2), (2, None)], []),
+    ([1, None], [], [1, None]),
+    ([], [(1, 2)], []),
+])
+def test_pending_customers_of_small_tables(spark, tmp_path, customers, orders, want):
+    spark.createDataFrame([(c,) for c in customers], "c_custkey bigint").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    by_sql = [r[0] for r in con.execute(Q.ORACLE_SQL["anti_pending"]).fetchall()]
+    got = [r["c_custkey"] for r in Q.anti_pending(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(by_sql, key=repr) == sorted(want, key=repr)
