@@ -85,16 +85,20 @@ def ranked(identities: DataFrame, size: str, tie: str, n: int) -> DataFrame:
     return top.withColumn("rank", place).withColumn("pessoa", S.rank_name(F.col("rank")))
 
 
-def folders(faces: DataFrame, coherence: DataFrame, limit: float, min_photos: int) -> DataFrame:
-    """The folder of each photo from its faces (photo_id, person_id, status, num_faces); coherence: person_id, coherence."""
+def folders(faces: DataFrame, coherence: DataFrame, limit: float, min_photos: int, by_label: bool = False) -> DataFrame:
+    """The folder of each photo from its faces (photo_id, person_id, status, num_faces); coherence: person_id, coherence.
+
+    People stand in the order of their ids; by_label: of their ids with the mark of diffuse ones, which sorts 10_dispersa after 101."""
     photos = faces.where("person_id IS NOT NULL").groupBy("person_id").agg(F.count_distinct("photo_id").alias("n_photos"))
     marks = photos.join(coherence, "person_id", "left").select(
         "person_id", (F.col("n_photos") < min_photos).alias("rare"), (F.coalesce("coherence", F.lit(0.0)) > limit).alias("diffuse"))
     known = faces.join(marks, "person_id", "left")
-    named = F.when(F.col("person_id").isNotNull(), F.struct(F.col("person_id").cast("string").alias("id"), "rare", "diffuse"))
+    key = F.col("person_id").cast("string")
+    label = F.concat(key, F.when(F.col("diffuse"), "_dispersa").otherwise("")).alias("label")
+    named = F.when(F.col("person_id").isNotNull(), F.struct(*([] if by_label else [key.alias("id")]), label, "rare"))
     view = known.groupBy("photo_id").agg(
         F.sort_array(F.collect_set(named)).alias("people"), F.max("num_faces").alias("num_faces"), F.max(F.col("status") == "deferred").alias("deferred"))
-    ids = F.transform("people", lambda p: F.concat(p["id"], F.when(p["diffuse"], "_dispersa").otherwise("")))
+    ids = F.transform("people", lambda p: p["label"])
     n = F.size("people")
     name = (F.when(n == 0, F.when(F.col("deferred"), "aguardando_fase2").otherwise("revisao_manual"))
             .when((n == 1) & (F.col("num_faces") == 1), ids[0]).when(n == 1, F.concat(ids[0], F.lit("_em_grupo"))).otherwise(F.array_join(ids, "_e_")))

@@ -350,7 +350,7 @@ SELECT photo_id, CASE WHEN coalesce(rare, false) THEN 'pessoas_raras/' ELSE '' E
 def folder_view(spark, d):
     f = _lineitem_faces(spark, d)
     c = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("person_id"), F.when(F.col("s_suppkey") % 10 == 0, 1.2).otherwise(0.1).alias("coherence"))
-    return relational.folders(f, c, 0.5, 560)
+    return relational.folders(f, c, 0.5, 560, by_label=True)
 
 
 @query("""WITH s AS (SELECT l_suppkey AS person_id, count(*) AS n_faces FROM lineitem WHERE NOT (l_returnflag = 'N' AND l_linenumber = 1) GROUP BY l_suppkey)
