@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,10 +17,30 @@ TERMINAL = ("phase1_done", "phase2_done", "deferred_multi_face", "reclustered")
 
 def human_size(n: Column) -> Column:
     """Bytes with one decimal in steps of 1024, up to PB."""
-    out = F.format_string("%.1f PB", n / F.lit(1024.0**5))
+    scaled, unit = n / F.lit(1024.0**5), F.lit("PB")
     for i in reversed(range(len(UNITS))):
-        out = F.when(n < F.lit(1024.0 ** (i + 1)), F.format_string(f"%.1f {UNITS[i]}", n / F.lit(1024.0**i))).otherwise(out)
-    return out
+        small = n < F.lit(1024.0 ** (i + 1))
+        scaled, unit = F.when(small, n / F.lit(1024.0**i)).otherwise(scaled), F.when(small, UNITS[i]).otherwise(unit)
+    return F.concat(one_decimal(scaled), F.lit(" "), unit)
+
+
+#: The least double that rounds up from each tenth of a fraction: the middle itself goes to the even tenth.
+_UP = [m if (at := Fraction(m) - Fraction(2 * j + 1, 20)) > 0 or at == 0 and j % 2 else math.nextafter(m, 1) for j, m in enumerate((2 * j + 1) / 20 for j in range(10))]
+
+
+def one_decimal(x: Column) -> Column:
+    """A double as C prints it with %.1f: its exact value is rounded, ties to even (Java rounds the shortest decimal up)."""
+
+    def text(x: Column) -> Column:
+        size = F.abs(x)
+        part = size - F.floor(size)
+        tenth = F.least(F.floor(part * 10), F.lit(9).cast("long")).cast("int")
+        tenths = F.floor(size) * 10 + tenth + (part >= F.get(F.array(*map(F.lit, _UP)), tenth)).cast("int")
+        sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+        # from 2^52 on there is no fraction
+        return F.when(size < F.lit(2.0**52), F.format_string("%s%d.%d", sign, F.floor(tenths / 10), tenths % 10)).when(x.isNotNull(), F.format_string("%.1f", x))
+
+    return F.transform(F.array(x.cast("double")), text)[0]
 
 
 def item_key(group: Column, index: Column) -> Column:
