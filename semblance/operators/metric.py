@@ -13,7 +13,7 @@ The index is at most PIVOTS vectors, with four numbers each, whatever the table'
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,9 @@ from semblance.operators import kernels
 
 #: Pivots at most, and rows for each.
 PIVOTS, ROWS = 2048, 64
+#: Tiles that a table is dealt into as long as their rows are between these two numbers: a row goes to each of them at most, so
+#: what is sent grows with the table only, until tiles are full.
+TILES, SMALLEST, LARGEST = 16, 1024, 32_768
 #: Rows whose distances to all pivots are held at once.
 AT_ONCE = 2048
 
@@ -37,6 +40,10 @@ def nothing(*columns: str) -> pd.DataFrame:
     return pd.DataFrame({c: [] for c in columns}, dtype=object)
 
 
+def tile_rows(n: int) -> int:
+    return max(SMALLEST, min(LARGEST, -(-n // TILES)))
+
+
 @dataclass(frozen=True)
 class Index:
     """Balls and the tiles they are in: first tile and number of tiles of each ball."""
@@ -48,6 +55,8 @@ class Index:
     tiles: int
     #: What rounding can hide.
     slack: float
+    #: Whether all rows are of single precision, and can be sent so.
+    single: bool = False
 
     def own(self, ball: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         return self.first[ball] + hashes % self.pieces[ball]
@@ -94,20 +103,25 @@ def built(rows: DataFrame, n: int, block: int, most: int = PIVOTS) -> Index:
     def balls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), AT_ONCE):
-                d = kernels.pair_distances(matrix(b["v"].iloc[at : at + AT_ONCE]), sent.value)
+                v = matrix(b["v"].iloc[at : at + AT_ONCE])
+                d = kernels.pair_distances(v, sent.value)
+                single = (v == v.astype(np.float32)).all()
                 found = pd.DataFrame({"ball": d.argmin(axis=1), "far": d.min(axis=1)}).groupby("ball")["far"]
-                yield pd.DataFrame({"ball": found.max().index, "far": found.max().to_numpy(), "n": found.size().to_numpy()})
+                yield pd.DataFrame({"ball": found.max().index, "far": found.max().to_numpy(), "n": found.size().to_numpy(), "single": single})
 
-    found = rows.select("v").mapInPandas(balls, "ball long, far double, n long").groupBy("ball").agg(F.max("far").alias("far"), F.sum("n").alias("n")).collect()
+    found = rows.select("v").mapInPandas(balls, "ball long, far double, n long, single boolean").groupBy("ball").agg(F.max("far").alias("far"), F.sum("n").alias("n"), F.min("single").alias("single")).collect()
     radii, counts = np.full(len(pivots), -np.inf), np.zeros(len(pivots), dtype=np.int64)
     for r in found:
         radii[r["ball"]], counts[r["ball"]] = r["far"], r["n"]
-    return tiled(pivots, radii, counts, block)
+    return replace(tiled(pivots, radii, counts, block), single=all(r["single"] for r in found))
+
 
+def dealt(rows: DataFrame, limit: float, block: int | None = None, most: int = PIVOTS) -> tuple[DataFrame, int]:
+    """Rows (item, v) with `cell`, a pair of tiles, and their own tile `b`; and the number of tiles. A cell is tile * tiles + tile.
 
-def dealt(rows: DataFrame, limit: float, block: int, most: int = PIVOTS) -> tuple[DataFrame, int]:
-    """Rows (item, v) with `cell`, a pair of tiles, and their own tile `b`; and the number of tiles. A cell is tile * tiles + tile."""
+    block: rows of a tile; without it they follow from the number of rows. Vectors are sent in single precision if that loses nothing."""
     n = rows.count()
+    block = block or tile_rows(n)
     if n <= block:
         return rows.select(F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("b"), "item", "v"), 1
     index = built(rows, n, block, most)
@@ -123,10 +137,11 @@ def dealt(rows: DataFrame, limit: float, block: int, most: int = PIVOTS) -> tupl
                 own = index.own(d.argmin(axis=1), part["h"].to_numpy())
                 row, tile = index.reached(d, limit)
                 cells = np.minimum(own[row], tile) * index.tiles + np.maximum(own[row], tile)
-                yield pd.DataFrame({"cells": np.split(cells, np.searchsorted(row, np.arange(1, len(part)))), "b": own, "item": part["item"].to_numpy(), "v": part["v"].to_numpy()})
+                v = [x.astype(np.float32) for x in part["v"]] if index.single else part["v"].to_numpy()
+                yield pd.DataFrame({"cells": np.split(cells, np.searchsorted(row, np.arange(1, len(part)))), "b": own, "item": part["item"].to_numpy(), "v": v})
 
     hashed = rows.select("item", "v", F.pmod(F.xxhash64(F.lit("piece"), "item"), F.lit(1 << 30)).alias("h"))
-    found = hashed.mapInPandas(send, f"cells array<long>, b long, item {kind}, v array<double>")
+    found = hashed.mapInPandas(send, f"cells array<long>, b long, item {kind}, v array<{'float' if index.single else 'double'}>")
     return found.select(F.explode("cells").alias("cell"), "b", "item", "v"), index.tiles
 
 
