@@ -445,7 +445,7 @@ _BLOCKS = f"WITH RECURSIVE {_E}, k AS (SELECT *, (row_number() OVER (ORDER BY it
 @query(f"""WITH RECURSIVE {_E}, p AS MATERIALIZED (SELECT x.item AS a, y.item AS b FROM e x JOIN e y ON x.item <> y.item WHERE {_dist('x.v', 'y.v')} <= 1.10), r AS (SELECT a AS item, a AS reach FROM p UNION SELECT r.item, p.b FROM r JOIN p ON r.reach = p.a)
 SELECT item, min(reach) AS component FROM r GROUP BY item""")
 def cluster_components(spark, d):
-    return cluster.components(cluster.pairs_within(_faces(spark, d), "item", "v", 1.10))
+    return cluster.components(cluster.links_within(_faces(spark, d), "item", "v", 1.10, slack=0))
 
 
 @query(f"WITH RECURSIVE {_E}, k AS (SELECT *, 0 AS block, item AS c FROM e), {_linked('k', 'k', 'avg(p.d)', 1.15)} SELECT item, representative FROM o")
