@@ -46,6 +46,8 @@ class BatchConfig:
     album_batch: int = 50
     #: Items that one clustering kernel takes: its matrices are about 1.1 GB each there.
     max_kernel_items: int = 12_000
+    #: Items of a component that one task links without a matrix; a larger component is merged in rounds over tiles.
+    max_linked_items: int = 250_000
 
 
 @dataclass(frozen=True)

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 
+from semblance.operators.nearest import Nearest
+
 #: Means from sums carry rounding of this relative size, so thresholds are inclusive up to it.
 SLACK = 1e-12
 #: Steps of 1 of a distance in linkage; sums are exact up to 5e8.
@@ -163,6 +165,18 @@ def cluster(vectors: np.ndarray, threshold: float, groups: list | None = None, l
     return linkage.run(threshold)[linkage.within]
 
 
+#: Items and clusters from which linkage looks for nearest neighbours instead of holding a matrix.
+MANY = 2000
+
+
+def linked(vectors: np.ndarray, threshold: float, groups: list | None = None, many: int = MANY) -> np.ndarray:
+    """As cluster, for any number of items: over `many`, without a matrix of all pairs."""
+    if len(vectors) <= many:
+        return cluster(vectors, threshold, groups, many)
+    v = np.asarray(vectors, dtype=float)
+    return Nearest(v, np.ones(len(v)), [(g,) for g in groups] if groups is not None else [()] * len(v), True).run(threshold)
+
+
 def merge_clusters(centroids: np.ndarray, sizes: np.ndarray, photos: list[set], threshold: float) -> np.ndarray:
     """Labels of clusters merged by RMS; clusters that share a photo never meet, nor what they have merged with."""
     barred = np.zeros((len(photos), len(photos)), dtype=bool)
