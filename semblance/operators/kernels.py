@@ -177,8 +177,10 @@ def linked(vectors: np.ndarray, threshold: float, groups: list | None = None, ma
     return Nearest(v, np.ones(len(v)), [(g,) for g in groups] if groups is not None else [()] * len(v), True).run(threshold)
 
 
-def merge_clusters(centroids: np.ndarray, sizes: np.ndarray, photos: list[set], threshold: float) -> np.ndarray:
+def merge_clusters(centroids: np.ndarray, sizes: np.ndarray, photos: list[set], threshold: float, many: int = MANY) -> np.ndarray:
     """Labels of clusters merged by RMS; clusters that share a photo never meet, nor what they have merged with."""
+    if len(photos) > many:
+        return Nearest(np.asarray(centroids, dtype=float), np.asarray(sizes), photos, False).run(threshold)
     barred = np.zeros((len(photos), len(photos)), dtype=bool)
     holders: dict = {}
     for i, own in enumerate(photos):

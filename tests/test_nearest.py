@@ -24,6 +24,11 @@ def test_nearest_neighbours_merge_as_the_matrix(monkeypatch, seed):
     photos = [f"p{x}" for x in rng.integers(0, 120, len(v))]
     for groups in (None, photos):
         assert (kernels.linked(v, threshold, groups, many=1) == kernels.cluster(v, threshold, groups)).all()
+    if seed % 3:
+        sizes = rng.integers(1, 5, len(v))
+        held = [{f"p{x}" for x in rng.integers(0, 400, k)} for k in sizes]
+        centroids = v * rng.uniform(0.8, 1, len(v))[:, None]
+        assert (kernels.merge_clusters(centroids, sizes, held, threshold, many=1) == kernels.merge_clusters(centroids, sizes, held, threshold)).all()
 
 
 def test_many_items_need_no_matrix():
