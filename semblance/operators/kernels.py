@@ -275,6 +275,68 @@ class Decision:
     status: str
 
 
+class _Bank:
+    """The vectors of all people in single precision, to find the few people who can be the nearest one."""
+
+    def __init__(self, people: dict[str, Person]):
+        self.names: list[str] = []
+        self.number: dict[str, int] = {}
+        self.n, self.v, self.square, self.who = 0, np.zeros((0, 0), np.float32), np.zeros(0, np.float32), np.zeros(0, int)
+        self.seen, self.products, self.at = 0, None, {}
+        for name, p in people.items():
+            self.add(name, p.vectors)
+
+    def add(self, name: str, vectors: list) -> None:
+        k = self.number.setdefault(name, len(self.names))
+        if k == len(self.names):
+            self.names.append(name)
+        if not len(vectors):
+            return
+        new = np.asarray(vectors, dtype=float)
+        if self.n + len(new) > len(self.v):
+            size = max(64, 2 * (self.n + len(new)))
+            held = self.v, self.square, self.who
+            self.v, self.square, self.who = np.zeros((size, new.shape[1]), np.float32), np.zeros(size, np.float32), np.zeros(size, int)
+            for to, old in zip((self.v, self.square, self.who), held, strict=True):
+                to[: self.n] = old[: self.n] if len(old) else to[: self.n]
+        end = self.n + len(new)
+        self.v[self.n : end], self.square[self.n : end], self.who[self.n : end] = new, (new**2).sum(1), k
+        self.n = end
+
+    def ahead(self, vectors: np.ndarray) -> None:
+        self.seen = self.n
+        self.products = np.asarray(vectors, np.float32) @ self.v[: self.n].T
+        self.at = {np.asarray(v, dtype=float).tobytes(): i for i, v in enumerate(vectors)}
+
+    def candidates(self, v: np.ndarray, barred: set, quorum: int) -> list[str]:
+        """People in their order; the nearest by the mean of quorum distances is among them."""
+        i, single = self.at.get(np.asarray(v, dtype=float).tobytes()), np.asarray(v, np.float32)
+        dots = self.v[: self.n] @ single if i is None else np.concatenate([self.products[i], self.v[self.seen : self.n] @ single])
+        own, square = float((single**2).sum()), self.square[: self.n]
+        d, who = np.sqrt(np.maximum(own + square - 2 * dots, 0)), self.who[: self.n]
+        # what single precision can hide in a distance
+        slack = 2 * float(np.sqrt(3e-5 * max(own, float(square.max(initial=0)))))
+        out = np.array([self.number[b] for b in barred if b in self.number], dtype=int)
+        if len(out):
+            d[np.isin(who, out)] = np.inf
+        first = np.argpartition(d, 7)[:8] if len(d) > 8 else np.arange(len(d))
+        people, means = self._means(np.unique(who[first]), d, quorum)
+        bound = means.min(initial=np.inf) + slack
+        people, means = self._means(np.unique(who[d <= bound]), d, quorum)
+        return [self.names[k] for k in people[(means <= means.min(initial=np.inf) + slack) & np.isfinite(means)].tolist()]
+
+    def _means(self, people: np.ndarray, d: np.ndarray, quorum: int) -> tuple[np.ndarray, np.ndarray]:
+        wanted = np.zeros(len(self.names), dtype=bool)
+        wanted[people] = True
+        rows = np.flatnonzero(wanted[self.who[: self.n]])
+        rows = rows[np.lexsort((d[rows], self.who[rows]))]
+        start = np.flatnonzero(np.diff(self.who[rows], prepend=-1))
+        place = np.arange(len(rows)) - np.repeat(start, np.diff(np.append(start, len(rows))))
+        near = place < quorum
+        of = np.cumsum(place[near] == 0) - 1
+        return people, np.bincount(of, d[rows[near]], len(people)) / np.maximum(np.bincount(of, minlength=len(people)), 1)
+
+
 class Graph:
     """Identities in memory: what the decisions of one run read and change. A name counts up and is never reused.
 
@@ -284,20 +346,32 @@ class Graph:
         self.people: dict[str, Person] = {}
         self.quorum, self.sequence, self.prefix = quorum, sequence, prefix
         self.splits: list[tuple[str, str]] = []
+        self._bank: _Bank | None = None
 
     def new(self, keys: list, vectors: list) -> str:
         self.sequence += 1
         name = f"{self.prefix}{self.sequence:03d}"
         self.people[name] = Person.of(keys, vectors)
+        if self._bank:
+            self._bank.add(name, vectors)
         return name
 
+    def ahead(self, vectors: np.ndarray) -> None:
+        """The next vectors to be decided on: their distances to everyone are one product."""
+        if self._bank is None and self.people:
+            self._bank = _Bank(self.people)
+        if self._bank:
+            self._bank.ahead(vectors)
+
     def nearest(self, v: np.ndarray, barred: set) -> tuple[str | None, float | None]:
         """The first of the people with the least mean of quorum distances."""
+        if self._bank is None:
+            if not self.people:
+                return None, None
+            self._bank = _Bank(self.people)
         best, at = None, None
-        for name, p in self.people.items():
-            if name in barred:
-                continue
-            d = np.sort(p.distances(v))[: self.quorum].mean()
+        for name in self._bank.candidates(v, barred, self.quorum):
+            d = np.sort(self.people[name].distances(v))[: self.quorum].mean()
             if at is None or d < at:
                 best, at = name, float(d)
         return best, at
@@ -308,6 +382,7 @@ class Graph:
         if name is not None and d <= match:
             if self.people[name].stays_coherent(v, coherence):
                 self.people[name].add(key, v)
+                self._bank.add(name, [v])
                 return Decision(key, name, d, "assigned")
             return Decision(key, None, d, "uncertain")
         if name is not None and d <= uncertain or not may_found:
@@ -318,7 +393,7 @@ class Graph:
         """New people among uncertain items alone: clusters of two or more that are coherent."""
         if len(keys) < 2:
             return {}
-        labels = cluster(np.asarray(vectors), match, groups)
+        labels = linked(np.asarray(vectors), match, groups)
         out = {}
         for label in dict.fromkeys(labels.tolist()):
             own = np.flatnonzero(labels == label)
@@ -331,11 +406,12 @@ class Graph:
     def split(self, coherence: float, threshold: float) -> dict[str, str]:
         """Incoherent people are clustered apart until all are stable; the largest part keeps the name. key: new person."""
         moved: dict[str, str] = {}
+        self._bank = None  # people change in other ways from here on
         todo = [(n, n) for n, p in self.people.items() if p.coherence() > coherence]
         while todo:
             name, root = todo.pop()
             p = self.people[name]
-            labels = cluster(np.asarray(p.vectors), threshold, [k.rpartition(":")[0] for k in p.keys]) if len(p.keys) > 1 else np.zeros(1, int)
+            labels = linked(np.asarray(p.vectors), threshold, [k.rpartition(":")[0] for k in p.keys]) if len(p.keys) > 1 else np.zeros(1, int)
             parts = [np.flatnonzero(labels == x) for x in dict.fromkeys(labels.tolist())]
             if len(parts) < 2:
                 continue
@@ -354,63 +430,81 @@ class Graph:
     def reconcile(self, threshold: float, coherence: float, exclusion: bool = False) -> dict[str, str]:
         """Merges the closest people within the threshold while their union stays coherent. old: new person.
 
-        Sums of distances between people are computed once; a merge adds two rows of them. Pairs wait in a heap with the versions of
+        Sums of distances between people who are near are computed once; a merge adds them up. Pairs wait in a heap with the versions of
         their people, and an entry whose people have changed since is passed over, so a pair refused is looked at again once one of
         the two has changed. With exclusion, people that share a group are not merged."""
         names = sorted(self.people)
         people = [self.people[n] for n in names]
+        self._bank = None
+        vectors = [np.asarray(p.vectors, dtype=float) for p in people]
         sizes = np.array([len(p.keys) for p in people], dtype=float)
-        sums, inside = _sums_between(people)
+        near, inside = _sums_between(people, threshold)
         groups = [{k.rpartition(":")[0] for k in p.keys} for p in people]
         version, alive = [0] * len(names), np.ones(len(names), dtype=bool)
-        heap: list[tuple[float, int, int, int, int]] = []
-
-        def offer(i: int, others: np.ndarray) -> None:
-            mean = sums[i, others] / (sizes[i] * sizes[others])
-            for j, d in zip(others[mean <= threshold].tolist(), mean[mean <= threshold].tolist(), strict=True):
-                a, b = min(i, j), max(i, j)
-                heapq.heappush(heap, (d, a, b, version[a], version[b]))
-
-        for i in range(len(names)):
-            offer(i, np.arange(i + 1, len(names)))
+        heap = [(d / (sizes[a] * sizes[b]), a, b, 0, 0) for a, own in enumerate(near) for b, d in own.items() if a < b]
+        heapq.heapify(heap)
         merged: dict[str, str] = {}
         while heap:
             _, a, b, va, vb = heapq.heappop(heap)
             if not (alive[a] and alive[b]) or (va, vb) != (version[a], version[b]):
                 continue
-            n, total = sizes[a] + sizes[b], inside[a] + inside[b] + sums[a, b]
+            n, total = sizes[a] + sizes[b], inside[a] + inside[b] + near[a][b]
             if total > coherence * (n * (n - 1) / 2) * (1 + SLACK) or exclusion and groups[a] & groups[b]:
                 continue
-            sums[a] += sums[b]
-            sums[:, a] = sums[a]
             sizes[a], inside[a], alive[b] = n, total, False
             groups[a] |= groups[b]
             version[a] += 1
             pa, pb = self.people[names[a]], self.people.pop(names[b])
             self.people[names[a]] = Person(pa.keys + pb.keys, pa.vectors + pb.vectors, float(total))
             merged[names[b]] = names[a]
-            alive[a] = False
-            offer(a, np.flatnonzero(alive))
-            alive[a] = True
+            # the union is near only to people who were near to one of the two
+            for c in (near[a].keys() | near[b].keys()) - {a, b}:
+                d = sum(near[x][c] if c in near[x] else float(pair_distances(vectors[x], vectors[c]).sum()) for x in (a, b))
+                near[c].pop(b, None)
+                if d / (sizes[a] * sizes[c]) <= threshold:
+                    near[a][c] = near[c][a] = d
+                    low, high = min(a, c), max(a, c)
+                    heapq.heappush(heap, (d / (sizes[a] * sizes[c]), low, high, version[low], version[high]))
+                else:
+                    near[a].pop(c, None)
+                    near[c].pop(a, None)
+            near[a].pop(b, None)
+            near[b] = {}
+            vectors[a], vectors[b] = np.concatenate([vectors[a], vectors[b]]), vectors[b][:0]
         return merged
 
 
-def _sums_between(people: list[Person], at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of distances between the items of each two people, and inside of each."""
+def _sums_between(people: list[Person], threshold: float, at_once: int = 2_000_000) -> tuple[list[dict[int, float]], np.ndarray]:
+    """Of each of the people the sums of distances to others whose mean is within the threshold, and the sums inside of each. A strip of
+    about `at_once` distances is held."""
+    near: list[dict[int, float]] = [{} for _ in people]
+    inside = np.zeros(len(people))
     if not people:
-        return np.zeros((0, 0)), np.zeros(0)
+        return near, inside
     v = np.asarray([x for p in people for x in p.vectors], dtype=float)
-    of = np.repeat(np.arange(len(people)), [len(p.vectors) for p in people])
-    first = np.flatnonzero(np.diff(of, prepend=-1))
-    sums = np.zeros((len(people), len(people)))
-    for at in range(0, len(v), at_once):
-        d = pair_distances(v[at : at + at_once], v)
-        # an item has no distance to itself, whatever rounding makes of it
-        d[np.arange(len(d)), np.arange(at, at + len(d))] = 0
-        own = of[at : at + at_once]
-        starts = np.flatnonzero(np.diff(own, prepend=-1))
-        sums[own[starts]] += np.add.reduceat(np.add.reduceat(d, first, axis=1), starts, axis=0)
-    return sums, np.diag(sums) / 2
+    sizes = np.array([len(p.vectors) for p in people])
+    first = np.cumsum(sizes) - sizes
+    rows, begin = max(16, at_once // len(v)), 0
+    while begin < len(people):
+        end = max(begin + 1, int(np.searchsorted(first, first[begin] + rows, side="right")) - 1)
+        of = np.repeat(np.arange(end - begin), sizes[begin:end])
+        sums = np.zeros((end - begin, len(people)))
+        for at in range(0, len(of), rows):
+            here = np.arange(first[begin] + at, min(first[begin] + at + rows, first[begin] + len(of)))
+            d = pair_distances(v[here], v)
+            # an item has no distance to itself, whatever rounding makes of it
+            d[np.arange(len(here)), here] = 0
+            own = of[at : at + rows]
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            sums[own[starts]] += np.add.reduceat(np.add.reduceat(d, first, axis=1), starts, axis=0)
+        inside[begin:end] = sums[np.arange(end - begin), np.arange(begin, end)] / 2
+        i, j = np.nonzero(sums <= threshold * (sizes[begin:end, None] * sizes[None, :]) * (1 + SLACK))
+        mean = sums[i, j] / (sizes[begin + i] * sizes[j])
+        for a, b, d in zip((begin + i).tolist(), j.tolist(), np.where(mean <= threshold, sums[i, j], np.nan).tolist(), strict=True):
+            if a < b and d == d:
+                near[a][b] = near[b][a] = d
+        begin = end
+    return near, inside
 
 
 def resolve_quorum(rows: list[tuple], photos_of: dict, limit: float) -> list[tuple]:

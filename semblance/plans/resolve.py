@@ -35,6 +35,8 @@ _OUT = f"component string, {FACE}, decided string, made string, {_BORN}"
 _PLAIN = (None,) * 8
 #: Faces that a task resolves, about; a component is never cut.
 BUCKET = 5000
+#: Photos whose distances to everyone are computed at once.
+AHEAD = 32
 
 
 def graph_of(known: pd.DataFrame, quorum: int, prefix: str) -> kernels.Graph:
@@ -50,16 +52,20 @@ def decided(faces: pd.DataFrame, known: pd.DataFrame, cfg: ResolveConfig, phase:
     g = graph_of(known[known["status"] == "assigned"], cfg.quorum, prefix)
     rows = {r["face_id"]: r | {"decided": None} for r in known.to_dict("records")}
     born: dict[str, tuple] = {}
-    for photo, own in sorted(faces.groupby("photo_id"), key=lambda x: (x[1]["path"].iloc[0], x[0])):
-        used = set()
-        for r in own.sort_values("face_index").to_dict("records"):
-            v, before = np.asarray(r["embedding"], dtype=float), g.sequence
-            d = g.decide(r["face_id"], v, cfg.match, cfg.uncertain, cfg.coherence, phase == 1, used)
-            if d.person:
-                used.add(d.person)
-            if g.sequence > before:
-                born[d.person] = (0, f"{r['path']}\0{photo}", r["face_index"])
-            rows[r["face_id"]] = {"face_id": r["face_id"], "photo_id": photo, "face_index": r["face_index"], "embedding": v, "person_id": d.person, "confidence": d.confidence, "status": d.status, "decided": d.person}
+    photos = sorted(faces.groupby("photo_id"), key=lambda x: (x[1]["path"].iloc[0], x[0]))
+    for at in range(0, len(photos), AHEAD):
+        some = [(photo, own.sort_values("face_index").to_dict("records")) for photo, own in photos[at : at + AHEAD]]
+        g.ahead(np.array([r["embedding"] for _, own in some for r in own], dtype=float))
+        for photo, own in some:
+            used = set()
+            for r in own:
+                v, before = np.asarray(r["embedding"], dtype=float), g.sequence
+                d = g.decide(r["face_id"], v, cfg.match, cfg.uncertain, cfg.coherence, phase == 1, used)
+                if d.person:
+                    used.add(d.person)
+                if g.sequence > before:
+                    born[d.person] = (0, f"{r['path']}\0{photo}", r["face_index"])
+                rows[r["face_id"]] = {"face_id": r["face_id"], "photo_id": photo, "face_index": r["face_index"], "embedding": v, "person_id": d.person, "confidence": d.confidence, "status": d.status, "decided": d.person}
     if phase == 1:
         loose = [r for _, r in sorted(rows.items()) if r["status"] == "uncertain" and r["person_id"] is None]
         found = g.rediscover([r["face_id"] for r in loose], [r["photo_id"] for r in loose], [np.asarray(r["embedding"], dtype=float) for r in loose], cfg.match, cfg.coherence)

@@ -60,3 +60,32 @@ def test_forests_connect_what_is_near(monkeypatch, seed):
             return of.tolist()
 
         assert parts(near) == parts(np.column_stack([i, base + j])) and len(i) < base + len(other)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_nearest_person_is_found_among_few(seed):
+    rng = np.random.default_rng(seed)
+    v, _ = vectors(1 + seed % 2, 300)
+    g = kernels.Graph(3)
+    for k, own in enumerate(np.split(np.arange(200), np.sort(rng.choice(np.arange(1, 200), 40, replace=False)))):
+        g.people[f"p{k:02d}"] = kernels.Person.of([f"x{i}:0" for i in own], list(v[own]))
+
+    def slow(x, barred):
+        scores = [(float(np.sort(p.distances(x))[:3].mean()), k, n) for k, (n, p) in enumerate(g.people.items()) if n not in barred]
+        return (min(scores)[2], min(scores)[0]) if scores else (None, None)
+
+    for at in range(200, 300, 10):
+        g.ahead(v[at : at + 10])
+        for i in range(at, at + 10):
+            barred = set(rng.choice(list(g.people), 5).tolist())
+            assert g.nearest(v[i], barred) == slow(v[i], barred) and g.nearest(v[i], set(g.people)) == (None, None)
+            g.decide(f"x{i}:0", v[i], 0.8, 0.9, 2.0, True, barred)
+
+
+def test_a_run_with_many_uncertain_faces_finds_people_among_them():
+    n = 12_400
+    v = np.random.default_rng(5).normal(size=(n, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    # more than the kernel with a matrix takes
+    found = kernels.Graph().rediscover([f"ph{i}:0" for i in range(n)], [f"ph{i}" for i in range(n)], list(v), 0.4, 0.5)
+    assert 2 < len(found) < n
